@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing
+from . import bpe, line_dedup, multi_index, packing, secret_scan, token_rollup, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,9 +28,40 @@ def op3_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.tiktoken"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
+def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_rollup.maintained(spark, table(spark, sf_dir, "documents"), token_rollup.fresh_path(spark)).totals()
+
+
+def op8_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.drop_boilerplate(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "source", "text", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"))
+
+
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return topk.top_k(rows.where(F.col("vec_id") % 50 == 0), rows, 5)
+
+
+def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return multi_index.nearest(rows.where(F.col("vec_id") % 100 == 0), rows, 10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_merge_replay": op3_merge_replay,
+    "op4_secret_scan": op4_secret_scan,
+    "op6_token_rollup": op6_token_rollup,
+    "op8_site_lines": op8_site_lines,
+    "op9_exact_topk": op9_exact_topk,
+    "op10_multi_index": op10_multi_index,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op6_token_rollup": token_rollup.SQL,
+    "op8_site_lines": line_dedup.SQL,
+}
