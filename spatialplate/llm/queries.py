@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, multi_index, packing, secret_scan, token_rollup, topk
+from . import bpe, language_id, line_dedup, multi_index, packing, secret_scan, token_rollup, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,12 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
+def op5_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = language_id.identify(docs.select("doc_id", "text"), language_id.fit(docs))
+    return out.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rate").alias("rate"))
+
+
 def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_rollup.maintained(spark, table(spark, sf_dir, "documents"), token_rollup.fresh_path(spark)).totals()
 
@@ -55,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_merge_replay": op3_merge_replay,
     "op4_secret_scan": op4_secret_scan,
+    "op5_cross_parsing": op5_cross_parsing,
     "op6_token_rollup": op6_token_rollup,
     "op8_site_lines": op8_site_lines,
     "op9_exact_topk": op9_exact_topk,
