@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, line_dedup, multi_index, packing, secret_scan, token_rollup, topk
+from . import bpe, language_id, line_dedup, multi_index, ngram_join, packing, secret_scan, token_rollup, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_rollup.maintained(spark, table(spark, sf_dir, "documents"), token_rollup.fresh_path(spark)).totals()
 
 
+def op7_heavy_light_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.cluster(table(spark, sf_dir, "documents"))
+
+
 def op8_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_boilerplate(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "source", "text", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"))
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secret_scan": op4_secret_scan,
     "op5_cross_parsing": op5_cross_parsing,
     "op6_token_rollup": op6_token_rollup,
+    "op7_heavy_light_join": op7_heavy_light_join,
     "op8_site_lines": op8_site_lines,
     "op9_exact_topk": op9_exact_topk,
     "op10_multi_index": op10_multi_index,
