@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, line_dedup, multi_index, ngram_join, packing, secret_scan, token_rollup, topk
+from . import bpe, language_id, line_dedup, multi_index, ngram_join, packing, pii, secret_scan, token_rollup, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,14 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: The key of the registered query; a real one comes from the caller.
+KEY = b"a key for tests"
+
+
+def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(table(spark, sf_dir, "documents"), KEY).select("doc_id", "text", F.col("_entities").cast("long").alias("n_entities"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
@@ -62,6 +70,7 @@ def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_surrogates": op1_surrogates,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_merge_replay": op3_merge_replay,
     "op4_secret_scan": op4_secret_scan,
