@@ -1,0 +1,97 @@
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from spatialplate.functions import geometry as G
+from spatialplate.functions import names as N
+
+coordinate = st.integers(0, 40).map(lambda i: i / 2)
+line = st.lists(st.tuples(coordinate, coordinate), min_size=1, max_size=40)
+
+
+def distance(p, a, b):
+    d = (b[0] - a[0]) ** 2 + (b[1] - a[1]) ** 2
+    t = 0 if d == 0 else min(1, max(0, ((p[0] - a[0]) * (b[0] - a[0]) + (p[1] - a[1]) * (b[1] - a[1])) / d))
+    return np.hypot(p[0] - a[0] - t * (b[0] - a[0]), p[1] - a[1] - t * (b[1] - a[1]))
+
+
+@settings(max_examples=200, deadline=None)
+@given(line)
+def test_simplification_keeps_ends_and_stays_near(points):
+    x, y = np.array(points, float).T
+    kept = G.kept_points(x, y, 1.0).tolist()
+    assert kept[0] == 0 and kept[-1] == len(points) - 1 and kept == sorted(set(kept))
+    for a, b in zip(kept, kept[1:], strict=False):
+        assert all(distance(points[i], points[a], points[b]) <= 1.0 + 1e-9 for i in range(a + 1, b))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(coordinate, coordinate), min_size=3, max_size=30))
+def test_closed_rings_keep_four_points(points):
+    ring = [*points, points[0]]
+    assert len(G.kept_points(*np.array(ring, float).T, 100.0)) == min(4, len(ring))
+
+
+def test_known_outline():
+    ring = np.array([[584, 760], [613, 800], [618, 808], [615, 829], [636, 820], [809, 755], [782, 682], [584, 760]], float)
+    assert ring[G.kept_points(*ring.T, 1.0)].tolist() == [[584, 760], [618, 808], [615, 829], [809, 755], [782, 682], [584, 760]]
+
+
+def rings(*parts):
+    return [[{"x": float(x), "y": float(y)} for x, y in p] for p in parts]
+
+
+SQUARE = [(0, 0), (10, 0), (10, 10), (0, 10), (0, 0)]
+HOLE = [(2, 2), (8, 2), (8, 8), (2, 8), (2, 2)]
+
+
+@pytest.mark.parametrize(
+    ("kind", "parts", "triangle", "hit"),
+    [
+        ("Polygon", [SQUARE], [(20, 20), (30, 20), (20, 30)], False),
+        ("Polygon", [SQUARE], [(10, 5), (20, 0), (20, 10)], True),  # touches a side by a corner
+        ("Polygon", [SQUARE], [(10, 2), (10, 8), (20, 5)], True),  # shares a part of a side
+        ("Polygon", [SQUARE], [(10, 10), (20, 10), (20, 20)], True),  # touches corner to corner
+        ("Polygon", [SQUARE], [(-50, -50), (100, -50), (0, 100)], True),  # lies in the triangle
+        ("Polygon", [SQUARE], [(3, 3), (5, 3), (3, 5)], True),  # holds the triangle
+        ("Polygon", [SQUARE, HOLE], [(3, 3), (5, 3), (3, 5)], False),  # holds it in a hole
+        ("Polygon", [SQUARE, HOLE], [(1, 1), (5, 3), (3, 5)], True),
+        ("LineString", [[(0, 0), (10, 10)]], [(0, 10), (10, 0), (10, 10)], True),
+        ("LineString", [[(0, 0), (1, 1)]], [(5, 0), (9, 0), (9, 3)], False),
+        ("LineString", [[(0, 0), (0, 10), (10, 10), (10, 0)]], [(3, 3), (5, 3), (3, 5)], False),  # a line has no inside
+        ("Polygon", [SQUARE], [(5, 5), (5, 5), (5, 5)], True),  # one point chosen three times
+        ("Polygon", [SQUARE], [(20, 0), (30, 0), (40, 0)], False),  # no area, on the line through a side
+        ("Point", None, [(0, 0), (1, 0), (0, 1)], None),
+    ],
+)
+def test_meets_triangle(spark, kind, parts, triangle, hit):
+    df = spark.createDataFrame([(kind, rings(*parts) if parts else None, rings(triangle)[0])], "type string, rings array<array<struct<x:double,y:double>>>, t array<struct<x:double,y:double>>")
+    corners = [F.get("t", F.lit(i)) for i in range(3)]
+    assert df.select(G.meets_triangle(F.col("type"), F.col("rings"), *corners).alias("h")).first().h is hit
+
+
+def test_centroid_box_and_turns(spark):
+    df = spark.createDataFrame([(rings(SQUARE),), (rings([(1, 1), (3, 1), (1, 1)]),)], "r array<array<struct<x:double,y:double>>>")
+    r = df.select(G.centroid(F.col("r")).alias("c"), G.box(F.col("r")).alias("b"), G.closed_triangle(F.slice(F.get("r", F.lit(0)), 1, 3)).alias("t")).collect()
+    assert tuple(r[0].c) == (5, 5) and tuple(r[0].b) == (0, 0, 10, 10) and tuple(r[1].c) == (5 / 3, 1)
+    assert r[0].t[0] == r[0].t[3]
+
+
+def test_scaling_is_the_floor_of_doubles(spark):
+    df = spark.createDataFrame([(631.33, 163.33), (-0.001, 0.001)], "x double, y double")
+    p = F.struct("x", "y")
+    assert [tuple(r.p) for r in df.select(G.scaled(G.oriented(p)).alias("p")).collect()] == [(63133, -16334), (-1, -1)]
+    assert [tuple(r.p) for r in df.select(G.oriented(p, ((0.0, 1.0), (1.0, 0.0))).alias("p")).collect()][0] == (163.33, 631.33)
+
+
+def test_names_and_colours(spark):
+    df = spark.range(1).select(
+        N.well_name(F.lit(16), F.lit(24)).alias("w"), N.well_row(F.lit("P24")).alias("r"), N.well_col(F.lit("P24")).alias("c"), N.numbered_class(F.lit("a"), F.lit(7)).alias("a7"), N.numbered_class(F.lit("a"), F.lit(1234)).alias("a1234"),
+        N.combined_class(F.lit("a"), F.lit("b"), F.lit(3)).alias("ab"), N.file_stem(F.lit("x.y.geojson")).alias("stem"), N.packed_colour(F.lit(3), F.lit(128), F.lit(17)).alias("p"), N.unpacked_colour(F.lit(-16547823)).alias("u"),
+        F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: N.palette_colour(i)).alias("palette"), N.percent(F.lit(5) / F.lit(6)).alias("pct"),
+    ).first()
+    assert (df.w, df.r, df.c, df.a7, df.a1234, df.ab, df.stem) == ("P24", "P", 24, "a_007", "a_1234", "a_b_3", "x.y")
+    assert df.p == -16547823 and list(df.u) == [3, 128, 17] and df.pct == "83.33%"
+    assert list(df.palette) == [-65536, -16711936, -16776961, -65281, -16711681, -256, -65536]
