@@ -136,7 +136,6 @@ def kept_points(x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarray:
     closed = x[0] == x[-1] and y[0] == y[-1]
     keep = np.zeros(n, bool)
     keep[[0, n - 1]] = True
-    gaps: list[tuple[float, int]] = []
 
     def farthest(a: int, b: int) -> tuple[float, int]:
         px, py, dx, dy = x[a + 1 : b] - x[a], y[a + 1 : b] - y[a], x[b] - x[a], y[b] - y[a]
@@ -146,21 +145,21 @@ def kept_points(x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarray:
         i = int(far.argmax())
         return float(far[i]), a + 1 + i
 
-    todo = [(0, n - 1)]
-    while todo:
-        a, b = todo.pop()
-        if b - a < 2:
-            continue
-        far, i = farthest(a, b)
-        if far > tolerance:
-            keep[i] = True
-            todo += [(a, i), (i, b)]
-        else:
-            gaps.append((far, i))
-    while closed and keep.sum() < min(4, n) and gaps:
-        stays = np.flatnonzero(keep)
-        found = [farthest(a, b) for a, b in zip(stays[:-1].tolist(), stays[1:].tolist(), strict=True) if b - a > 1]
-        keep[max(found)[1]] = True
+    def split(todo: list[tuple[int, int]]) -> None:
+        while todo:
+            a, b = todo.pop()
+            if b - a > 1:
+                far, i = farthest(a, b)
+                if far > tolerance:
+                    keep[i] = True
+                    todo += [(a, i), (i, b)]
+
+    split([(0, n - 1)])
+    while closed and keep.sum() < min(4, n):
+        stays = np.flatnonzero(keep).tolist()
+        _, i, a, b = max((*farthest(a, b), a, b) for a, b in zip(stays[:-1], stays[1:], strict=True) if b - a > 1)
+        keep[i] = True
+        split([(a, i), (i, b)])
     return np.flatnonzero(keep)
 
 

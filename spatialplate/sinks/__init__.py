@@ -51,7 +51,7 @@ def feature_text(shapes: DataFrame) -> DataFrame:
     """(slide_id, ord, value): each feature as one line of GeoJSON; coordinates go as the numbers that were read."""
     rest = F.to_json(F.struct(F.lit("Feature").alias("type"), F.col("id")))
     properties = F.to_json(F.struct(F.col("objectType").alias("objectType"), F.col("classification")))
-    shape = F.concat(F.lit('{"type":"'), F.col("geometry.type"), F.lit('","coordinates":'), F.col("geometry.coordinates"), F.lit("}"))
+    shape = F.concat(F.lit('{"type":"'), F.col("geometry.type"), F.lit('","coordinates":'), F.regexp_replace("geometry.coordinates", r"\s+", ""), F.lit("}"))
     value = F.concat(F.expr("left(_rest, length(_rest) - 1)"), F.lit(',"geometry":'), shape, F.lit(',"properties":'), properties, F.lit("}"))
     return sanitised(shapes).withColumn("_rest", rest).select("slide_id", "ord", value.alias("value"))
 

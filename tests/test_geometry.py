@@ -31,7 +31,7 @@ def test_simplification_keeps_ends_and_stays_near(points):
 @given(st.lists(st.tuples(coordinate, coordinate), min_size=3, max_size=30))
 def test_closed_rings_keep_four_points(points):
     ring = [*points, points[0]]
-    assert len(G.kept_points(*np.array(ring, float).T, 100.0)) == min(4, len(ring))
+    assert len(G.kept_points(*np.array(ring, float).T, 100.0)) >= min(4, len(ring))
 
 
 def test_known_outline():
