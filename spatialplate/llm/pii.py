@@ -250,7 +250,8 @@ def replace(df: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "
     edits = mentions.select("_id", "_key", F.struct("start", "end", put("type", "surface", "new").alias("new")).alias("e")).groupBy("_id", "_key").agg(F.sort_array(F.collect_set("e")).alias("_edits"))
     edits = written(edits, "edits").withColumnsRenamed({"_id": "_edit_id", "_key": "_edit_key"})
     keyed = df.withColumn("_key", row_key(F.col(id_col), F.col(text_col)))
-    joined = keyed.join(edits, (F.col("_key") == F.col("_edit_key")) & F.col(id_col).eqNullSafe(F.col("_edit_id")), "left")
+    # The table of edits grows with the documents: one plan at every size.
+    joined = keyed.join(edits.hint("merge"), (F.col("_key") == F.col("_edit_key")) & F.col(id_col).eqNullSafe(F.col("_edit_id")), "left")
     text = F.col(text_col)
     begin = lambda i: F.when(i == 0, 0).otherwise(F.get("_edits", i - 1).end)
     parts = F.transform("_edits", lambda e, i: F.concat(F.substr(text, begin(i) + 1, e.start - begin(i)), e.new))
