@@ -6,6 +6,7 @@ import os
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spatialplate.llm import language_id, line_dedup, ngram_join, packing, pii
@@ -32,9 +33,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near duplicates; documents without an id stay."""
+    """The document of smallest id of each group of near duplicates, once; documents without an id stay."""
     gone = ngram_join.cluster(docs).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(written(gone, "duplicates"), "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.where(F.col("doc_id").isNotNull()).join(written(gone, "duplicates").hint("merge"), "doc_id", "left_anti")
+    # The join has put equal ids together, so that repeated rows are found where they are.
+    n = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    return kept.withColumn("_n", n).where(F.col("_n") == 1).select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,8 +6,8 @@ sets share tokens early in it. Small (light) sets are looked up by all subsets
 of two tokens of their prefix, large (heavy) ones by scanning the inverted lists
 of single tokens, with the boundary where the two cost least together.
 
-The answer is components, so a list's members need not all be compared: in each
-round a list's members are held against one of them, and later only members of
+The answer is components, so a long list's members need not all be compared: in
+each round they are held against one of them, and later only members of
 different components still count. When few such pairs are left, all are tried.
 """
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,12 @@ from .common import slices, written
 
 #: Tokens in the order's table (12 bytes each, broadcast), the count that makes a token frequent, and sizes that may be light.
 ORDER, FREQUENT, LIGHT = 500_000, 8, 64
-#: Words that a worker remembers; parts that a class's members are dealt to; rounds of one against all; pairs a list row may cost at the end.
-WORDS, SALTS, ROUNDS, PAIRS = 1_000_000, 16, 6, 3
+#: Words that a worker remembers; parts that a class's members are dealt to; members of a short list.
+WORDS, SALTS, SHORT = 400_000, 16, 24
+#: Bits of the filter that spares most texts a second reading: 8 MB.
+BITS = 1 << 26
+#: For longer lists, rounds of one member against all at most, and pairs left over for each entry at which all are tried.
+ROUNDS, PAIRS = 8, 3
 
 
 class _Hashes(dict):
@@ -47,7 +52,7 @@ def shingle_sets(texts: list[str | None], width: int = 5) -> list[np.ndarray]:
     """Each text's sorted distinct shingle hashes. Fewer words than `width` are one shingle; no word, no shingle."""
     words = [t.encode().lower().split() if t else [] for t in texts]
     sizes = np.array([len(w) for w in words], np.int64)
-    flat = np.fromiter((_hashes[w] for doc in words for w in doc), np.uint64, int(sizes.sum()))
+    flat = np.fromiter(map(_hashes.__getitem__, chain.from_iterable(words)), np.uint64, int(sizes.sum()))
     out, rolled, seed = [], None, np.uint64(0x9E3779B97F4A7C15)
     n = len(flat) - width + 1
     if n > 0:
@@ -75,14 +80,15 @@ def prefix_size(n: int, percent: int, k: int) -> int:
 
 
 def frequent(docs: DataFrame, width: int) -> DataFrame:
-    """(token, n): tokens that come up several times, counted over all documents within Arrow batches and then together."""
+    """(token, n): tokens that come up several times, counted over all documents, within parts of batches and then together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [s for part in slices(batch, 1, 4_000_000) for s in shingle_sets(part.column(1).to_pylist(), width)]
-            tokens, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
-            tokens, n = tokens[n > 1], n[n > 1]
-            yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(n)], ["token", "n"])
+            for part in slices(batch, 1, 16_000_000):
+                found = [s for few in slices(part, 1, 4_000_000) for s in shingle_sets(few.column(1).to_pylist(), width)]
+                tokens, n = np.unique(np.concatenate(found), return_counts=True)
+                tokens, n = tokens[n > 1], n[n > 1]
+                yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(n)], ["token", "n"])
 
     return docs.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
 
@@ -149,12 +155,14 @@ def boundary(sets: DataFrame, percent: int) -> int:
 
 
 def entries(reps: DataFrame, light: int, percent: int) -> DataFrame:
-    """(key, node, n): subsets of two for light sets, single tokens for heavy ones and for light ones that may link with them."""
+    """(key, pos, node, n): subsets of two for light sets, single tokens with their place for heavy ones and for light ones that may link with them."""
     first = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
-    single = F.when(F.col("n") * 100 >= percent * (light + 1), F.slice("prefix", 1, first)).otherwise(F.array().cast("array<long>"))
+    kind = "array<struct<key:long,pos:int>>"
+    placed = F.transform(F.slice("prefix", 1, first), lambda t, i: F.struct(t.alias("key"), (i + 1).alias("pos")))
+    single = F.when(F.col("n") * 100 >= percent * (light + 1), placed).otherwise(F.array().cast(kind))
     two = F.flatten(F.transform("prefix", lambda a, i: F.transform(F.slice("prefix", i + 2, F.size("prefix")), lambda b: F.xxhash64(a, b))))
-    pairs = F.when(F.col("n") <= light, two).otherwise(F.array().cast("array<long>"))
-    return reps.select("node", "n", F.explode(F.concat(single, pairs)).alias("key"))
+    pairs = F.when(F.col("n") <= light, F.transform(two, lambda t: F.struct(t.alias("key"), F.lit(1).alias("pos")))).otherwise(F.array().cast(kind))
+    return reps.select("node", "n", F.inline(F.concat(single, pairs)))
 
 
 def _alike(n: Column, m: Column, percent: int) -> Column:
@@ -162,11 +170,17 @@ def _alike(n: Column, m: Column, percent: int) -> Column:
     return (n * 100 >= m * percent) & (m * 100 >= n * percent)
 
 
+def _needed(n: Column, m: Column, percent: int) -> Column:
+    """Tokens that the prefixes of similar enough sets have in common: of the one that ends first, all but what the other may lack."""
+    most = lambda x: F.ceil(x * percent / 100)
+    return F.ceil((n + m) * percent / (100 + percent)) + 1 - F.greatest(most(n), most(m))
+
+
 def verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose sets are similar enough; tokens(node, tokens)."""
     left = tokens.select(F.col("node").alias("a"), F.col("tokens").alias("_a"))
     right = tokens.select(F.col("node").alias("b"), F.col("tokens").alias("_b"))
-    both = pairs.select("a", "b").join(right, "b").join(left, "a")
+    both = pairs.select("a", "b").hint("merge").join(right, "b").hint("merge").join(left, "a")
     common = F.size(F.array_intersect("_a", "_b"))
     return both.where(common * 100 >= (F.size("_a") + F.size("_b") - common) * percent).select("a", "b")
 
@@ -185,18 +199,20 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("node", "component")
 
 
-def links_between(docs: DataFrame, reps: DataFrame, light: int, width: int, percent: int) -> DataFrame | None:
-    """Verified links (a, b) among representatives, enough to span every component; None if there are none.
+def _likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """docs whose id may be among wanted(id): all that are, and few others while BITS are many against the ids.
 
-    reps(node, n, prefix); docs(id, text) hold the representatives' texts.
+    A bitmap of BITS bits at most is broadcast, so texts need not be shuffled.
     """
-    dealt = entries(reps, light, percent).repartition("key")
-    keys = dealt.groupBy("key").agg(F.count("*").alias("_m")).where(F.col("_m") > 1).select("key")
-    shared = written(dealt.join(keys, "key"), "shared")
-    total = shared.count()
-    if not total:
-        return None
-    wanted = shared.select(F.col("node").alias("id")).distinct()
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS)) + 1
+    bits = wanted.select(place("id").alias("p")).groupBy(F.bitmap_bucket_number("p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_bits"))
+    bit = F.bitmap_bit_position(place("id"))
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(bit / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    return docs.withColumn("_bucket", F.bitmap_bucket_number(place("id"))).join(F.broadcast(bits), "_bucket").where(byte.bitwiseAND(F.pow(F.lit(2), bit % 8).cast("int")) != 0).select(*docs.columns)
+
+
+def _token_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(node, tokens): the sets of the wanted documents, from their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,37 +221,81 @@ def links_between(docs: DataFrame, reps: DataFrame, light: int, width: int, perc
                 ends = np.append(0, np.cumsum([len(s) for s in sets]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))], ["node", "tokens"])
 
-    tokens = written(docs.join(wanted, "id", "left_semi").mapInArrow(run, "node long, tokens array<long>"), "tokens")
-    links: DataFrame | None = None
-    labels: DataFrame | None = None
-    for turn in range(ROUNDS + 1):
-        if labels is None:
-            now = shared.withColumn("component", F.col("node"))
-        else:
-            now = shared.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        open_keys = now.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where(F.col("_low") != F.col("_high")).select("key")
-        now = written(now.join(open_keys, "key"), "open")
-        parts = now.groupBy("key", "component").agg(F.count("*").cast("double").alias("m")).groupBy("key").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("s"))
-        left = parts.agg(F.sum((F.col("m") * F.col("m") - F.col("s")) / 2)).first()[0] or 0.0
+    ids = wanted.select(F.col("node").alias("id")).distinct()
+    return _likely(docs, ids).mapInArrow(run, "node long, tokens array<long>").join(ids.select(F.col("id").alias("node")).hint("merge"), "node", "left_semi")
+
+
+def short_list_pairs(short: DataFrame, long: DataFrame, light: int, percent: int) -> DataFrame:
+    """Pairs (a, b) that share enough entries of short lists.
+
+    What two nodes may share in long lists counts as shared. Light sets share
+    subsets, of which one is enough.
+    """
+    more = long.groupBy("node").agg(F.count("*").alias("more"))
+    held = short.join(more, "node", "left").na.fill(0, ["more"])
+    x, y = (held.select("key", *[F.col(c).alias(f"{c}_{z}") for c in ("node", "n", "more")]) for z in "ab")
+    met = x.join(y, "key").where((F.col("node_a") < F.col("node_b")) & _alike(F.col("n_a"), F.col("n_b"), percent))
+    counts = met.groupBy("node_a", "node_b").agg(F.count("*").alias("common"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.first(F.least("more_a", "more_b")).alias("more"))
+    enough = (F.greatest("n_a", "n_b") <= light) | (F.col("common") + F.col("more") >= _needed(F.col("n_a"), F.col("n_b"), percent))
+    return counts.where(enough).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+
+def links_between(docs: DataFrame, reps: DataFrame, light: int, width: int, percent: int) -> DataFrame | None:
+    """Verified links (a, b) among representatives, enough to span every component; None if there are none.
+
+    reps(node, n, prefix); docs(id, text) hold the representatives' texts.
+    Lists of up to SHORT members give all their pairs. In a longer list, what
+    stands before the first common token counts against a pair on both sides, so
+    that one of the two has it in its first part (`low`). In each round the
+    members are held against one low member; at last all pairs with a low member
+    are tried that are in different components still.
+    """
+    dealt = entries(reps, light, percent).repartition("key")
+    keys = dealt.groupBy("key").agg(F.count("*").alias("_m")).where(F.col("_m") > 1)
+    shared = written(dealt.join(keys, "key"), "shared")
+    short, long = (shared.where(c).select("key", "pos", "node", "n") for c in (F.col("_m") <= SHORT, F.col("_m") > SHORT))
+    pairs = written(short_list_pairs(short, long, light, percent), "pairs")
+    held = shared.groupBy("node").agg(F.count("*").alias("held"))  # how many of its tokens any other set has
+    long = long.join(held, "node").withColumn("low", (F.col("pos") - 1) * (100 + percent) <= F.col("n") * (100 - percent))
+    tokens = written(_token_sets(docs, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(long.select("node")), width), "tokens")
+    links = written(verified(pairs, tokens, percent), "links")
+    labels = None if links.isEmpty() else components(links)
+    total, before = long.count(), math.inf
+
+    def may_link(x: str, y: str) -> Column:
+        n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+        common = F.ceil((n + m) * percent / (100 + percent))
+        held = (F.greatest(n, m) <= light) | (F.least(f"{x}.held", f"{y}.held") >= _needed(n, m, percent))
+        return held & (F.col(f"{x}.component") != F.col(f"{y}.component")) & _alike(n, m, percent) & (n - F.col(f"{x}.pos") + 1 >= common) & (m - F.col(f"{y}.pos") + 1 >= common)
+
+    for turn in range(ROUNDS + 1 if total else 0):
+        now = long.withColumn("component", F.col("node")) if labels is None else long.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        now = written(now, "open")
+        one = now.groupBy("key", "component").agg(F.count_if("low").cast("double").alias("l"), F.count("*").cast("double").alias("m"))
+        tried = lambda l, m: l * m - l * l / 2  # noqa: E731, E741
+        open_keys = one.groupBy("key").agg((tried(F.sum("l"), F.sum("m")) - F.sum(tried(F.col("l"), F.col("m")))).alias("_left")).where(F.col("_left") > 0)
+        left = open_keys.agg(F.sum("_left")).first()[0] or 0.0
         if not left:
             break
-        last = turn == ROUNDS or left <= PAIRS * total and turn > 0
+        now = now.join(open_keys.select("key"), "key")
+        last = turn == ROUNDS or left <= PAIRS * total or left > before / 4
+        before = left
         if last:
-            a, b = (now.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "component")]) for x in "ab")
-            pairs = a.join(b, "key").where((F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & _alike(F.col("n_a"), F.col("n_b"), percent))
-            pairs = pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-        else:  # one member of each list against the others; each node takes up the member it meets most often
-            middle = now.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("mix"), "node", "n", "component")).alias("c"))
-            met = now.join(middle, "key").where((F.col("component") != F.col("c.component")) & _alike(F.col("n"), F.col("c.n"), percent))
-            counts = met.groupBy(F.col("c.node").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("m"))
-            pairs = counts.groupBy("b").agg(F.max(F.struct("m", "a")).alias("c")).select(F.col("c.a").alias("a"), "b")
+            x, y = now.where("low").alias("x"), now.alias("y")
+            pairs = x.join(y, F.col("x.key") == F.col("y.key")).where((~F.col("y.low") | (F.col("x.node") < F.col("y.node"))) & may_link("x", "y"))
+            pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+        else:
+            # First the member with the least before the token, for it is nearest to what the list has in common; then any.
+            rank = F.when(F.lit(turn == 0), F.col("pos")).otherwise(0).alias("rank")
+            middle = now.where("low").groupBy("key").agg(F.min(F.struct(rank, F.xxhash64("node", F.lit(turn)).alias("mix"), "node", "n", "pos", "component", "held")).alias("c"))
+            pairs = now.alias("x").join(middle, "key").where(may_link("x", "c")).select(F.col("c.node").alias("a"), F.col("x.node").alias("b")).distinct()
         found = written(verified(pairs, tokens, percent), "links")
-        links = found if links is None else links.unionByName(found)
+        links = links.unionByName(found)
         if last:
             break
         if not found.isEmpty():
             labels = components(links)
-    return None if links is None or links.isEmpty() else links
+    return None if links.isEmpty() else links
 
 
 def cluster(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
