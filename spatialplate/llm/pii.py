@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from .common import row_key, slices, written
 
 SALTS = 16
-#: From this attempt on a surrogate may be longer than its entity, for its format has few values.
-LONGER = 12
+#: From this attempt on a surrogate may be longer than its entity, for its format has few values left;
+#: an address then comes from the block that is never given out (240 and up).
+LONGER = 5
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERNS = [
@@ -145,23 +146,28 @@ def surrogate(kind: str, entity: str, gender: str, attempt: int, key: bytes) ->
         octets = list(map(int, entity.split(".")))
         fixed = 1 if octets[0] in (10, 127) else 2 if octets[:2] == [192, 168] or octets[0] == 172 and 16 <= octets[1] < 32 else 0
         first = [*octets[:fixed]]
-        if not fixed:
+        if more:
+            first = [240 + s.below(15)]
+        elif not fixed:
             first = [20 + s.below(104)]  # neither private nor reserved
         return ".".join(map(str, first + [1 + s.below(254) for _ in range(4 - len(first))]))
     if kind == "ip6":
-        return re.sub(r"[0-9a-f]", lambda m: "0123456789abcdef"[s.below(16)], entity)
+        wide = ":".join(["0" * 4] * 8) if more else entity
+        return re.sub(r"[0-9a-f]", lambda m: "0123456789abcdef"[s.below(16)], wide)
+    extra = "".join(str(s.below(10)) for _ in range(more))
     if kind == "card":
+        valid, entity = luhn(entity), entity[:-1] + extra + entity[-1]
         body = entity[0] + "".join(str(s.below(10)) for _ in entity[1:-1])
-        ends = [c for c in "0123456789" if luhn(body + c) == luhn(entity)]
+        ends = [c for c in "0123456789" if luhn(body + c) == valid]
         return body + ends[s.below(len(ends))]
     if kind == "ssn":
-        return "9" + "".join(str(s.below(10)) for _ in entity[1:])
+        return "9" + "".join(str(s.below(10)) for _ in entity[1:]) + extra
     if kind == "iban":
         body = "".join(str(s.below(10)) if c.isdigit() else chr(65 + s.below(26)) for c in entity[4:])
         check = 98 - int("".join(str(int(c, 36)) for c in body + entity[:2] + "00")) % 97
         return f"{entity[:2]}{check:02d}{body}"
     if kind == "phone":
-        return "".join(c if c == "0" and i == 0 else str(2 + s.below(8)) if i == 0 else str(s.below(10)) for i, c in enumerate(entity))
+        return "".join(c if c == "0" and i == 0 else str(2 + s.below(8)) if i == 0 else str(s.below(10)) for i, c in enumerate(entity)) + extra
     consonants, vowels, ends = SOUNDS[script(entity)]
     syllables = max(2, -(-len(entity) // 3)) + more
     return "".join(consonants[s.below(len(consonants))] + vowels[s.below(len(vowels))] for _ in range(syllables)) + ends[gender or "n"]
