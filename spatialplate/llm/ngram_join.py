@@ -30,7 +30,7 @@ from .common import slices, written
 #: Tokens in the order's table (12 bytes each, broadcast), the count that makes a token frequent, and sizes that may be light.
 ORDER, FREQUENT, LIGHT = 500_000, 8, 64
 #: Words that a worker remembers; parts that a class's members are dealt to; members of a short list.
-WORDS, SALTS, SHORT = 400_000, 16, 24
+WORDS, SALTS, SHORT = 150_000, 16, 24
 #: Bits of the filter that spares most texts a second reading: 8 MB.
 BITS = 1 << 26
 #: For longer lists, rounds of one member against all at most, and pairs left over for each entry at which all are tried.
@@ -84,7 +84,7 @@ def frequent(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1, 16_000_000):
+            for part in slices(batch, 1, 8_000_000):
                 found = [s for few in slices(part, 1, 4_000_000) for s in shingle_sets(few.column(1).to_pylist(), width)]
                 tokens, n = np.unique(np.concatenate(found), return_counts=True)
                 tokens, n = tokens[n > 1], n[n > 1]
