@@ -160,12 +160,19 @@ class Model:
 
 
 def sampled(df: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> dict[str, list[str]]:
-    """ROWS rows of each language by their id's hash, CHARS characters of each: all that reaches the driver."""
-    rows = df.where(F.col(lang_col).isNotNull() & F.rlike(F.coalesce(text_col, F.lit("")), F.lit(r"\p{L}")))
-    mixed = rows.select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, CHARS).alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.lit(1)).alias("mix"))
-    # The best of each share first, so that no task sees more than a share of a language's rows.
-    part = W.partitionBy("lang", F.pmod("mix", F.lit(97))).orderBy("mix", "text")
-    few = mixed.withColumn("n", F.row_number().over(part)).where(F.col("n") <= ROWS)
+    """ROWS rows of each language by a hash, CHARS characters of each: all that reaches the driver.
+
+    A language's count sets the share of its rows whose hash is looked at, so
+    that a few times ROWS of them are sorted and no more.
+    """
+    rows = df.where(F.col(lang_col).isNotNull())
+    counts = rows.groupBy(F.col(lang_col).alias("lang")).count().collect()
+    if not counts:
+        return {}
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], math.ceil(min(1.0, 4 * ROWS / r["count"]) * (1 << 30)))])
+    text = F.substring(text_col, 1, CHARS)
+    mixed = rows.select(F.col(lang_col).alias("lang"), text.alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.substring(text_col, 1, 100)).alias("mix"))
+    few = mixed.where((F.pmod("mix", F.lit(1 << 30)) < share[F.col("lang")]) & F.rlike(F.coalesce("text", F.lit("")), F.lit(r"\p{L}")))
     best = few.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("mix", "text"))).where(F.col("n") <= ROWS)
     out: dict[str, list[str]] = {}
     for r in best.orderBy("lang", "n").collect():
