@@ -3,9 +3,9 @@
 The histogram of piece lengths (at most one count for each length up to the
 capacity) is all that reaches the driver. There a configuration linear program
 is solved by multiplicative weights: each length has a weight, a knapsack
-dynamic program finds the best configuration for the weights, and weights fall
-as lengths are covered. Rounded down, the solution leaves a few pieces of each
-length for the next round; a best-fit pass over the histogram packs the last.
+dynamic program finds the best configurations for the weights, and weights fall
+in small steps as lengths are covered, until every length is. The solution is
+rounded; a best-fit pass over the histogram packs the few pieces that leaves.
 Spark then numbers the pieces of each length and deals the numbers out to the
 configurations' places.
 """
@@ -13,6 +13,7 @@ configurations' places.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,10 @@ from .common import slices, written
 
 #: Weights start a little steeper than the lengths, for long pieces have fewer places to go.
 POWER = 1.2
+#: Steps in which a length is covered, and the power of e by which its weight falls in one.
+STEPS, STEP = 10, 0.35
+#: The share of a length's pieces that may stay uncovered, and how far below the best a configuration's weight may be.
+TOLERANCE, SLACK = 0.01, 0.02
 _kept: dict = {}
 
 
@@ -83,45 +88,85 @@ def pieces(df: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_c
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
-def best_configuration(weights: np.ndarray) -> np.ndarray:
-    """How often each length goes into the configuration of greatest weight; weights[l - 1] is that of length l."""
+def priced(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each room: the greatest weight of a configuration in it, and a length to take then (0: leave a place free)."""
     cap = len(weights)
     value, choice = np.zeros(cap + 1), np.zeros(cap + 1, np.int64)
     for room in range(1, cap + 1):
-        total = value[room - 1 :: -1] + weights[:room] if room else weights[:0]
+        total = value[room - 1 :: -1] + weights[:room]
         best = int(total.argmax())
         value[room], choice[room] = (total[best], best + 1) if total[best] > value[room - 1] else (value[room - 1], 0)
-    used, room = np.zeros(cap, np.int64), cap
-    while room > 0:
-        if choice[room]:
-            used[choice[room] - 1] += 1
-            room -= choice[room]
-        else:
-            room -= 1
-    return used
-
-
-def relaxed(demand: np.ndarray, rounds: int, step: float = 0.35) -> list[tuple[np.ndarray, float]]:
-    """Configurations and how often each is used, fractionally, so that every length is about covered."""
+    return value, choice
+
+
+def traced(choice: np.ndarray, room: np.ndarray) -> list[np.ndarray]:
+    """The lengths taken one after the other in each of some rooms, 0 once there are none."""
+    taken = np.maximum.accumulate(np.where(choice > 0, np.arange(len(choice)), 0))
+    out, room = [], taken[room]
+    while room.any():
+        out.append(choice[room])
+        room = taken[room - out[-1]]
+    return out
+
+
+def best_configuration(weights: np.ndarray) -> np.ndarray:
+    """How often each length goes into the configuration of greatest weight; weights[l - 1] is that of length l."""
+    cap = len(weights)
+    lengths = np.concatenate([np.zeros(0, np.int64), *traced(priced(weights)[1], np.array([cap]))])
+    return np.bincount(lengths, minlength=cap + 1)[1:]
+
+
+def relaxed(demand: np.ndarray, steps: int) -> dict[tuple[int, ...], float]:
+    """Configurations, as their lengths in falling order, and how often each is used, fractionally.
+
+    A round takes for each length not yet covered the best configuration that
+    holds it, where that is within SLACK of the best of all, as often as covers
+    1 / steps of some length's pieces and no more of any. Weights are
+    multiplied by exp(-STEP) for each such step. Some length always makes a
+    whole one, so that there are at most steps + 1 rounds a length; they end
+    when all but TOLERANCE of every length is covered.
+    """
     cap = len(demand)
     size = (np.arange(1, cap + 1) / cap) ** POWER
-    covered = np.zeros(cap)
-    need = np.maximum(demand, 1)
-    out = []
-    for _ in range(rounds):
-        weight = np.where(demand > 0, size * np.exp(-step * covered / need), 0)
-        weight[covered >= need] = 0
-        if not weight.any():
-            break
-        used = best_configuration(weight)
-        at = used > 0
-        times = float(((demand - covered)[at] / used[at]).min())
-        times = max(times, 1e-9)
-        covered += used * times
-        out.append((used, times))
+    need = np.maximum(demand, 1).astype(float)
+    covered = np.where(demand > 0, 0.0, need)
+    out: dict[tuple[int, ...], float] = {}
+    while len(lengths := np.flatnonzero(covered < (1 - TOLERANCE) * need) + 1):
+        done = covered / need
+        weight = np.zeros(cap)
+        weight[lengths - 1] = (size * np.exp(-STEP * steps * (done - done[lengths - 1].min())))[lengths - 1]
+        value, choice = priced(weight)
+        lengths = lengths[weight[lengths - 1] + value[cap - lengths] >= (1 - SLACK) * value[cap]]
+        held = -np.sort(-np.array([lengths, *traced(choice, cap - lengths)]), axis=0)
+        times = np.append(np.inf, need)[held].min(axis=0)
+        used = np.bincount(held.ravel(), np.broadcast_to(times, held.shape).ravel(), cap + 1)[1:]
+        times /= np.append(0, used / np.maximum(np.minimum(need / steps, need - covered), 1e-12))[held].max(axis=0)
+        covered += np.bincount(held.ravel(), np.broadcast_to(times, held.shape).ravel(), cap + 1)[1:]
+        for config, n, x in zip(held.T.tolist(), (held > 0).sum(axis=0).tolist(), times.tolist(), strict=True):
+            key = tuple(config[:n])
+            out[key] = out.get(key, 0.0) + x
     return out
 
 
+def rounded(found: list[tuple[tuple[int, ...], float]], demand: np.ndarray, least: float) -> tuple[list[tuple[int, dict[int, int]]], np.ndarray]:
+    """found, greatest first, rounded down, then once more those of a fraction of at least `least` whose pieces are left; and the pieces left."""
+    left, out = [0, *demand.tolist()], []
+    for up in (False, True):
+        for config, times in found:
+            n = int(times + 1e-6)
+            if up:
+                n = int(times - n >= least)
+            elif not n:
+                break
+            if n and all(left[length] for length in config):
+                used = Counter(config)
+                if n := min(n, *(left[length] // k for length, k in used.items())):
+                    for length, k in used.items():
+                        left[length] -= n * k
+                    out.append((n, dict(used)))
+    return out, np.array(left[1:], np.int64)
+
+
 def best_fit(left: np.ndarray) -> list[tuple[int, dict[int, int]]]:
     """(times, {length: pieces}) for the pieces that are left: the longest first, each sequence filled with the longest that fit."""
     left, out = left.copy(), []
@@ -146,23 +191,24 @@ def best_fit(left: np.ndarray) -> list[tuple[int, dict[int, int]]]:
     return out
 
 
-def configurations(histogram: dict[int, int], capacity: int, rounds: int = 200, phases: int = 2) -> list[tuple[int, dict[int, int]]]:
-    """(times, {length: pieces}) whose pieces are exactly the histogram's."""
-    left = np.zeros(capacity, np.int64)
+def solved(histogram: dict[int, int], capacity: int, steps: int = STEPS) -> tuple[list[tuple[int, dict[int, int]]], list[tuple[int, dict[int, int]]]]:
+    """(times, {length: pieces}) from the program, and from best fit for what its rounding leaves.
+
+    Of three ways to round, up from any fraction, from a half and never, the
+    one of fewest sequences is taken, the first of equal ones.
+    """
+    demand = np.zeros(capacity, np.int64)
     for length, n in histogram.items():
-        left[length - 1] = n
-    out: list[tuple[int, dict[int, int]]] = []
-    for _ in range(phases):
-        before = left.sum()
-        for used, times in relaxed(left, rounds):
-            at = np.flatnonzero(used)
-            k = int(min(np.floor(times + 1e-6), (left[at] // used[at]).min()))
-            if k > 0:
-                left[at] -= k * used[at]
-                out.append((k, {int(i) + 1: int(used[i]) for i in at}))
-        if not left.any() or left.sum() > 0.9 * before:
-            break
-    return out + best_fit(left)
+        demand[length - 1] = n
+    found = sorted(relaxed(demand, steps).items(), key=lambda x: (-x[1], x[0]))
+    tried = [(out, best_fit(left)) for out, left in (rounded(found, demand, least) for least in (0.0, 0.5, 1.0))]
+    return min(tried, key=lambda x: sum(times for part in x for times, _ in part))
+
+
+def configurations(histogram: dict[int, int], capacity: int, steps: int = STEPS) -> list[tuple[int, dict[int, int]]]:
+    """(times, {length: pieces}) whose pieces are exactly the histogram's."""
+    program, rest = solved(histogram, capacity, steps)
+    return program + rest
 
 
 def places(found: list[tuple[int, dict[int, int]]]) -> dict[str, np.ndarray]:
@@ -184,7 +230,7 @@ def places(found: list[tuple[int, dict[int, int]]]) -> dict[str, np.ndarray]:
     return {"key": columns[0] << 44 | columns[1], "start": columns[1], "sequence": columns[2], "offset": columns[3], "n": columns[4]}
 
 
-def pack(cut: DataFrame, capacity: int = 2048, id_col: str = "doc_id", rounds: int = 200) -> DataFrame:
+def pack(cut: DataFrame, capacity: int = 2048, id_col: str = "doc_id", steps: int = STEPS) -> DataFrame:
     """cut, a table from pieces(), with sequence_id and offset, in as few sequences as it can.
 
     cut is read several times, so write it first. Offsets in a sequence are
@@ -194,7 +240,7 @@ def pack(cut: DataFrame, capacity: int = 2048, id_col: str = "doc_id", rounds: i
     spark = cut.sparkSession
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
-    runs = spark.sparkContext.broadcast(places(configurations(counts, capacity, rounds)))
+    runs = spark.sparkContext.broadcast(places(configurations(counts, capacity, steps)))
     # A length may hold most pieces: number them in buckets, then add what the buckets before hold.
     buckets = max(64, total // 500_000)
     dealt = cut.withColumn("_bucket", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(buckets)))

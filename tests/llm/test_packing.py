@@ -91,3 +91,21 @@ def test_pricing_finds_the_best_configuration():
             best[room] = max([best[room - 1]] + [best[room - i] + w[i - 1] for i in range(1, room + 1)])
         used = packing.best_configuration(w)
         assert (used * np.arange(1, 15)).sum() <= 14 and abs(used @ w - best[14]) < 1e-9
+
+
+def test_the_program_places_nearly_all():
+    rng = np.random.default_rng(5)
+    histogram = {length: int(n) for length, n in enumerate(rng.integers(100, 300, 1024), 1) if length > 60}
+    program, rest = packing.solved(histogram, 1024)
+    placed = sum(times * n for times, used in program for n in used.values())
+    assert placed >= 0.9 * sum(histogram.values())
+
+
+def test_the_relaxation_covers_every_length():
+    rng = np.random.default_rng(6)
+    demand = rng.integers(0, 9, 128)
+    covered = np.zeros(129)
+    for config, times in packing.relaxed(demand, 10).items():
+        assert times > 0 and sum(config) <= 128
+        np.add.at(covered, list(config), times)
+    assert (covered[1:] >= (1 - packing.TOLERANCE) * demand - 1e-6).all() and (covered[1:] <= demand + 1e-6).all()
