@@ -211,10 +211,13 @@ def spans(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def assigned(found: DataFrame, key: bytes) -> DataFrame:
     """(type, entity, new): each entity's surrogate, unlike all others and unlike all entities of the corpus.
 
-    An entity's gender is the one most told of its mentions, else neutral.
+    An entity's gender is the one most told of its mentions; it is neutral where
+    none is told or both are equally often.
     """
-    told = F.when(F.col("gender") != "n", F.col("gender"))
-    entities = written(found.groupBy("type", "entity").agg(F.coalesce(F.min(told), F.lit("n")).alias("gender")), "entities")
+    # Sums by entity, not groups by gender: one pass, combined before the shuffle.
+    told = lambda g: F.count_if(F.col("gender") == g)
+    most = F.when(told("f") > told("m"), "f").when(told("m") > told("f"), "m").otherwise("n")
+    entities = written(found.groupBy("type", "entity").agg(most.alias("gender")), "entities")
 
     @F.pandas_udf("string")
     def draw(kind: pd.Series, entity: pd.Series, gender: pd.Series, attempt: pd.Series) -> pd.Series:

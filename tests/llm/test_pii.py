@@ -60,6 +60,16 @@ def test_surrogates_are_distinct_even_where_formats_are_small(spark):
     assert not {(r.type, r.new) for r in rows} & {(r.type, r.entity) for r in rows}
 
 
+def test_the_gender_most_told_decides(spark):
+    rows = [(g, e) for e, told in {"smith": "mmmmf", "jones": "fffm", "lee": "mfmf", "kim": "nnnnm", "doe": "nn"}.items() for g in told]
+    mentions = spark.createDataFrame([("name", g, e) for g, e in rows] + [("email", "", "a@x.org")], "type string, gender string, entity string")
+    ends = {r.entity: r.new[-1] for r in pii.assigned(mentions, KEY).where("type = 'name'").collect()}
+    assert ends == {"smith": "n", "jones": "a", "lee": "y", "kim": "n", "doe": "y"}
+    text = [(i, "Mr Smith called.") for i in range(5)] + [(5, "Mrs Smith called.")]
+    out = pii.replace(spark.createDataFrame(text, "doc_id long, text string"), KEY).collect()
+    assert len({r.text.split()[1] for r in out}) == 1 and out[0].text.split()[1].endswith("n")
+
+
 def test_query_leaves_nothing(spark, sf):
     from spatialplate.llm.queries import QUERIES
 
