@@ -21,11 +21,12 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _mixed
-from .common import slices, written
+from .common import removed, slices, written
 
 #: Tokens in the order's table (12 bytes each, broadcast), the count that makes a token frequent, and sizes that may be light.
 ORDER, FREQUENT, LIGHT = 500_000, 8, 64
@@ -109,9 +110,8 @@ def order_table(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     return tokens[by], np.minimum(n[by], 1 << 30).astype(np.int32)
 
 
-def described(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(id, n, signature, prefix, scan) of each row: set size, hash of the set, first tokens for k = 2, list entries that a scan meets."""
-    order = docs.sparkSession.sparkContext.broadcast(order_table(docs, width))
+def described(docs: DataFrame, order: Broadcast, width: int, percent: int) -> DataFrame:
+    """(id, n, signature, prefix, scan) of each row: set size, hash of the set, first tokens for k = 2, list entries that a scan meets; order from order_table()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = order.value
@@ -176,43 +176,68 @@ def _needed(n: Column, m: Column, percent: int) -> Column:
     return F.ceil((n + m) * percent / (100 + percent)) + 1 - F.greatest(most(n), most(m))
 
 
+def _joined(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join by sorted partitions at every size: what grows with the documents is never broadcast."""
+    return left.hint("merge").join(right, on, how)
+
+
+def _spread(df: DataFrame, by: str) -> DataFrame:
+    """Rows dealt to SALTS parts, for keys that may hold a third of them."""
+    return df.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+
+
+def _copied(df: DataFrame) -> DataFrame:
+    """A copy of each row for each of the parts."""
+    return df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose sets are similar enough; tokens(node, tokens)."""
-    left = tokens.select(F.col("node").alias("a"), F.col("tokens").alias("_a"))
-    right = tokens.select(F.col("node").alias("b"), F.col("tokens").alias("_b"))
-    both = pairs.select("a", "b").hint("merge").join(right, "b").hint("merge").join(left, "a")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    near = _likely(tokens, wanted, "node")
+    left = near.select(F.col("node").alias("a"), F.col("tokens").alias("_a"))
+    right = near.select(F.col("node").alias("b"), F.col("tokens").alias("_b"))
+    both = _joined(_joined(pairs.select("a", "b"), right, "b"), left, "a")
     common = F.size(F.array_intersect("_a", "_b"))
     return both.where(common * 100 >= (F.size("_a") + F.size("_b") - common) * percent).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component): each linked node with the smallest node it reaches; least labels spread, and labels of labels are taken."""
-    edges = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    """(node, component): each linked node with the smallest node it reaches; least labels spread, and labels of labels are taken.
+
+    A node may have as many links as there are rows: its links are dealt to
+    parts, each of which gets the node's label.
+    """
+    edges = written(_spread(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "a"), "edges")
     labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("component")), "labels")
     while True:
-        near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("_near"))
-        new = labels.join(near, "node").select("node", F.least("component", "_near").alias("component"), F.col("component").alias("_old"))
-        above = labels.select(F.col("node").alias("component"), F.col("component").alias("_above"))
-        new = written(new.join(above, "component").select("node", F.least("component", "_above").alias("component"), "_old"), "labels")
+        near = _joined(edges, _copied(labels.withColumnRenamed("node", "b")), ["b", "_salt"]).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("_near"))
+        new = _joined(labels, near, "node").select("node", F.least("component", "_near").alias("component"), F.col("component").alias("_old"))
+        # Most nodes of a large component have one label: it is looked up once for each part.
+        above = _copied(labels.select(F.col("node").alias("component"), F.col("component").alias("_above")))
+        new = written(_joined(_spread(new, "node"), above, ["component", "_salt"]).select("node", F.least("component", "_above").alias("component"), "_old"), "labels")
+        removed(labels)
         if new.where(F.col("component") != F.col("_old")).isEmpty():
+            removed(edges)
             return new.select("node", "component")
-        labels = new.select("node", "component")
+        labels, folder = new.select("node", "component"), new._folder
+        labels._folder = folder
 
 
-def _likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """docs whose id may be among wanted(id): all that are, and few others while BITS are many against the ids.
+def _likely(rows: DataFrame, wanted: DataFrame, id_col: str = "id") -> DataFrame:
+    """rows whose id may be among wanted's: all that are, and few others while BITS are many against the ids.
 
     A bitmap of BITS bits at most is broadcast, so texts need not be shuffled.
     """
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS)) + 1
-    bits = wanted.select(place("id").alias("p")).groupBy(F.bitmap_bucket_number("p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_bits"))
-    bit = F.bitmap_bit_position(place("id"))
+    place = lambda: F.pmod(F.xxhash64(id_col), F.lit(BITS)) + 1
+    bits = wanted.select(place().alias("p")).groupBy(F.bitmap_bucket_number("p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_bits"))
+    bit = F.bitmap_bit_position(place())
     byte = F.conv(F.hex(F.substring("_bits", F.floor(bit / 8).cast("int") + 1, 1)), 16, 10).cast("int")
-    return docs.withColumn("_bucket", F.bitmap_bucket_number(place("id"))).join(F.broadcast(bits), "_bucket").where(byte.bitwiseAND(F.pow(F.lit(2), bit % 8).cast("int")) != 0).select(*docs.columns)
+    return rows.withColumn("_bucket", F.bitmap_bucket_number(place())).join(F.broadcast(bits), "_bucket").where(byte.bitwiseAND(F.pow(F.lit(2), bit % 8).cast("int")) != 0).select(*rows.columns)
 
 
 def _token_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(node, tokens): the sets of the wanted documents, from their texts."""
+    """(node, tokens): the sets of the wanted documents, and of a few others, from their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,8 +246,7 @@ def _token_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 ends = np.append(0, np.cumsum([len(s) for s in sets]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))], ["node", "tokens"])
 
-    ids = wanted.select(F.col("node").alias("id")).distinct()
-    return _likely(docs, ids).mapInArrow(run, "node long, tokens array<long>").join(ids.select(F.col("id").alias("node")).hint("merge"), "node", "left_semi")
+    return _likely(docs, wanted).mapInArrow(run, "node long, tokens array<long>")
 
 
 def short_list_pairs(short: DataFrame, long: DataFrame, light: int, percent: int) -> DataFrame:
@@ -232,9 +256,9 @@ def short_list_pairs(short: DataFrame, long: DataFrame, light: int, percent: int
     subsets, of which one is enough.
     """
     more = long.groupBy("node").agg(F.count("*").alias("more"))
-    held = short.join(more, "node", "left").na.fill(0, ["more"])
+    held = _joined(short, more, "node", "left").na.fill(0, ["more"])
     x, y = (held.select("key", *[F.col(c).alias(f"{c}_{z}") for c in ("node", "n", "more")]) for z in "ab")
-    met = x.join(y, "key").where((F.col("node_a") < F.col("node_b")) & _alike(F.col("n_a"), F.col("n_b"), percent))
+    met = _joined(x, y, "key").where((F.col("node_a") < F.col("node_b")) & _alike(F.col("n_a"), F.col("n_b"), percent))
     counts = met.groupBy("node_a", "node_b").agg(F.count("*").alias("common"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.first(F.least("more_a", "more_b")).alias("more"))
     enough = (F.greatest("n_a", "n_b") <= light) | (F.col("common") + F.col("more") >= _needed(F.col("n_a"), F.col("n_b"), percent))
     return counts.where(enough).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
@@ -247,17 +271,19 @@ def links_between(docs: DataFrame, reps: DataFrame, light: int, width: int, perc
     Lists of up to SHORT members give all their pairs. In a longer list, what
     stands before the first common token counts against a pair on both sides, so
     that one of the two has it in its first part (`low`). In each round the
-    members are held against one low member; at last all pairs with a low member
-    are tried that are in different components still.
+    members are held against one low member; when the pairs with a low member
+    that are in different components still are few, all are tried. Where rounds
+    leave many, lists are split. A long list's members are dealt to parts.
     """
-    dealt = entries(reps, light, percent).repartition("key")
+    dealt = entries(reps, light, percent)
     keys = dealt.groupBy("key").agg(F.count("*").alias("_m")).where(F.col("_m") > 1)
-    shared = written(dealt.join(keys, "key"), "shared")
+    shared = written(_joined(dealt, keys, "key"), "shared")
     short, long = (shared.where(c).select("key", "pos", "node", "n") for c in (F.col("_m") <= SHORT, F.col("_m") > SHORT))
     pairs = written(short_list_pairs(short, long, light, percent), "pairs")
     held = shared.groupBy("node").agg(F.count("*").alias("held"))  # how many of its tokens any other set has
-    long = long.join(held, "node").withColumn("low", (F.col("pos") - 1) * (100 + percent) <= F.col("n") * (100 - percent))
-    tokens = written(_token_sets(docs, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(long.select("node")), width), "tokens")
+    low = (F.col("pos") - 1) * (100 + percent) <= F.col("n") * (100 - percent)
+    long = _joined(long, held, "node").withColumn("low", low)
+    tokens = written(_token_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(long.select(F.col("node").alias("id"))), width), "tokens")
     links = written(verified(pairs, tokens, percent), "links")
     labels = None if links.isEmpty() else components(links)
     total, before = long.count(), math.inf
@@ -269,32 +295,36 @@ def links_between(docs: DataFrame, reps: DataFrame, light: int, width: int, perc
         return held & (F.col(f"{x}.component") != F.col(f"{y}.component")) & _alike(n, m, percent) & (n - F.col(f"{x}.pos") + 1 >= common) & (m - F.col(f"{y}.pos") + 1 >= common)
 
     for turn in range(ROUNDS + 1 if total else 0):
-        now = long.withColumn("component", F.col("node")) if labels is None else long.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        now = long.withColumn("component", F.col("node")) if labels is None else _joined(long, labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         now = written(now, "open")
         one = now.groupBy("key", "component").agg(F.count_if("low").cast("double").alias("l"), F.count("*").cast("double").alias("m"))
         tried = lambda l, m: l * m - l * l / 2  # noqa: E731, E741
-        open_keys = one.groupBy("key").agg((tried(F.sum("l"), F.sum("m")) - F.sum(tried(F.col("l"), F.col("m")))).alias("_left")).where(F.col("_left") > 0)
+        open_keys = written(one.groupBy("key").agg((tried(F.sum("l"), F.sum("m")) - F.sum(tried(F.col("l"), F.col("m")))).alias("_left")).where(F.col("_left") > 0), "keys")
         left = open_keys.agg(F.sum("_left")).first()[0] or 0.0
         if not left:
             break
-        now = now.join(open_keys.select("key"), "key")
         last = turn == ROUNDS or left <= PAIRS * total or left > before / 4
         before = left
+        now_open = _spread(now, "node")
         if last:
-            x, y = now.where("low").alias("x"), now.alias("y")
-            pairs = x.join(y, F.col("x.key") == F.col("y.key")).where((~F.col("y.low") | (F.col("x.node") < F.col("y.node"))) & may_link("x", "y"))
-            pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+            low_ones = _joined(now_open.where("low"), _copied(open_keys.select("key")), ["key", "_salt"]).drop("_salt")
+            met = _copied(low_ones).alias("x").hint("merge").join(now_open.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x._salt") == F.col("y._salt"))).where((~F.col("y.low") | (F.col("x.node") < F.col("y.node"))) & may_link("x", "y"))
+            pairs = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         else:
             # First the member with the least before the token, for it is nearest to what the list has in common; then any.
             rank = F.when(F.lit(turn == 0), F.col("pos")).otherwise(0).alias("rank")
             middle = now.where("low").groupBy("key").agg(F.min(F.struct(rank, F.xxhash64("node", F.lit(turn)).alias("mix"), "node", "n", "pos", "component", "held")).alias("c"))
-            pairs = now.alias("x").join(middle, "key").where(may_link("x", "c")).select(F.col("c.node").alias("a"), F.col("x.node").alias("b")).distinct()
+            middle = _copied(_joined(middle, open_keys.select("key"), "key"))
+            pairs = _joined(now_open.alias("x"), middle, ["key", "_salt"]).where(may_link("x", "c")).select(F.col("c.node").alias("a"), F.col("x.node").alias("b")).distinct()
+        pairs = written(pairs, "pairs")
         found = written(verified(pairs, tokens, percent), "links")
+        removed(now, open_keys, pairs)
         links = links.unionByName(found)
         if last:
             break
         if not found.isEmpty():
             labels = components(links)
+    removed(shared, tokens)
     return None if links.isEmpty() else links
 
 
@@ -310,7 +340,9 @@ def cluster(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc
     one. Other columns are not carried.
     """
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sets = written(described(docs, width, percent), "sets")
+    order = docs.sparkSession.sparkContext.broadcast(order_table(docs, width))
+    sets = written(described(docs, order, width, percent), "sets")
+    order.destroy()
     own = sets.where((F.col("n") > 0) & F.col("id").isNotNull())
     best = own.groupBy("signature").agg(F.min(F.struct("id", "n", "prefix")).alias("r"))
     reps = best.select(F.col("r.id").alias("node"), F.col("r.n").alias("n"), F.col("r.prefix").alias("prefix"))
@@ -319,9 +351,7 @@ def cluster(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc
     if links is None:
         named = classes.where(F.col("members") > 1).select("signature", F.col("node").alias("component"))
     else:
-        named = classes.join(components(links), "node", "left").where((F.col("members") > 1) | F.col("component").isNotNull()).select("signature", F.coalesce("component", "node").alias("component"))
+        named = _joined(classes, components(links), "node", "left").where((F.col("members") > 1) | F.col("component").isNotNull()).select("signature", F.coalesce("component", "node").alias("component"))
     # A class may hold a third of all rows: its members are dealt out to as many copies of its one row.
-    named = named.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = sets.select("id", "n", "signature").withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    out = rows.join(named, ["signature", "_salt"], "left")
+    out = _joined(_spread(sets.select("id", "n", "signature"), "id"), _copied(named), ["signature", "_salt"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
