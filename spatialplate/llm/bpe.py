@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import slices
 
 #: Bytes of text handled at once, and distinct words that a worker remembers.
-BLOCK, WORDS = 8_000_000, 1_000_000
+BLOCK, WORDS = 2_000_000, 400_000
 NONE = np.int64(1 << 40)
 OTHER, LETTER, NUMBER, SPACE = range(4)
 _kept: dict = {}

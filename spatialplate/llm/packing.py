@@ -3,9 +3,13 @@
 The histogram of piece lengths (at most one count for each length up to the
 capacity) is all that reaches the driver. There a configuration linear program
 is solved by multiplicative weights: each length has a weight, a knapsack
-dynamic program finds the best configurations for the weights, and weights fall
-in small steps as lengths are covered, until every length is. The solution is
-rounded; a best-fit pass over the histogram packs the few pieces that leaves.
+dynamic program finds the best configurations for the weights, these are used in
+small steps, and weights fall exponentially as lengths are covered. The steps'
+sum, scaled until it covers every length, is a solution; the weights give a
+lower bound. Phases go on from the last weights with finer steps until the two
+are within TOLERANCE. The solution is rounded; a best-fit pass over the histogram
+packs the pieces that leaves. Where plain best fit needs fewer sequences, its
+packing is taken.
 Spark then numbers the pieces of each length and deals the numbers out to the
 configurations' places.
 """
@@ -15,6 +19,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +31,11 @@ from .bpe import BLOCK, Coder
 from .common import slices, written
 
 #: Weights start a little steeper than the lengths, for long pieces have fewer places to go.
-POWER = 1.2
-#: Steps in which a length is covered, and the power of e by which its weight falls in one.
-STEPS, STEP = 10, 0.35
-#: The share of a length's pieces that may stay uncovered, and how far below the best a configuration's weight may be.
-TOLERANCE, SLACK = 0.01, 0.02
+POWER = 1.05
+#: How far above its lower bound a solution may be, relatively; rounds at most for many lengths (a coarser solution is as exact in its pieces), of which each PRICED-th prices.
+TOLERANCE, ROUNDS, PRICED = 0.02, 2000, 10
+#: Of the first phase: steps in which a length is covered, the power of e by which its weight falls in one, and how far below the best a configuration may be.
+STEPS, RATE, SLACK = 200, 0.05, 0.05
 _kept: dict = {}
 
 
@@ -91,11 +96,17 @@ def pieces(df: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_c
 def priced(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each room: the greatest weight of a configuration in it, and a length to take then (0: leave a place free)."""
     cap = len(weights)
+    some = np.flatnonzero(weights) + 1
+    own = weights[some - 1]
+    fit = np.searchsorted(some, np.arange(cap + 1), "right").tolist()
     value, choice = np.zeros(cap + 1), np.zeros(cap + 1, np.int64)
     for room in range(1, cap + 1):
-        total = value[room - 1 :: -1] + weights[:room]
-        best = int(total.argmax())
-        value[room], choice[room] = (total[best], best + 1) if total[best] > value[room - 1] else (value[room - 1], 0)
+        value[room] = value[room - 1]
+        if n := fit[room]:
+            total = value[room - some[:n]] + own[:n]
+            best = int(total.argmax())
+            if total[best] > value[room]:
+                value[room], choice[room] = total[best], some[best]
     return value, choice
 
 
@@ -116,35 +127,79 @@ def best_configuration(weights: np.ndarray) -> np.ndarray:
     return np.bincount(lengths, minlength=cap + 1)[1:]
 
 
-def relaxed(demand: np.ndarray, steps: int) -> dict[tuple[int, ...], float]:
-    """Configurations, as their lengths in falling order, and how often each is used, fractionally.
+def covering(demand: np.ndarray, steps: int = STEPS, gap: float = TOLERANCE) -> tuple[dict[tuple[int, ...], float], float]:
+    """Configurations, as their lengths in falling order, with how often each is used, fractionally; and a lower bound of the uses.
 
-    A round takes for each length not yet covered the best configuration that
-    holds it, where that is within SLACK of the best of all, as often as covers
-    1 / steps of some length's pieces and no more of any. Weights are
-    multiplied by exp(-STEP) for each such step. Some length always makes a
-    whole one, so that there are at most steps + 1 rounds a length; they end
-    when all but TOLERANCE of every length is covered.
+    The uses cover every length, some more than once over. Pricing adds for each
+    length the best configuration that holds it, where that is within the
+    phase's slack of the best of all. A round uses every known configuration
+    that is, as often as covers one step of some length's pieces and no more of
+    any. A length's weight is multiplied by exp(-rate) for each step that it is
+    ahead. A phase ends when all lengths are covered once; the next one starts
+    from its weights, with finer steps. The best solution of all rounds is
+    returned once it is within gap of the bound, or after ROUNDS rounds (more for few lengths).
     """
     cap = len(demand)
-    size = (np.arange(1, cap + 1) / cap) ** POWER
-    need = np.maximum(demand, 1).astype(float)
-    covered = np.where(demand > 0, 0.0, need)
-    out: dict[tuple[int, ...], float] = {}
-    while len(lengths := np.flatnonzero(covered < (1 - TOLERANCE) * need) + 1):
-        done = covered / need
-        weight = np.zeros(cap)
-        weight[lengths - 1] = (size * np.exp(-STEP * steps * (done - done[lengths - 1].min())))[lengths - 1]
-        value, choice = priced(weight)
-        lengths = lengths[weight[lengths - 1] + value[cap - lengths] >= (1 - SLACK) * value[cap]]
-        held = -np.sort(-np.array([lengths, *traced(choice, cap - lengths)]), axis=0)
-        times = np.append(np.inf, need)[held].min(axis=0)
-        used = np.bincount(held.ravel(), np.broadcast_to(times, held.shape).ravel(), cap + 1)[1:]
-        times /= np.append(0, used / np.maximum(np.minimum(need / steps, need - covered), 1e-12))[held].max(axis=0)
-        covered += np.bincount(held.ravel(), np.broadcast_to(times, held.shape).ravel(), cap + 1)[1:]
-        for config, n, x in zip(held.T.tolist(), (held > 0).sum(axis=0).tolist(), times.tolist(), strict=True):
-            key = tuple(config[:n])
-            out[key] = out.get(key, 0.0) + x
+    lengths = np.flatnonzero(demand) + 1
+    if not len(lengths):
+        return {}, 0.0
+    need = np.maximum(np.append(0, demand), 1).astype(float)
+    price, weight = np.zeros(cap + 1), np.zeros(cap + 1)
+    price[lengths] = (lengths / cap) ** POWER
+    lower, best, out = float(demand @ np.arange(1, cap + 1)) / cap, np.inf, np.zeros(0)
+    rate, slack = RATE, SLACK
+    covered, uses = np.zeros(cap + 1), np.zeros(0)
+    known: dict[tuple[int, ...], int] = {}
+    pieces_, begins = np.zeros(0, np.int64), np.zeros(1, np.int64)  # of all configurations known, one after the other
+    for turn in range(ROUNDS * max(1, 200 // len(lengths))):
+        weight[lengths] = price[lengths] * np.exp(-rate * steps * (covered[lengths] - covered[lengths].min()))
+        if turn % PRICED == 0:
+            value, choice = priced(weight[1:])
+            lower = max(lower, float(demand @ weight[1:]) / value[cap])
+            near = lengths[weight[lengths] + value[cap - lengths] >= (1 - slack) * value[cap]]
+            configs = -np.sort(-np.array([near, *traced(choice, cap - near)]), axis=0)
+            for config, n in zip(configs.T.tolist(), (configs > 0).sum(axis=0).tolist(), strict=True):
+                known.setdefault(tuple(config[:n]), len(known))
+            fresh = list(islice(known, len(uses), None))
+            pieces_ = np.concatenate([pieces_, *[np.array(c) for c in fresh]])
+            begins = np.append(begins, begins[-1] + np.cumsum([len(c) for c in fresh], dtype=np.int64))
+            uses = np.append(uses, np.zeros(len(fresh)))
+            # Until the next pricing only those come up whose worth is not far from the best.
+            active = np.flatnonzero(np.add.reduceat(weight[pieces_], begins[:-1]) >= (1 - 3 * slack) * value[cap])
+            sizes = np.diff(begins)[active]
+            starts = np.cumsum(sizes) - sizes
+            flat = pieces_[np.repeat(begins[active] - starts, sizes) + np.arange(sizes.sum())]
+            own = np.repeat(np.arange(len(active)), sizes)
+            most = np.minimum.reduceat(need[flat], starts)
+        worth = np.add.reduceat(weight[flat], starts)
+        often = np.where(worth >= (1 - slack) * worth.max(), most, 0.0)
+        filled = np.bincount(flat, often[own], cap + 1) / need
+        often /= np.maximum(steps * np.maximum.reduceat(filled[flat], starts), 1e-300)
+        covered += np.bincount(flat, often[own], cap + 1) / need
+        uses[active] += often
+        least = float(covered[lengths].min())
+        if least > 0 and uses.sum() < best * least:
+            best, out = uses.sum() / least, uses / least
+            if best <= (1 + gap) * lower:
+                break
+        if least >= 1:
+            price[lengths] = np.maximum(weight[lengths] / weight[lengths].max(), 1e-12)
+            steps, rate, slack = 2 * steps, rate / 1.5, slack / 4
+            covered, uses = np.zeros(cap + 1), np.zeros(len(known))
+    return {c: x for c, x in zip(known, out.tolist(), strict=False) if x > 0}, lower
+
+
+def relaxed(demand: np.ndarray, steps: int = STEPS) -> dict[tuple[int, ...], float]:
+    """The uses of covering(), most used first, without what they hold more than once over: they add up to the demand."""
+    left, out = [0.0, *demand.tolist()], {}
+    for config, times in sorted(covering(demand, steps)[0].items(), key=lambda x: (-x[1], x[0])):
+        while times > 1e-9 and (config := tuple([length for length in config if left[length] > 1e-9])):
+            used = Counter(config)
+            n = min(times, *[left[length] / k for length, k in used.items()])
+            out[config] = out.get(config, 0.0) + n
+            for length, k in used.items():
+                left[length] -= n * k
+            times -= n
     return out
 
 
@@ -202,12 +257,19 @@ def solved(histogram: dict[int, int], capacity: int, steps: int = STEPS) -> tupl
         demand[length - 1] = n
     found = sorted(relaxed(demand, steps).items(), key=lambda x: (-x[1], x[0]))
     tried = [(out, best_fit(left)) for out, left in (rounded(found, demand, least) for least in (0.0, 0.5, 1.0))]
-    return min(tried, key=lambda x: sum(times for part in x for times, _ in part))
+    return min(tried, key=sequences)
+
+
+def sequences(parts: tuple[list[tuple[int, dict[int, int]]], ...]) -> int:
+    return sum(times for part in parts for times, _ in part)
 
 
 def configurations(histogram: dict[int, int], capacity: int, steps: int = STEPS) -> list[tuple[int, dict[int, int]]]:
-    """(times, {length: pieces}) whose pieces are exactly the histogram's."""
-    program, rest = solved(histogram, capacity, steps)
+    """(times, {length: pieces}) whose pieces are exactly the histogram's: by the program, or by best fit alone where that takes fewer sequences."""
+    demand = np.zeros(capacity, np.int64)
+    for length, n in histogram.items():
+        demand[length - 1] = n
+    program, rest = min(solved(histogram, capacity, steps), ([], best_fit(demand)), key=sequences)
     return program + rest
 
 
@@ -230,7 +292,7 @@ def places(found: list[tuple[int, dict[int, int]]]) -> dict[str, np.ndarray]:
     return {"key": columns[0] << 44 | columns[1], "start": columns[1], "sequence": columns[2], "offset": columns[3], "n": columns[4]}
 
 
-def pack(cut: DataFrame, capacity: int = 2048, id_col: str = "doc_id", steps: int = STEPS) -> DataFrame:
+def pack(cut: DataFrame, capacity: int = 2048, id_col: str = "doc_id") -> DataFrame:
     """cut, a table from pieces(), with sequence_id and offset, in as few sequences as it can.
 
     cut is read several times, so write it first. Offsets in a sequence are
@@ -240,7 +302,7 @@ def pack(cut: DataFrame, capacity: int = 2048, id_col: str = "doc_id", steps: in
     spark = cut.sparkSession
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
-    runs = spark.sparkContext.broadcast(places(configurations(counts, capacity, steps)))
+    runs = spark.sparkContext.broadcast(places(configurations(counts, capacity)))
     # A length may hold most pieces: number them in buckets, then add what the buckets before hold.
     buckets = max(64, total // 500_000)
     dealt = cut.withColumn("_bucket", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(buckets)))

@@ -109,3 +109,57 @@ def test_the_relaxation_covers_every_length():
         assert times > 0 and sum(config) <= 128
         np.add.at(covered, list(config), times)
     assert (covered[1:] >= (1 - packing.TOLERANCE) * demand - 1e-6).all() and (covered[1:] <= demand + 1e-6).all()
+
+
+def least(demand):
+    """The configuration program's exact optimum: its dual over all configurations, by the simplex method."""
+    cap, configs = len(demand), []
+
+    def grow(config, room, longest):
+        configs.append(config)
+        for length in range(1, min(room, longest) + 1):
+            if demand[length - 1]:
+                grow([*config, length], room - length, length)
+
+    grow([], cap, cap)
+    rows = [np.bincount(c, minlength=cap + 1)[1:] for c in configs if c]
+    m = len(rows)
+    t = np.zeros((m + 1, cap + m + 1))
+    t[:m, :cap], t[:m, cap:-1], t[:m, -1], t[m, :cap] = rows, np.eye(m), 1, -demand
+    while (t[m, :-1] < -1e-9).any():
+        j = int(np.flatnonzero(t[m, :-1] < -1e-9)[0])
+        i = min((t[i, -1] / t[i, j], i) for i in range(m) if t[i, j] > 1e-9)[1]
+        t[i] /= t[i, j]
+        for k in range(m + 1):
+            if k != i:
+                t[k] -= t[k, j] * t[i]
+    return t[m, -1]
+
+
+def test_the_program_is_within_its_tolerance_of_the_optimum():
+    rng = np.random.default_rng(4)
+    for _ in range(12):
+        demand = rng.integers(1, 30, 13) * (rng.random(13) < 0.5)
+        if not demand.any():
+            continue
+        found, lower = packing.covering(demand)
+        best = least(demand)
+        assert lower <= best + 1e-6 and best - 1e-6 <= sum(found.values()) <= (1 + packing.TOLERANCE) * best + 1e-6
+        assert abs(sum(packing.relaxed(demand).values()) - best) <= packing.TOLERANCE * best + 1e-6
+
+
+@pytest.mark.parametrize("histogram, capacity", [({19: 4, 33: 5}, 64), ({19: 40_000, 33: 50_000}, 64), ({600: 4000, 1040: 5000}, 2048)])
+def test_long_lengths_decide(histogram, capacity):
+    found = packing.configurations(histogram, capacity)
+    assert sum(times for times, _ in found) == max(histogram.values())
+    demand = np.array([histogram.get(i, 0) for i in range(1, capacity + 1)])
+    found, lower = packing.covering(demand)
+    assert sum(found.values()) <= (1 + packing.TOLERANCE) * lower <= (1 + packing.TOLERANCE) * max(histogram.values())
+
+
+def test_never_worse_than_plain_best_fit():
+    rng = np.random.default_rng(8)
+    for _ in range(40):
+        histogram = {int(length): int(n) for length, n in zip(rng.integers(1, 65, 6), rng.integers(1, 500, 6), strict=True)}
+        plain = packing.best_fit(np.array([histogram.get(i, 0) for i in range(1, 65)]))
+        assert sum(t for t, _ in packing.configurations(histogram, 64)) <= sum(t for t, _ in plain)
