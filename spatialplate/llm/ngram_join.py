@@ -32,8 +32,8 @@ from .common import removed, slices, written
 ORDER, FREQUENT, LIGHT = 500_000, 8, 64
 #: Words that a worker remembers; parts that a class's members are dealt to; members of a short list.
 WORDS, SALTS, SHORT = 150_000, 16, 24
-#: Bits of the filter that spares most texts a second reading: 8 MB.
-BITS = 1 << 26
+#: Bits of the filter that spares most texts a second reading: 4 MB.
+BITS = 1 << 25
 #: For longer lists, rounds of one member against all at most, and pairs left over for each entry at which all are tried.
 ROUNDS, PAIRS = 8, 3
 
