@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 
 from spatialplate.llm import language_id as L
 
@@ -9,31 +10,54 @@ SAMPLES = {"en": ["the cat and the hat are there with them " * 20], "de": ["der
 
 
 def plain_phrases(text, sample, table):
-    """Longest matches one by one, in blocks."""
-    coded, known = L.symbols(text, table).tolist(), L.symbols(" ".join(sample).lower()[: max(500, L.TOTAL // len(SAMPLES))], table).tolist()
-    whole = bytes(known)
-    n = 0
-    for b in range(0, len(coded), L.BLOCK):
-        part, at = bytes(coded[b : b + L.BLOCK]), 0
-        while at < len(part):
-            end = at + 1
-            while end <= len(part) and part[at:end] in whole:
-                end += 1
-            at = max(at + 1, end - 1)
-            n += 1
+    """Longest matches one by one, over the whole text."""
+    coded, known = (chr(0x4000).join(map(chr, [0x5000 + x for x in L.symbols(t, table).tolist()])) for t in (text, " ".join(dict.fromkeys(sample)).lower()))
+    coded, known = coded.replace(chr(0x4000), ""), known.replace(chr(0x4000), "")
+    n = at = 0
+    while at < len(coded):
+        end = at + 1
+        while end <= len(coded) and coded[at:end] in known:
+            end += 1
+        at = max(at + 1, end - 1)
+        n += 1
     return n
 
 
-def test_phrases_are_greedy_longest_matches():
+@pytest.mark.parametrize("block", [256, 7, 1])
+def test_phrases_are_greedy_longest_matches(monkeypatch, block):
+    monkeypatch.setattr(L, "BLOCK", block)
     model = L.Model.fit(SAMPLES)
     rng = random.Random(2)
-    texts = ["".join(rng.choices("the catdrhunßèкошка ,.1", k=rng.randrange(900))) for _ in range(40)] + ["", "1 2", "the cat" * 300]
+    texts = ["".join(rng.choices("the catdrhunßèкошка ,.1", k=rng.randrange(900))) for _ in range(40)] + ["", "1 2", "the cat" * 300, SAMPLES["en"][0] * 3, "и кошка и собака живут здесь вместе с нами " * 9]
     found, sizes = model.phrases(texts)
     assert sizes.tolist() == [len(L.symbols(t, model.table)) for t in texts]
     for i, lang in enumerate(model.languages):
         assert found[i].tolist() == [plain_phrases(t, SAMPLES[lang], model.table) for t in texts]
 
 
+def test_many_languages_and_scripts():
+    rng = random.Random(11)
+    alphabets = {f"latin{k}": "".join(rng.sample("abcdefghijklmnopqrstuvwxyzäöüéèñ", 20)) for k in range(5)} | {f"cyr{k}": "".join(rng.sample("абвгдежзийклмнопрстуфхцчшщыэюя", 20)) for k in range(3)}
+    alphabets |= {"greek": "αβγδεζηθικλμνξοπρστυφχψω", "hangul": "".join(map(chr, range(0xAC00, 0xAC00 + 500)))} | {f"han{k}": "".join(map(chr, range(0x4E00 + 600 * k, 0x4E00 + 600 * (k + 1)))) for k in range(2)}
+    assert len(alphabets) == 12
+
+    def text(name, n):
+        words = vocabulary[name]
+        return " ".join(rng.choices(words, k=n))
+
+    vocabulary = {k: ["".join(rng.choices(v, k=rng.randrange(2, 7))) for _ in range(400)] for k, v in alphabets.items()}
+    model = L.Model.fit({k: [text(k, 200) for _ in range(24)] for k in alphabets})
+    asked = [(k, text(k, 12)) for k in alphabets for _ in range(24)]
+    got = model.predict([t for _, t in asked])[0]
+    assert sum(k == g for (k, _), g in zip(asked, got, strict=True)) >= 0.99 * len(asked)
+
+
+def test_the_sample_takes_whole_rows_and_finds_rare_letters(spark):
+    rows = [(i, "12 34", "aa") for i in range(400)] + [(1000 + i, "1 " * 1500 + f"word{i} the end", "aa") for i in range(30)] + [(2000, "long " * 3000, "bb"), (2001, "longer " * 3000, "bb"), (2002, None, "bb"), (2003, "5", "cc")]
+    got = L.sampled(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(got) == {"aa", "bb"} and len(got["aa"]) == L.ROWS and all(t.endswith("the end") for t in got["aa"]) and got["bb"] == ["long " * 3000]
+
+
 def test_automaton_knows_exactly_the_substrings():
     text = [0, 1, 0, 1, 1, 0, 2, 0, 1]
     follow = L.automaton(text)
