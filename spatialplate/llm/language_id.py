@@ -81,27 +81,19 @@ def laid_out(follow: list[dict[int, int]], first: int, width: int) -> tuple[np.n
     """Rows of transitions laid over each other: where each state's row begins, and cells of (state << 32 | next state); -1 is a free cell.
 
     The root has no row. States are numbered from `first`. A state with several
-    transitions goes where they are all free within a few tries, else to the
-    end; those with one then fill the gaps.
+    transitions goes where they are all free near the end, else after it; those
+    with one then fill the gaps.
     """
     base = np.zeros(len(follow), np.int64)
     several = [s for s in range(1, len(follow)) if len(follow[s]) > 1]
     used = bytearray(width)
-    low = 0
+    end = 0
     for s in several:
         row = list(follow[s])
-        for at in range(low, low + 24):
-            if len(used) < at + width:
-                used.extend(bytes(1 << 16))
-            if not any([used[at + c] for c in row]):
-                break
-        else:
-            low += 8  # it is crowded here
-            at = low + 24
-            while any([used[at + c] for c in row]):
-                at += 1
-                if len(used) < at + width:
-                    used.extend(bytes(1 << 16))
+        if len(used) < end + 2 * width:
+            used.extend(bytes((1 << 16) + 2 * width))
+        at = next((at for at in range(max(0, end - min(width, 64)), end) if not any([used[at + c] for c in row])), end)
+        end = max(end, at + max(row) + 1)
         base[s] = at
         for c in row:
             used[at + c] = 1

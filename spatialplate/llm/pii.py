@@ -9,10 +9,13 @@ that collide are drawn again until each entity has one of its own.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import hmac
 import re
-from collections.abc import Iterator
+import unicodedata
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -32,9 +35,9 @@ PATTERNS = [
     ("iban", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
     ("card", re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])")),
     ("ip", re.compile(rf"(?<![\w.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?\w)")),
-    ("ip6", re.compile(r"(?<![\w:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![\w:])")),
+    ("ip6", re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}|(?=[A-Fa-f:]*\d)[0-9A-Fa-f]{4}:(?:[0-9A-Fa-f]{1,4}:){0,5}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])")),
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
-    ("phone", re.compile(r"(?<![\w.+(-])(?:\+\d{8,15}|(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4})(?!\w)")),
+    ("phone", re.compile(r"(?<![\w.+(-])(?:\+\d{8,15}|\+\d{1,3}(?:[ .-]\d{1,4}){3,6}|0\d(?:[ .]\d\d){4}|0\d{9}|(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4})(?!\w)")),
 ]
 #: Forms of address and the gender that they tell.
 TITLES = {
@@ -53,8 +56,17 @@ SOUNDS = {
 
 
 def script(text: str) -> str:
+    """latin, cyrillic, greek, or as Unicode names the first letter's script."""
     c = next((c for c in text if c.isalpha()), "a")
-    return "cyrillic" if "Ѐ" <= c <= "ԯ" else "greek" if "Ͱ" <= c <= "Ͽ" else "latin"
+    return "cyrillic" if "Ѐ" <= c <= "ԯ" else "greek" if "Ͱ" <= c <= "Ͽ" else "latin" if c < "ɐ" else unicodedata.name(c, "OTHER").split(" ")[0].lower()
+
+
+@lru_cache(4096)
+def siblings(c: str) -> str:
+    """Letters of c's script and kind (capital, small or without case) in its block of 256 code points."""
+    kind, own = unicodedata.category(c), script(c)
+    block = map(chr, range(ord(c) & ~0xFF, (ord(c) & ~0xFF) + 256))
+    return "".join(x for x in block if unicodedata.category(x) == kind and script(x) == own) or c
 
 
 def identity(kind: str, surface: str) -> str:
@@ -69,14 +81,33 @@ def identity(kind: str, surface: str) -> str:
     return surface
 
 
-def find(text: str) -> list[tuple[int, int, str, str, str]]:
-    """(start, end, type, gender, surface) of each entity, in order and without overlap; earlier types go first."""
+def titled(text: str) -> list[tuple[str, list[str]]]:
+    """Gender and capitalised words of each name that follows a form of address."""
+    out = []
+    for m in NAMED.finditer(text):
+        words = []
+        for word in re.findall(r"[^\W\d_]+", m[2]):
+            if not word[0].isupper() and word[0].lower() != word[0].upper():
+                break
+            words.append(word)
+        if words:
+            out.append((GENDER[m[1]], words))
+    return out
+
+
+def find(text: str, also: Iterable[str] = ()) -> list[tuple[int, int, str, str, str]]:
+    """(start, end, type, gender, surface) of each entity, in order and without overlap; earlier types go first.
+
+    Names are the words after a form of address, and those of `also`, which
+    come without one; all their mentions in the text count.
+    """
     out: list[tuple[int, int, str, str, str]] = []
-    taken: list[tuple[int, int]] = []
+    taken: list[tuple[int, int]] = []  # in order
 
     def add(start: int, end: int, kind: str, gender: str = "") -> None:
-        if not any(a < end and start < b for a, b in taken):
-            taken.append((start, end))
+        at = bisect.bisect(taken, (start, end))
+        if (at == 0 or taken[at - 1][1] <= start) and (at == len(taken) or taken[at][0] >= end):
+            taken.insert(at, (start, end))
             out.append((start, end, kind, gender, text[start:end]))
 
     for kind, pattern in PATTERNS:
@@ -85,11 +116,11 @@ def find(text: str) -> list[tuple[int, int, str, str, str]]:
         for m in pattern.finditer(text):
             add(m.start(), m.end(), kind)
     names: dict[str, str] = {}
-    for m in NAMED.finditer(text):
-        for word in re.finditer(r"[^\W\d_]+", m[2]):
-            if not word[0][0].isupper():
-                break
-            names.setdefault(word[0], GENDER[m[1]])
+    for gender, words in titled(text):
+        for word in words:
+            names.setdefault(word, gender)
+    for word in also:
+        names.setdefault(word, "n")
     if names:  # every mention in the document, with or without a title
         for m in re.finditer(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(names, key=len, reverse=True)))})(?!\w)", text):
             add(m.start(), m.end(), "name", names[m[0]])
@@ -122,9 +153,8 @@ def _like(c: str, s: Stream) -> str:
         return str(s.below(10))
     if not c.isalpha():
         return c
-    if ord(c) >= 0x3000:  # characters without case: another of the same block of 256
-        other = chr((ord(c) & ~0xFF) + s.below(256))
-        return other if other.isalpha() else c
+    if script(c) not in SOUNDS:
+        return siblings(c)[s.below(len(siblings(c)))]
     consonants, vowels, _ = SOUNDS[script(c)]
     letters = consonants + vowels
     out = letters[s.below(len(letters))]
@@ -168,6 +198,8 @@ def surrogate(kind: str, entity: str, gender: str, attempt: int, key: bytes) ->
         return f"{entity[:2]}{check:02d}{body}"
     if kind == "phone":
         return "".join(c if c == "0" and i == 0 else str(2 + s.below(8)) if i == 0 else str(s.below(10)) for i, c in enumerate(entity)) + extra
+    if script(entity) not in SOUNDS:  # no endings by gender are known: letter by letter
+        return "".join(_like(c, s) for c in entity) + "".join(_like(entity[-1], s) for _ in range(more))
     consonants, vowels, ends = SOUNDS[script(entity)]
     syllables = max(2, -(-len(entity) // 3)) + more
     return "".join(consonants[s.below(len(consonants))] + vowels[s.below(len(vowels))] for _ in range(syllables)) + ends[gender or "n"]
@@ -190,24 +222,53 @@ def render(kind: str, surface: str, new: str) -> str:
     return new
 
 
-def spans(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(_id, _key, start, end, type, gender, surface, entity) of every entity found."""
+#: Two capitalised words in a row, for Spark's regular expressions.
+TWO = r"(?<![\p{L}\p{N}_])(?=(\p{Lu}\p{L}+ \p{Lu}\p{L}+)(?![\p{L}\p{N}_]))"
+
+
+def _found(rows: DataFrame) -> DataFrame:
+    """Entities of rows(_id, _key, text, also); `full` entities, at no place, are the pairs of words in a row in titled names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["_id", "_key", "start", "end", "type", "gender", "surface", "entity"]
         for batch in batches:
-            for part in slices(batch, 2, 8_000_000):
-                rows = [(i, *x, identity(x[2], x[4])) for i, t in enumerate(part.column(2).to_pylist()) if t for x in find(t)]
+            for part in slices(batch, 2, 2_000_000):
+                rows = []
+                for i, (t, also) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)):
+                    if t:
+                        rows += [(i, *x, identity(x[2], x[4])) for x in find(t, also or ())]
+                        rows += [(i, -1, -1, "full", g, pair, pair) for pair, g in {f"{a} {b}": g for g, words in titled(t) for a, b in zip(words, words[1:], strict=False)}.items()]
                 if rows:
                     at, start, end, kind, gender, surface, entity = zip(*rows, strict=True)
                     take = pa.array(at, pa.int64())
                     yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(start, pa.int32()), pa.array(end, pa.int32()), *[pa.array(x, pa.string()) for x in (kind, gender, surface, entity)]], names)
 
-    kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(id_col).alias("_id"), row_key(F.col(id_col), F.col(text_col)).alias("_key"), F.col(text_col).cast("string").alias("text"))
+    kind = rows.schema["_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"_id {kind}, _key long, start int, end int, type string, gender string, surface string, entity string")
 
 
+def spans(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_id, _key, start, end, type, gender, surface, entity) of every entity found.
+
+    A name of two words or more that has a form of address anywhere in the
+    corpus is also found in documents that give it without one; single words of
+    names are sought only in documents that hold such a name.
+    """
+    rows = df.select(F.col(id_col).alias("_id"), row_key(F.col(id_col), F.col(text_col)).alias("_key"), F.col(text_col).cast("string").alias("text"))
+    found = written(_found(rows.withColumn("also", F.lit(None).cast("array<string>"))), "spans")
+    known = found.where("type = 'full'").groupBy(F.col("entity").alias("pair")).agg(F.count("*").alias("_n"))
+    if known.isEmpty():
+        return found
+    pairs = rows.select("_id", "_key", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(TWO), F.lit(1)))).alias("pair"))
+    # A name may be in a third of all documents.
+    salted = known.select("pair", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    met = pairs.withColumn("_salt", F.pmod("_key", F.lit(SALTS)).cast("int")).hint("merge").join(salted, ["pair", "_salt"])
+    also = written(met.groupBy("_id", "_key").agg(F.array_distinct(F.flatten(F.collect_set(F.split("pair", " ")))).alias("also")), "names").withColumnsRenamed({"_id": "_also_id", "_key": "_also_key"})
+    same = (F.col("_key") == F.col("_also_key")) & F.col("_id").eqNullSafe(F.col("_also_id"))
+    again = _found(rows.hint("merge").join(also, same).select("_id", "_key", "text", "also"))
+    return written(found.hint("merge").join(also, same, "left_anti").unionByName(again), "spans")
+
+
 def assigned(found: DataFrame, key: bytes) -> DataFrame:
     """(type, entity, new): each entity's surrogate, unlike all others and unlike all entities of the corpus.
 
@@ -241,12 +302,15 @@ def assigned(found: DataFrame, key: bytes) -> DataFrame:
 def replace(df: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with the entities of `text_col` replaced, and _entities: how many were.
 
-    The same key gives the same surrogates for the same corpus. A null text
+    The same key gives the same surrogates for the same corpus. Telephone
+    numbers are found with a country's prefix, in pairs from 0, with ten digits
+    from 0, or in three groups; seven digits without a prefix are not, and names
+    only as spans() says. A null text
     stays null and an empty one empty, with 0 entities; very long texts are
     searched whole; repeated rows and null ids are treated like others. All
     columns and rows stay; an empty table gives an empty one.
     """
-    found = written(spans(df, id_col, text_col), "spans")
+    found = spans(df, id_col, text_col).where("type <> 'full'")
     new = assigned(found, key)
 
     @F.pandas_udf("string")
