@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import secrets
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 from spatialplate.llm import language_id, line_dedup, ngram_join, packing, pii
 from spatialplate.llm.common import written
 
-#: The surrogates' key; set it for real data.
-KEY = os.environ.get("SURROGATE_KEY", "a key for tests").encode()
+#: The surrogates' key; without one in the environment it is drawn anew for each process, so that nobody can know it.
+KEY = os.environ.get("SURROGATE_KEY", "").encode() or secrets.token_bytes(32)
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -23,8 +24,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known: those that are `und` (no text, or no letter) go."""
-    model = language_id.fit(docs)
-    return language_id.identify(docs, model).where(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
+    return language_id.identify(docs, language_id.fit(docs)).where(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,11 +33,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near duplicates, once; documents without an id stay."""
+    """The document of smallest id of each group of near duplicates, once; documents without an id stay, and so do different texts of one id."""
     gone = ngram_join.cluster(docs).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     kept = docs.where(F.col("doc_id").isNotNull()).join(written(gone, "duplicates").hint("merge"), "doc_id", "left_anti")
     # The join has put equal ids together, so that repeated rows are found where they are.
-    n = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    n = F.row_number().over(W.partitionBy("doc_id", "text").orderBy("doc_id"))
     return kept.withColumn("_n", n).where(F.col("_n") == 1).select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
