@@ -9,6 +9,7 @@ entries; these are then ranked by their true distance.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +22,10 @@ from pyspark.sql import functions as F
 from .common import written
 from .topk import finite
 
-#: Rows that centroids are fitted on (about; twice as many at most), and rows of an index block.
-TRAIN, BLOCK = 10_000, 4_096
+#: Rows that centroids are fitted on (about; twice as many at most), rows of an index block, and queries of a tile that one is held against.
+TRAIN, BLOCK, TILE = 10_000, 4_096, 4_096
+#: Rows that a cell should hold, and centroids of a half at most: the driver holds a count for each pair of them.
+CELL, CENTROIDS = 48, 256
 
 
 def centroids(points: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
@@ -88,15 +91,17 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return values.reshape(len(flat), -1)
 
 
-def nearest(queries: DataFrame, candidates: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", cells: int = 32, recall: float = 0.96) -> DataFrame:
+def nearest(queries: DataFrame, candidates: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", cells: int | None = None, recall: float = 0.96) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found candidates other than the query, by Euclidean distance.
 
-    `cells` centroids for each half, fitted on about TRAIN rows; on these is
+    `cells` centroids for each half (by default so many that a cell holds about
+    CELL rows, CENTROIDS at most), fitted on about TRAIN rows; on these is
     also found what share of the rows a query has to look at for the `recall`
     wanted (little where vectors are clustered, most where they are noise).
     Every row is indexed. Rows with a null id, or a vector that is
     null, empty, zero or holds null or non-finite components, take no part, nor
-    do candidates of another dimension than most. Rows that repeat an id are one
+    do queries and candidates of another dimension than most candidates have.
+    Distances beyond the range of a double are infinite and come last. Rows that repeat an id are one
     row, with the least vector. Of candidates with the same vector only the
     k + 1 smallest ids can be in a result, so only these are indexed; nothing
     is lost by that. Ties go to the smaller id. An empty table gives an empty one.
@@ -116,6 +121,7 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 10, id_col: str
         return spark.createDataFrame([], schema)
     dim, total = dims[0]["dim"], dims[0]["count"]
     half = max(1, dim // 2)
+    cells = cells or max(8, min(CENTROIDS, math.isqrt(total // CELL)))
     sample = rows.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("id"), F.lit(max(1, total))) < TRAIN)).select("v").limit(2 * TRAIN).toArrow()
     points = _matrix(sample.column("v")) if len(sample) else _matrix(rows.where(F.col("dim") == dim).select("v").limit(1).toArrow().column("v"))
     fitted = centroids(points[:, :half], cells), centroids(points[:, half:], cells) if dim > half else np.zeros((1, 0))
@@ -172,8 +178,12 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 10, id_col: str
                     met.append(cs)
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(ids, pa.int64())), batch.column("v").take(pa.array(ids, pa.int64())), pa.array(near, pa.int32()), pa.array(met, pa.list_(pa.int32()))], ["query_id", "q", "block", "cells"])
 
-    entries = placed.withColumn("block", block("cell", F.pmod(F.xxhash64("id"), F.lit(1 << 40))))
-    asked = ready(queries).where(F.size("v") == dim).mapInArrow(visit, "query_id long, q array<double>, block int, cells array<int>")
+    # A block may be visited by all queries: these come in tiles, each with a copy of the block.
+    asking_rows = ready(queries).where(F.size("v") == dim)
+    tiles = max(1, -(-asking_rows.count() // TILE))
+    tile = F.pmod(F.xxhash64("query_id"), F.lit(tiles)).cast("int")
+    entries = placed.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).withColumn("block", block("cell", F.pmod(F.xxhash64("id"), F.lit(1 << 40))))
+    asked = asking_rows.mapInArrow(visit, "query_id long, q array<double>, block int, cells array<int>").withColumn("tile", tile)
 
     def rank(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple[int, int, float]] = []
@@ -202,6 +212,6 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 10, id_col: str
         columns = list(zip(*out, strict=True)) or [(), (), ()]
         return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
 
-    partial = entries.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(rank, "query_id long, vec_id long, score double")
+    partial = entries.groupBy("block", "tile").cogroup(asked.groupBy("block", "tile")).applyInArrow(rank, "query_id long, vec_id long, score double")
     order = W.partitionBy("query_id").orderBy("score", "vec_id")
     return partial.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

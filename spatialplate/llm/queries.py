@@ -85,4 +85,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op6_token_rollup": token_rollup.SQL,
     "op8_site_lines": line_dedup.SQL,
+    "op9_exact_topk": topk.SQL,
 }

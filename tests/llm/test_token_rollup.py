@@ -48,3 +48,41 @@ def test_counts(spark):
 
 def test_query_matches_sql(spark, sf):
     assert spark_rows(QUERIES["op6_token_rollup"](spark, sf)) == duck_rows(SQL["op6_token_rollup"], sf)
+
+
+def test_null_ids_and_clashing_names(spark, tmp_path):
+    rows = [(1, "a b", "s", "en"), (None, "c d e", "s", "en"), (None, "a b", "s", "en"), (None, None, "s", "en"), (2, "", "s", "en"), (None, "c d e", "s", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").selectExpr("*", "1 AS row", "2 AS words", "3 AS same", "4 AS tokens", "'x' AS op")
+    assert totals(T.maintained(spark, docs, f"file://{tmp_path}/r")) == {("s", "en", "words"): (4, 5), ("s", "en", "pieces"): (4, 5)}
+    assert totals(T.maintained(spark, docs.where("false"), f"file://{tmp_path}/e")) == {}
+
+
+def test_a_snapshot_is_kept_and_writers_do_not_race(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/r"
+    row = spark.createDataFrame([("insert", "a", "en", "v", 3, 0)], SCHEMA)
+    for k in range(4):
+        assert T.Rollup(spark, path).commit(f"b{k}", row)
+    assert sorted(p.name for p in (tmp_path / "r").iterdir() if p.name[0] != ".") == ["version-2", "version-3"] and totals(T.Rollup(spark, path)) == {("a", "en", "v"): (4, 12)}
+    mine, other, renamed = T.Rollup(spark, path), T.Rollup(spark, path), T.Rollup._renamed
+
+    def late(self, old, new):
+        if self is mine and "x" not in {n.removeprefix("batch=") for n in other.committed()}:
+            assert other.commit("x", row)  # another writer takes the number first
+        return renamed(self, old, new)
+
+    monkeypatch.setattr(T.Rollup, "_renamed", late)
+    assert mine.commit("y", row) and totals(mine) == {("a", "en", "v"): (6, 18)} and not mine.commit("x", row)
+
+
+def test_tokens_by_a_vocabulary(spark):
+    P = pytest.importorskip("public_tokenizers")
+    import base64
+
+    import tiktoken
+
+    path = P.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb").read().splitlines())}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rows = [(1, "some words, and 123 more", "s", "en"), (2, None, None, None), (None, "é" * 50, "s", "fr")]
+    got = T.vocabulary_tokens(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), path, "bytes-50k").collect()
+    assert {tuple(r) for r in got} == {(i, s, k, "bytes-50k", len(library.encode_ordinary(t or ""))) for i, t, s, k in rows}

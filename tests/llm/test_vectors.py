@@ -106,3 +106,32 @@ def test_walk_goes_by_summed_distance():
     assert sums == sorted(sums) and len(cells) == (counts > 0).sum()
     few = multi_index.walk(first, second, counts, 5)
     assert sum(counts[c] for c in few) >= 5 > sum(counts[c] for c in few[:-1]) and few == cells[: len(few)]
+
+
+def test_scores_end_at_the_range_of_a_long(spark):
+    df = spark.createDataFrame([(0, [1e30, 1.0]), (1, [1e30, -1.0]), (2, [-1e30, 0.0]), (3, [1e10, 1e10])], SCHEMA)
+    most, least = (1 << 63) - 1, -(1 << 63)
+    got = found(topk.top_k(df, df, 3))
+    assert {g for g in got if g[0] == 0} == {(0, 1, 1, most), (0, 2, 3, most), (0, 3, 2, least)} and (2, 1, 0, least) in got
+    far = multi_index.nearest(df, df, 3)
+    assert {(r.query_id, r.vec_id) for r in far.collect()} == {(a, b) for a in range(4) for b in range(4) if a != b}
+
+
+def test_top_k_matches_sql(spark, sf):
+    from spatialplate.llm.queries import SQL
+
+    from ..oracle import duck_rows, spark_rows
+
+    assert spark_rows(QUERIES["op9_exact_topk"](spark, sf)) == duck_rows(SQL["op9_exact_topk"], sf)
+
+
+def test_many_levels_and_tiles(spark, monkeypatch):
+    for module, name, value in ((topk, "SHARD", 2), (topk, "TILE", 5), (topk, "FAN", 3), (multi_index, "TILE", 4), (multi_index, "BLOCK", 16)):
+        monkeypatch.setattr(module, name, value)
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(60, 4)))], SCHEMA)
+    vectors = {r.vec_id: r.embedding for r in df.collect()}
+    some = df.where("vec_id % 5 = 0")
+    assert found(topk.top_k(some, df, 4)) == plain_top(range(0, 60, 5), vectors, 4)
+    got = {(r.query_id, r.vec_id) for r in multi_index.nearest(some, df, 4, cells=4, recall=1.0).collect()}
+    assert len(got & {(q, i) for q in range(0, 60, 5) for _, i in plain_near(q, vectors, 4)}) >= 0.9 * 48
