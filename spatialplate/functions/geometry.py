@@ -67,7 +67,12 @@ def in_triangle(p: Column, a: Column, b: Column, c: Column) -> Column:
 
 
 def in_rings(p: Column, rings_: Column) -> Column:
-    """Even-odd rule over all rings, so that holes count; sides are multiplied out, never divided."""
+    """Even-odd rule over all rings, so that holes count."""
+    return within(p, edges(rings_))
+
+
+def within(p: Column, edges_: Column) -> Column:
+    """Even-odd rule over the sides of all rings, which are multiplied out, never divided."""
 
     def crossed(e: Column) -> Column:
         up = e.b.y > e.a.y
@@ -75,15 +80,21 @@ def in_rings(p: Column, rings_: Column) -> Column:
         right = (e.b.x - e.a.x) * (p.y - e.a.y)
         return ((e.a.y > p.y) != (e.b.y > p.y)) & ((up & (left < right)) | (~up & (left > right)))
 
-    return F.size(F.filter(edges(rings_), crossed)) % 2 == 1
+    return F.size(F.filter(edges_, crossed)) % 2 == 1
+
 
+def meets_triangle(type_: Column, rings_: Column, a: Column, b: Column, c: Column, edges_: Column | None = None, box_: Column | None = None) -> Column:
+    """Whether a polygon (holes respected) or line string has a point in common with a closed triangle; null for other types.
 
-def meets_triangle(type_: Column, rings_: Column, a: Column, b: Column, c: Column) -> Column:
-    """Whether a polygon (holes respected) or line string has a point in common with a closed triangle; null for other types."""
+    edges_ and box_ are those of the rings, where they are columns already.
+    """
+    edges_, box_ = edges(rings_) if edges_ is None else edges_, box(rings_) if box_ is None else box_
+    low, high = (lambda k: F.least(a[k], b[k], c[k])), (lambda k: F.greatest(a[k], b[k], c[k]))
+    near = (box_.x0 <= high("x")) & (box_.x1 >= low("x")) & (box_.y0 <= high("y")) & (box_.y1 >= low("y"))
     border = lambda e: sides_meet(e.a, e.b, a, b) | sides_meet(e.a, e.b, b, c) | sides_meet(e.a, e.b, c, a)
     inside = F.exists(F.flatten(rings_), lambda p: in_triangle(p, a, b, c))
-    around = (type_ == "Polygon") & (in_rings(a, rings_) | in_rings(b, rings_) | in_rings(c, rings_))
-    return F.when(type_.isin("Polygon", "LineString"), F.exists(edges(rings_), border) | inside | around)
+    around = (type_ == "Polygon") & (within(a, edges_) | within(b, edges_) | within(c, edges_))
+    return F.when(type_.isin("Polygon", "LineString"), F.coalesce(near, F.lit(False)) & (inside | F.exists(edges_, border) | around))
 
 
 def closed_triangle(points: Column) -> Column:

@@ -34,7 +34,9 @@ def triangles(selection: DataFrame, calibration: DataFrame) -> DataFrame:
 def hits(shapes: DataFrame, triangles_: DataFrame) -> DataFrame:
     """shapes with `hit`: whether they meet the closed triangle of their slide. One row a slide on the right side."""
     corner = [F.get("points", F.lit(i)) for i in range(3)]
-    return shapes.join(triangles_, "slide_id").withColumn("hit", G.meets_triangle(F.col("type"), F.col("rings"), *corner)).drop("points")
+    rings = F.col("rings")
+    ready = shapes.withColumn("_edges", G.edges(rings)).withColumn("_box", G.box(rings)).join(triangles_, "slide_id")
+    return ready.withColumn("hit", G.meets_triangle(F.col("type"), rings, *corner, F.col("_edges"), F.col("_box"))).drop("points", "_edges", "_box")
 
 
 def coverage(shapes: DataFrame, triangles_: DataFrame) -> DataFrame:

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import names as N
+from .numbering import numbered
 
 
 def split_classes(shapes: DataFrame, classes: DataFrame | list[str]) -> DataFrame:
@@ -22,8 +22,8 @@ def split_classes(shapes: DataFrame, classes: DataFrame | list[str]) -> DataFram
     else:
         marks = classes.select("original_class_name").distinct().withColumn("_listed", F.lit(True))
         listed = named.join(marks, "original_class_name", "left").withColumn("_listed", F.coalesce("_listed", F.lit(False)))
-    n = F.row_number().over(W.partitionBy("slide_id", "original_class_name").orderBy("ord"))
-    return listed.withColumn("class_name", F.when(F.col("_listed"), N.numbered_class(F.col("original_class_name"), n)).otherwise(F.col("class_name"))).drop("_listed")
+    counted = numbered(listed, "_n", ("slide_id", "original_class_name"))
+    return counted.withColumn("class_name", F.when(F.col("_listed"), N.numbered_class(F.col("original_class_name"), F.col("_n"))).otherwise(F.col("class_name"))).drop("_listed", "_n")
 
 
 def renamed_classification(shapes: DataFrame) -> DataFrame:

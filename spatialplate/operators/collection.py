@@ -3,27 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from .numbering import numbered
 
 
 def with_wells(shapes: DataFrame, class_wells: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """shapes whose class has a well, with `well` and shape_no: 1, 2, ... in each slide's file order.
 
-    One shared map has at most a plate's 384 rows and is broadcast; maps for
-    each of `keys` are joined as their size suggests.
+    Maps are joined as their size suggests; a slide may have any number of shapes.
     """
-    right = class_wells.select(*keys, "class_name", "well")
-    mapped = shapes.join(right if keys else F.broadcast(right), [*keys, "class_name"])
-    return mapped.withColumn("shape_no", F.row_number().over(W.partitionBy("slide_id").orderBy("ord")))
+    return numbered(shapes.join(class_wells.select(*keys, "class_name", "well"), [*keys, "class_name"]), "shape_no", ("slide_id",))
 
 
 def without_wells(shapes: DataFrame, class_wells: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """(slide_id, class_name, n): shapes that no well is for."""
     right = class_wells.select(*keys, "class_name").distinct()
-    return shapes.join(right if keys else F.broadcast(right), [*keys, "class_name"], "left_anti").groupBy("slide_id", "class_name").agg(F.count("*").alias("n"))
+    return shapes.join(right, [*keys, "class_name"], "left_anti").groupBy("slide_id", "class_name").agg(F.count("*").alias("n"))
 
 
 def outlines(mapped: DataFrame, tolerance: float | None = 1.0, factor: float = 100.0) -> DataFrame:

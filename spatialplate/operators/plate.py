@@ -10,9 +10,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import names as N
+from ..schemas import PLATES
 from ..sources import check_plate, plate_grid
 
 Keys = tuple[str, ...]
+#: Wells of the largest plate.
+MOST = max(rows * cols for rows, cols in PLATES.values())
 
 
 def classes_of(shapes: DataFrame, keys: Keys = ()) -> DataFrame:
@@ -31,18 +34,18 @@ def _mixed(seed: int, column: str) -> Column:
 def assign(classes: DataFrame, wells: DataFrame, keys: Keys = (), seed: int | None = None) -> DataFrame:
     """(keys, class_name, well, ord): classes by name on wells in plate order, or in the seed's order of wells; the rest of the longer side stays out.
 
-    Plates have at most 384 wells, so a layout is a small group.
+    Plates have at most 384 wells, so a layout is a small group; without keys
+    only as many classes are numbered.
     """
+    if not keys:
+        classes = classes.orderBy("class_name").limit(MOST)
     placed = _numbered(wells, keys, *(["pos"] if seed is None else [_mixed(seed, "well"), F.col("well")])).select(*keys, "well", "_n")
     return _numbered(classes, keys, "class_name").join(placed, [*keys, "_n"]).select(*keys, "class_name", "well", F.col("_n").alias("ord"))
 
 
 def unplaced(classes: DataFrame, wells: DataFrame, keys: Keys = ()) -> DataFrame:
     """Classes that an assignment has no well for."""
-    left = _numbered(classes, keys, "class_name")
-    right = wells.select(*keys).withColumn("_one", F.lit(1)).groupBy(*keys).agg(F.count("*").alias("_wells"))
-    joined = left.join(right, list(keys), "left") if keys else left.crossJoin(right)
-    return joined.where(F.col("_n") > F.coalesce("_wells", F.lit(0))).select(*keys, "class_name")
+    return classes.select(*keys, "class_name").join(assign(classes, wells, keys).select(*keys, "class_name"), [*keys, "class_name"], "left_anti")
 
 
 def capacity(classes: DataFrame, wells: DataFrame, keys: Keys = ()) -> DataFrame:

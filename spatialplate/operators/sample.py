@@ -9,22 +9,31 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 
 
-def _cells(low: Column, high: Column, size: float) -> Column:
+def _cells(low: Column, high: Column, size: Column) -> Column:
     return F.sequence(F.floor(low / size), F.floor(high / size))
 
 
-def inside(detections: DataFrame, annotations: DataFrame, cell: float = 256.0) -> DataFrame:
+def inside(detections: DataFrame, annotations: DataFrame, cell: float = 32.0) -> DataFrame:
     """(slide_id, annotation_id, id): detections whose centroid lies in an annotation.
 
-    Annotations are laid on a grid of `cell` pixels; detections meet only those
-    of their centroid's cell, by an equi-join.
+    Annotations are laid on grids of `cell` pixels and its doubles, each on the
+    one whose cells are as large as it, so that it takes four cells at most;
+    detections meet those of their centroid's cell on each grid there is, by an
+    equi-join.
     """
-    boxed = annotations.select("slide_id", F.col("id").alias("annotation_id"), F.col("rings").alias("_rings"), G.box(F.col("rings")).alias("_box"))
-    laid = boxed.select("slide_id", "annotation_id", "_rings", "_box", F.explode(_cells(F.col("_box.x0"), F.col("_box.x1"), cell)).alias("_cx")).select("*", F.explode(_cells(F.col("_box.y0"), F.col("_box.y1"), cell)).alias("_cy"))
-    spots = detections.select("slide_id", "id", G.centroid(F.col("rings")).alias("_p")).select("*", F.floor(F.col("_p.x") / cell).alias("_cx"), F.floor(F.col("_p.y") / cell).alias("_cy"))
-    p, b = F.col("_p"), F.col("_box")
-    near = spots.join(laid, ["slide_id", "_cx", "_cy"]).where((p.x >= b.x0) & (p.x <= b.x1) & (p.y >= b.y0) & (p.y <= b.y1))
-    return near.where(G.in_rings(p, F.col("_rings"))).select("slide_id", "annotation_id", "id")
+    size = lambda level: F.pow(F.lit(2.0), level) * F.lit(cell)
+    box, level = F.col("_box"), F.col("_level")
+    span = F.greatest(box.x1 - box.x0, box.y1 - box.y0, F.lit(cell))
+    boxed = annotations.select("slide_id", F.col("id").alias("annotation_id"), G.edges(F.col("rings")).alias("_edges"), G.box(F.col("rings")).alias("_box"))
+    graded = boxed.withColumn("_level", F.ceil(F.log2(span / cell)).cast("int"))
+    laid = graded.withColumn("_cx", F.explode(_cells(box.x0, box.x1, size(level)))).withColumn("_cy", F.explode(_cells(box.y0, box.y1, size(level))))
+    # One row: a slide has as many grids as its largest annotation has doublings.
+    levels = annotations.select(G.box(F.col("rings")).alias("_box")).select(F.ceil(F.log2(span / cell)).cast("int").alias("_level")).agg(F.collect_set("_level").alias("_levels"))
+    spots = detections.select("slide_id", "id", G.centroid(F.col("rings")).alias("_p")).crossJoin(F.broadcast(levels)).withColumn("_level", F.explode("_levels"))
+    p = F.col("_p")
+    spots = spots.select("slide_id", "id", "_p", "_level", F.floor(p.x / size(level)).alias("_cx"), F.floor(p.y / size(level)).alias("_cy"))
+    near = spots.join(laid, ["slide_id", "_level", "_cx", "_cy"]).where((p.x >= box.x0) & (p.x <= box.x1) & (p.y >= box.y0) & (p.y <= box.y1))
+    return near.where(G.within(p, F.col("_edges"))).select("slide_id", "annotation_id", "id")
 
 
 def sampled(found: DataFrame, n: int, seed: int) -> DataFrame:

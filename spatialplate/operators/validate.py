@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import EXPORTED
-from ..sources import wells
+from ..sources import check_plate, wells
 from . import calibrate, clean
 
 REPORT = ("slide_id", "check", "severity", "n", "detail")
@@ -50,8 +50,11 @@ def _when(bad: Column, severity: str) -> Column:
     return F.when(bad, severity).otherwise("info")
 
 
-def quality_report(features: DataFrame, slides: DataFrame, class_wells: DataFrame | None = None, selection: DataFrame | None = None, plate: str = "384") -> DataFrame:
-    """All guards over all slides; `slides` lists those expected, and a well map and a choice of points add their checks."""
+def quality_report(features: DataFrame, slides: DataFrame, class_wells: DataFrame | None = None, selection: DataFrame | None = None, plate: str = "384", usable: DataFrame | None = None) -> DataFrame:
+    """All guards over all slides; `slides` lists those expected, and a well map and a choice of points add their checks.
+
+    Room is that of the wells in `usable`(well), or of the whole plate.
+    """
     shapes, points = clean.shapes(features), clean.calibration_points(features)
     counts = slides.select("slide_id").distinct().join(features.groupBy("slide_id").agg(F.count("*").alias("n"), F.count_if(F.col("name").isNotNull()).alias("named")), "slide_id", "left").na.fill(0, ["n", "named"])
     rejected = clean.rejected(features).groupBy("slide_id", "type").agg(F.count("*").alias("n"))
@@ -70,10 +73,11 @@ def quality_report(features: DataFrame, slides: DataFrame, class_wells: DataFram
         _row(exported.where(F.col("column").isin(*EXPORTED)), "export_nulls", _when(F.col("n") > 0, "error"), F.col("n"), F.col("column")),
     ]
     if class_wells is not None:
-        lacking = missing_classes(shapes, class_wells.withColumn("slide_id", F.lit(None)).drop("slide_id"), ()).withColumn("slide_id", F.lit(None).cast("string"))
+        lacking = missing_classes(shapes, class_wells).withColumn("slide_id", F.lit(None).cast("string"))
         classes = shapes.where(F.col("class_name").isNotNull()).agg(F.countDistinct("class_name").alias("n")).withColumn("slide_id", F.lit(None).cast("string"))
-        room = 384 if plate == "384" else 96
-        unmapped = shapes.join(F.broadcast(class_wells.select("class_name").distinct()), "class_name", "left_anti").groupBy("slide_id", "class_name").agg(F.count("*").alias("n"))
+        rows, cols = check_plate(plate)
+        room = rows * cols if usable is None else usable.select("well").distinct().count()  # a plate's wells at most
+        unmapped = shapes.join(class_wells.select("class_name").distinct(), "class_name", "left_anti").groupBy("slide_id", "class_name").agg(F.count("*").alias("n"))
         nowhere = lambda df: df.withColumn("slide_id", F.lit(None).cast("string"))
         parts += [
             _row(lacking, "missing_class", "warn", F.lit(1), F.col("class_name")),

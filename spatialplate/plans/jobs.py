@@ -8,10 +8,12 @@ from .. import sinks, sources
 from ..operators import calibrate, clean, collection, plate, validate
 
 
-def collect_slides(spark: SparkSession, features: DataFrame, class_wells: DataFrame, out: str, plate_type: str = "384", selection: DataFrame | None = None, tolerance: float | None = 1.0) -> DataFrame:
+def collect_slides(spark: SparkSession, features: DataFrame, class_wells: DataFrame, out: str, plate_type: str = "384", selection: DataFrame | None = None, tolerance: float | None = 1.0, usable: DataFrame | None = None) -> DataFrame:
     """Write every slide's cutting job, clean features, the plate and the map under `out`; return the quality report.
 
-    features is best a table that was written once: it is read several times.
+    A slide whose features lack what an export needs (see export_errors()) gets
+    no feature file; the report says so. usable(well) are the wells that may be
+    used, if not all. features is best a table that was written once: it is read several times.
     """
     shapes, points = clean.shapes(features), clean.calibration_points(features)
     chosen = calibrate.default_selection(points) if selection is None else selection
@@ -21,5 +23,5 @@ def collect_slides(spark: SparkSession, features: DataFrame, class_wells: DataFr
     grid = sources.plate_grid(spark.range(1), plate_type)
     sinks.write_plate(plate.placed_on_grid(class_wells, grid), f"{out}/plate_{plate_type}", plate_type)
     sinks.write_map(class_wells, f"{out}/map")
-    sinks.write_features(shapes, f"{out}/features")
-    return validate.quality_report(features, features.select("slide_id").distinct(), class_wells, chosen, plate_type)
+    sinks.write_features(shapes.join(sinks.export_errors(shapes).select("slide_id").distinct(), "slide_id", "left_anti"), f"{out}/features")
+    return validate.quality_report(features, features.select("slide_id").distinct(), class_wells, chosen, plate_type, usable)

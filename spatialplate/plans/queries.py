@@ -15,6 +15,7 @@ from .. import sinks, sources
 from ..functions import geometry as G
 from ..functions import names as N
 from ..operators import calibrate, classes, clean, collection, plate, sample, validate
+from ..schemas import FEATURE_LINE
 
 CORNERS = ((1.0, 0.5), (0.5, 1.0), (-0.5, 1.0), (-1.0, 0.5), (-1.0, -0.5), (-0.5, -1.0), (0.5, -1.0), (1.0, -0.5), (1.0, 0.5))
 SEED = 7
@@ -276,6 +277,14 @@ def feature_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.feature_text(_shapes(spark, sf_dir))
 
 
+def collection_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feature lines as they are written, through the parser that reads collections."""
+    lines = sinks.feature_text(_shapes(spark, sf_dir).where(F.col("type") == "Polygon"))
+    read = sources.parsed_features(lines.select("slide_id", "ord", F.from_json("value", FEATURE_LINE).alias("f")))
+    found = clean.shapes(read).select("slide_id", "ord", "id", "object_type", "class_name", F.posexplode(G.exterior(F.col("rings"))).alias("i", "p"))
+    return found.select("slide_id", "ord", "id", "object_type", "class_name", "i", "p.x", "p.y")
+
+
 # SQL
 
 _F = """f AS (SELECT user_id % 8 AS slide_id, event_id AS ord, event_id AS id, CASE event_id % 10 WHEN 0 THEN 'Point' WHEN 1 THEN 'LineString' WHEN 2 THEN 'MultiPolygon' ELSE 'Polygon' END AS type,
@@ -396,6 +405,7 @@ SELECT slide_id, annotation_id, id, row_number() OVER (PARTITION BY slide_id, an
     "convert_detections": f"WITH {_F} SELECT slide_id, ord, CASE WHEN ord % 2 = 0 THEN 'annotation' ELSE object_type END AS object_type, CASE WHEN ord % 2 = 0 AND object_type = 'detection' THEN NULL ELSE name END AS name, class_name FROM f",
     "sanitize_features": f"""WITH {_S} SELECT slide_id, ord, id, object_type AS "objectType", class_name, type FROM s""",
     "export_errors": f"""WITH {_F} SELECT slide_id, 'classification' AS "column", count(*) AS n FROM f WHERE class_name IS NULL GROUP BY 1""",
+    "collection_read": f"WITH {_S}{_V} SELECT slide_id, ord, CAST(id AS VARCHAR) AS id, object_type, class_name, i, cx + r * dx AS x, cy + r * dy AS y FROM s, v WHERE type = 'Polygon'",
     "feature_lines": f"""WITH {_S}{_V} SELECT slide_id, ord, '{{"type":"Feature","id":' || id || ',"geometry":{{"type":"' || type || '","coordinates":[[' || string_agg('[' || (cx + r * dx) || ',' || (cy + r * dy) || ']', ',' ORDER BY i) || ']]}},"properties":{{"objectType":"' || object_type || '","classification":{{"name":"' || class_name || '","color":[3,128,17]}}}}}}' AS value
   FROM s, v GROUP BY slide_id, ord, id, type, object_type, class_name""",
 }
@@ -406,6 +416,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         shape_wells, feature_census, census_report, clean_shapes, rejected_shapes, json_property_extract, null_census, quality_report, calibration_points, calibration_missing, triangle_coverage, triangle_hits,
         acceptable_wells, plate_grid, assign_wells, assign_wells_shuffled, plate_overflow, plate_capacity, plate_pivot, plate_unpivot, map_missing_classes, map_invalid_wells, map_shared_wells, map_json, map_text_parse,
         list_items, split_classes, shapes_without_wells, shape_stats, transform_coords, simplify_outline, collection_xml_lines, combinations_palette, palette_json, colour_round_trip, sample_in_region, convert_detections,
-        sanitize_features, export_errors, feature_lines,
+        sanitize_features, export_errors, feature_lines, collection_read,
     )
 }

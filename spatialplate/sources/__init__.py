@@ -11,7 +11,7 @@ from ..functions import names as N
 from ..schemas import CLASSIFICATION, COLLECTION, FEATURE_LINE, PLATES
 
 
-def _features(raw: DataFrame) -> DataFrame:
+def parsed_features(raw: DataFrame) -> DataFrame:
     """raw(slide_id, ord, f) with parsed geometry and classification."""
     kind, coordinates = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
     parsed = F.from_json("f.properties.classification", CLASSIFICATION)
@@ -32,14 +32,19 @@ def _features(raw: DataFrame) -> DataFrame:
 def read_features(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Features of FeatureCollection files, one file a slide, in file order. A file is read by one task; see read_feature_lines."""
     raw = spark.read.schema(COLLECTION).json(paths, multiLine=True)
-    return _features(raw.select(N.file_stem(F.col("_metadata.file_name")).alias("slide_id"), F.posexplode("features").alias("ord", "f")))
+    return parsed_features(raw.select(N.file_stem(F.col("_metadata.file_name")).alias("slide_id"), F.posexplode("features").alias("ord", "f")))
 
 
-def read_feature_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Features one a line, for very large slides: splittable. Each line carries its slide_id and ord; without ord, order is that of id."""
+def read_feature_lines(spark: SparkSession, paths: str | list[str], ordered: bool = False) -> DataFrame:
+    """Features one a line, for very large slides: splittable. Each line carries its slide_id and ord; without ord, order is that of id.
+
+    With `ordered` every line is taken to have its ord, and no slide is sorted.
+    """
     raw = spark.read.schema(FEATURE_LINE).json(paths)
+    if ordered:
+        return parsed_features(raw.select("slide_id", "ord", F.struct("id", "geometry", "properties").alias("f")))
     own = F.row_number().over(W.partitionBy("slide_id").orderBy("id")).cast("long") - 1
-    return _features(raw.select("slide_id", F.coalesce("ord", own).alias("ord"), F.struct("id", "geometry", "properties").alias("f")))
+    return parsed_features(raw.select("slide_id", F.coalesce("ord", own).alias("ord"), F.struct("id", "geometry", "properties").alias("f")))
 
 
 def parsed_map(text: Column) -> Column:

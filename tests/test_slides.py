@@ -215,3 +215,30 @@ def test_lists_and_palettes(spark):
     assert [r.class_name for r in combined.orderBy("pos").collect()] == ["a_a_1", "a_a_2", "a_b_1", "a_b_2", "b_a_1", "b_a_2", "b_b_1", "b_b_2"]
     palette = json.loads(sinks.palette_text(combined).first().value)["pathClasses"]
     assert palette[0] == {"name": "a_a_1", "color": -65536} and palette[6]["color"] == -65536
+
+
+def test_numbers_do_not_depend_on_ranges(spark, monkeypatch):
+    import random
+
+    from spatialplate.operators import numbering
+
+    monkeypatch.setattr(numbering, "CHUNK", 7)
+    rows = [(random.Random(i).choice(["a", "b", None]), i * 3 % 101) for i in range(101)]
+    got = numbering.numbered(spark.createDataFrame(rows, "k string, ord long").withColumn("_size", F.lit(1)), "n", ("k",))
+    assert got.columns == ["k", "ord", "_size", "n"]
+    for key in ("a", "b", None):
+        orders = [r.ord for r in sorted(got.collect(), key=lambda r: r.n) if r.k == key]
+        assert orders == sorted(o for k, o in rows if k == key) and [r.n for r in got.orderBy("n").collect() if r.k == key] == list(range(1, len(orders) + 1))
+
+
+def test_sampling_on_grids_of_several_sizes(spark):
+    import random
+
+    rng = random.Random(2)
+    square = lambda x, y, r: [[(x - r, y - r), (x + r, y - r), (x + r, y + r), (x - r, y + r), (x - r, y - r)]]
+    regions = [(f"a{i}", rng.uniform(0, 900), rng.uniform(-300, 900), rng.choice([3, 20, 90, 400])) for i in range(40)]
+    spots = [(f"d{i}", rng.uniform(0, 900), rng.uniform(-300, 900), 1.0) for i in range(150)]
+    table = lambda rows: spark.createDataFrame([("s", i, square(x, y, r)) for i, x, y, r in rows], "slide_id string, id string, rings array<array<struct<x:double,y:double>>>")
+    got = {(r.annotation_id, r.id) for r in sample.inside(table(spots), table(regions)).collect()}
+    assert got == {(a, d) for a, ax, ay, r in regions for d, x, y, _ in spots if abs(x - ax) < r and abs(y - ay) < r}
+    assert sample.inside(table(spots), table(regions).where("false")).count() == 0
