@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Arrow's batches of texts: Spark's defaults, and what is put in their place. Ten thousand texts may be hundreds of MB outside the heap.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b")}
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -39,6 +41,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def by_few(df: DataFrame) -> DataFrame:
+    """df, whose session hands Python smaller batches from now on, unless it sets a size of its own."""
+    conf = df.sparkSession.conf
+    for name, (usual, small) in BATCHES.items():
+        if conf.get(name) == usual:
+            conf.set(name, small)
+    return df
+
+
 def removed(*tables: DataFrame) -> None:
     """Delete tables of written() that nothing reads any more."""
     for table in tables:

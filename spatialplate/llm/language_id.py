@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import by_few, slices
 
 #: Bounds of the sample: rows a language, taken whole, and characters that such a row may have (a language of longer rows only gives its shortest).
 ROWS, LONGEST = 24, 8_000
@@ -298,4 +298,4 @@ def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())], [*part.schema.names, "lang_pred", "lang_score", "lang_rate"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", lang_pred string, lang_score double, lang_rate double"
-    return df.mapInArrow(run, schema)
+    return by_few(df).mapInArrow(run, schema)

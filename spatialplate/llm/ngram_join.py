@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _mixed
-from .common import removed, slices, written
+from .common import by_few, removed, slices, written
 
 #: Tokens in the order's table (12 bytes each, broadcast), the count that makes a token frequent, and sizes that may be light.
 ORDER, FREQUENT, LIGHT = 500_000, 8, 64
@@ -86,12 +86,12 @@ def frequent(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1, 8_000_000):
-                found = [s for few in slices(part, 1, 4_000_000) for s in shingle_sets(few.column(1).to_pylist(), width)]
+                found = [s for few in slices(part, 1, 2_000_000) for s in shingle_sets(few.column(1).to_pylist(), width)]
                 tokens, n = np.unique(np.concatenate(found), return_counts=True)
                 tokens, n = tokens[n > 1], n[n > 1]
                 yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(n)], ["token", "n"])
 
-    return docs.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    return by_few(docs).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
 
 
 def order_table(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +116,7 @@ def described(docs: DataFrame, order: Broadcast, width: int, percent: int) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = order.value
         for batch in batches:
-            for part in slices(batch, 1, 4_000_000):
+            for part in slices(batch, 1, 2_000_000):
                 sets = shingle_sets(part.column(1).to_pylist(), width)
                 prefixes, scans = [], []
                 for s in sets:
@@ -139,7 +139,7 @@ def described(docs: DataFrame, order: Broadcast, width: int, percent: int) -> Da
                     ["id", "n", "signature", "prefix", "scan"],
                 )
 
-    return docs.mapInArrow(run, "id long, n long, signature binary, prefix array<long>, scan double")
+    return by_few(docs).mapInArrow(run, "id long, n long, signature binary, prefix array<long>, scan double")
 
 
 def boundary(sets: DataFrame, percent: int) -> int:
@@ -241,12 +241,12 @@ def _token_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1, 4_000_000):
+            for part in slices(batch, 1, 2_000_000):
                 sets = shingle_sets(part.column(1).to_pylist(), width)
                 ends = np.append(0, np.cumsum([len(s) for s in sets]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))], ["node", "tokens"])
 
-    return _likely(docs, wanted).mapInArrow(run, "node long, tokens array<long>")
+    return by_few(_likely(docs, wanted)).mapInArrow(run, "node long, tokens array<long>")
 
 
 def short_list_pairs(short: DataFrame, long: DataFrame, light: int, percent: int) -> DataFrame:

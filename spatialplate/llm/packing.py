@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import BLOCK, Coder
-from .common import slices, written
+from .common import by_few, slices, written
 
 #: Weights start a little steeper than the lengths, for long pieces have fewer places to go.
 POWER = 1.05
@@ -90,7 +90,7 @@ def pieces(df: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_c
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.list_(pa.int32()))] * keep_ids, names + ["ids"] * keep_ids)
 
     schema = f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return by_few(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def priced(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -325,7 +325,7 @@ def pack(cut: DataFrame, capacity: int = 2048, id_col: str = "doc_id") -> DataFr
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(sequence), pa.array(offset)], [*keep, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long"
-    return numbered.select(*keep, "_number").mapInArrow(run, schema)
+    return by_few(numbered.select(*keep, "_number")).mapInArrow(run, schema)
 
 
 def pack_documents(df: DataFrame, path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

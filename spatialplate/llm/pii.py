@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, slices, written
+from .common import by_few, row_key, slices, written
 
 SALTS = 16
 #: From this attempt on a surrogate may be longer than its entity, for its format has few values left;
@@ -244,7 +244,7 @@ def _found(rows: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(start, pa.int32()), pa.array(end, pa.int32()), *[pa.array(x, pa.string()) for x in (kind, gender, surface, entity)]], names)
 
     kind = rows.schema["_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"_id {kind}, _key long, start int, end int, type string, gender string, surface string, entity string")
+    return by_few(rows).mapInArrow(run, f"_id {kind}, _key long, start int, end int, type string, gender string, surface string, entity string")
 
 
 def spans(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
