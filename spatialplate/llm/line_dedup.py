@@ -15,6 +15,11 @@ from .common import written
 BROADCAST, SALTS = 500_000, 32
 
 
+def host_of(url: Column) -> Column:
+    """The host of an address in lower case, without a leading www.; null where it has none."""
+    return F.regexp_replace(F.lower(F.try_parse_url(url, F.lit("HOST"))), r"^www\.", "")
+
+
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
@@ -46,7 +51,9 @@ def drop_boilerplate(df: DataFrame, host_col: str = "source", text_col: str = "t
     goes if it is on at least `least` pages and on more than `percent` percent
     of its host's pages. Blank lines are never counted or dropped. A null text
     stays null, with 0 lines; an empty one has one empty line. A text that
-    loses all lines becomes empty. Pages with a null host are one host. All
+    loses all lines becomes empty. Pages with a null host are one host. Tabs and
+    carriage returns are part of a line, not blanks. host_of() makes hosts of
+    addresses. All
     columns and repeated rows stay; an empty table gives an empty one. Lines
     are told apart by 64-bit hashes within their host.
     """
@@ -58,7 +65,8 @@ def drop_boilerplate(df: DataFrame, host_col: str = "source", text_col: str = "t
         joined = keyed.join(F.broadcast(sites), "_host", "left")
     else:  # a host may hold a third of all pages
         salted = sites.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = keyed.withColumn("_salt", F.pmod(F.xxhash64(text_col), F.lit(SALTS)).cast("int")).join(salted, ["_host", "_salt"], "left")
+        # By the row's number, for most rows of a host may be copies of one text; any salt finds the same lines.
+        joined = keyed.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).hint("merge").join(salted, ["_host", "_salt"], "left")
     kept = F.filter("_all", lambda x: (F.trim(x) == "") | ~F.array_contains("_bad", _hash(x)))
     out = joined.withColumn("_all", _lines(F.col(text_col))).withColumn("_kept", F.when(F.col("_bad").isNull(), F.col("_all")).otherwise(kept))
     return out.select(

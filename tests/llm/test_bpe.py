@@ -65,3 +65,5 @@ def test_query_over_the_documents(spark, sf):
     got = {r.doc_id: (r.n_tokens, r.decoded_sha256) for r in QUERIES["op3_merge_replay"](spark, sf).collect()}
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     assert got == {i: (len(LIBRARY.encode_ordinary(t or "")), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in docs.items()}
+    ids = {r.doc_id: r.ids_sha256 for r in QUERIES["op3_merge_replay"](spark, sf).collect()}
+    assert ids == {i: hashlib.sha256(" ".join(map(str, LIBRARY.encode_ordinary(t or ""))).encode()).hexdigest() for i, t in docs.items()}

@@ -1,6 +1,8 @@
 from collections import Counter
+from urllib.parse import urlsplit
 
 import pytest
+from pyspark.sql import functions as F
 
 from spatialplate.llm import line_dedup
 from spatialplate.llm.queries import QUERIES, SQL
@@ -36,3 +38,15 @@ def test_no_python_runs(spark, sf):
 
 def test_query_matches_sql(spark, sf):
     assert spark_rows(QUERIES["op8_site_lines"](spark, sf)) == duck_rows(SQL["op8_site_lines"], sf)
+
+
+def test_pages_by_the_host_of_their_address(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet").withColumn("host", line_dedup.host_of(F.col("url")))
+    rows = pages.select("page_id", "url", "host", "html").orderBy("page_id").collect()
+    for r in rows:
+        host = urlsplit(r.url).hostname if r.url else None
+        assert r.host == (host.removeprefix("www.") if host else None)
+    out = line_dedup.drop_boilerplate(pages, "host", "html", 20, 3).orderBy("page_id").collect()
+    assert [r.html for r in out] == plain([(r.host, r.html) for r in rows], 20, 3)
+    odd = spark.createDataFrame([("https://WWW.Example.org:80/a?b",), (None,), ("no address",), ("",)], "url string")
+    assert [r[0] for r in odd.select(line_dedup.host_of(F.col("url"))).collect()] == ["example.org", None, None, None]
