@@ -11,6 +11,8 @@ from spatialplate import sinks, sources
 from spatialplate.operators import calibrate, classes, clean, collection, plate, sample, validate
 from spatialplate.plans import jobs
 
+# Fixed golden values: an outline of a public example and a box of it, and its calibration points (p2, p3, p4 below);
+# the cutting job further down is what the instrument must be given for them.
 OUTLINE = [[584, 760], [613, 800], [618, 808], [615, 829], [636, 820], [809, 755], [782, 682], [584, 760]]
 BOX = [[160, 140], [160, 263], [244, 263], [244, 140], [160, 140]]
 
