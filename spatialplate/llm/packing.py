@@ -165,7 +165,7 @@ def covering(demand: np.ndarray, steps: int = STEPS, gap: float = TOLERANCE) ->
             begins = np.append(begins, begins[-1] + np.cumsum([len(c) for c in fresh], dtype=np.int64))
             uses = np.append(uses, np.zeros(len(fresh)))
             # Until the next pricing only those come up whose worth is not far from the best.
-            active = np.flatnonzero(np.add.reduceat(weight[pieces_], begins[:-1]) >= (1 - 3 * slack) * value[cap])
+            active = np.flatnonzero(np.add.reduceat(weight[pieces_], begins[:-1]) >= (1 - 1.5 * slack) * value[cap])
             sizes = np.diff(begins)[active]
             starts = np.cumsum(sizes) - sizes
             flat = pieces_[np.repeat(begins[active] - starts, sizes) + np.arange(sizes.sum())]
@@ -190,7 +190,7 @@ def covering(demand: np.ndarray, steps: int = STEPS, gap: float = TOLERANCE) ->
 
 
 def relaxed(demand: np.ndarray, steps: int = STEPS) -> dict[tuple[int, ...], float]:
-    """The uses of covering(), most used first, without what they hold more than once over: they add up to the demand."""
+    """The uses of covering(), most used first, without what they hold more than once over: a fractional packing of exactly the demand."""
     left, out = [0.0, *demand.tolist()], {}
     for config, times in sorted(covering(demand, steps)[0].items(), key=lambda x: (-x[1], x[0])):
         while times > 1e-9 and (config := tuple([length for length in config if left[length] > 1e-9])):
@@ -255,7 +255,7 @@ def solved(histogram: dict[int, int], capacity: int, steps: int = STEPS) -> tupl
     demand = np.zeros(capacity, np.int64)
     for length, n in histogram.items():
         demand[length - 1] = n
-    found = sorted(relaxed(demand, steps).items(), key=lambda x: (-x[1], x[0]))
+    found = sorted(covering(demand, steps)[0].items(), key=lambda x: (-x[1], x[0]))
     tried = [(out, best_fit(left)) for out, left in (rounded(found, demand, least) for least in (0.0, 0.5, 1.0))]
     return min(tried, key=sequences)
 
