@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, line_dedup, multi_index, ngram_join, packing, pii, secret_scan, token_rollup, topk
+from . import bpe, exact_dedup, fill_middle, language_id, line_dedup, multi_index, ngram_join, packing, pii, ranked_search, secret_scan, token_rollup, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,18 @@ def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.nearest(rows.where(F.col("vec_id") % 100 == 0), rows, 10)
 
 
+def op11_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(ranked_search.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digest(fill_middle.transformed(table(spark, sf_dir, "documents"), carry=["doc_id"]))
+
+
+def op13_heavy_split_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.marked(table(spark, sf_dir, "documents"), carry=["doc_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_surrogates": op1_surrogates,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -80,10 +92,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_site_lines": op8_site_lines,
     "op9_exact_topk": op9_exact_topk,
     "op10_multi_index": op10_multi_index,
+    "op11_block_max_search": op11_block_max_search,
+    "op12_fill_middle": op12_fill_middle,
+    "op13_heavy_split_dedup": op13_heavy_split_dedup,
 }
 
 SQL: dict[str, str] = {
     "op6_token_rollup": token_rollup.SQL,
     "op8_site_lines": line_dedup.SQL,
     "op9_exact_topk": topk.SQL,
+    "op11_block_max_search": ranked_search.SQL,
+    "op12_fill_middle": fill_middle.SQL,
+    "op13_heavy_split_dedup": exact_dedup.SQL,
 }
