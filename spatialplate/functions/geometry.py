@@ -5,13 +5,14 @@ Only simplification runs Python, on Arrow batches.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import thinning
+
 Pair = tuple[Column, Column]
 
 
@@ -140,50 +141,63 @@ def scaled(p: Column, factor: float = 100.0) -> Column:
 
 
 def kept_points(x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarray:
-    """Douglas and Peucker (1973): indices of the points that stay; a closed ring keeps four at least if it has them."""
-    n = len(x)
-    if n < 3:
-        return np.arange(n)
-    closed = x[0] == x[-1] and y[0] == y[-1]
-    keep = np.zeros(n, bool)
-    keep[[0, n - 1]] = True
-
-    def farthest(a: int, b: int) -> tuple[float, int]:
-        px, py, dx, dy = x[a + 1 : b] - x[a], y[a + 1 : b] - y[a], x[b] - x[a], y[b] - y[a]
-        length = dx * dx + dy * dy
-        t = np.clip((px * dx + py * dy) / length, 0, 1) if length else np.zeros(len(px))
-        far = np.hypot(px - t * dx, py - t * dy)
-        i = int(far.argmax())
-        return float(far[i]), a + 1 + i
-
-    def split(todo: list[tuple[int, int]]) -> None:
-        while todo:
-            a, b = todo.pop()
-            if b - a > 1:
-                far, i = farthest(a, b)
-                if far > tolerance:
-                    keep[i] = True
-                    todo += [(a, i), (i, b)]
-
-    split([(0, n - 1)])
-    while closed and keep.sum() < min(4, n):
-        stays = np.flatnonzero(keep).tolist()
-        _, i, a, b = max((*farthest(a, b), a, b) for a, b in zip(stays[:-1], stays[1:], strict=True) if b - a > 1)
-        keep[i] = True
-        split([(a, i), (i, b)])
-    return np.flatnonzero(keep)
-
-
-def simplifier(tolerance: float = 1.0) -> Callable[[Column], Column]:
-    """A function from a ring's column to the simplified ring's; points that stay are the ring's own."""
-
-    @F.pandas_udf("array<int>")
-    def kept(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for xs, ys in parts:
-            yield pd.Series([None if x is None else kept_points(np.asarray(x, float), np.asarray(y, float), tolerance).astype(np.int32) for x, y in zip(xs, ys, strict=True)], dtype=object)
-
-    def simplified(ring: Column) -> Column:
-        stays = kept(F.transform(ring, lambda p: p.x), F.transform(ring, lambda p: p.y))
-        return F.transform(stays, lambda i: F.get(ring, i))
-
-    return simplified
+    """Indices of the points of one ring or line that stay; see simplified()."""
+    return np.flatnonzero(thinning.kept(thinning.Rings(x, y, np.array([0, len(x)]), np.zeros(1, np.int64)), tolerance))
+
+
+def _thinned(shapes: pa.Array, tolerance: float) -> pa.Array:
+    """An Arrow array of shapes, lists of rings, thinned all together."""
+    rings_, of = shapes.flatten(), pc.list_parent_indices(shapes).to_numpy()
+    sizes = pc.fill_null(pc.list_value_length(rings_), 0).to_numpy()
+    points = rings_.flatten()
+    x, y = (pc.fill_null(pc.struct_field(points, c), float("nan")).to_numpy(zero_copy_only=False).astype(float) for c in "xy")
+    rings = thinning.Rings(x, y, np.concatenate([[0], np.cumsum(sizes)]), of)
+    keep = thinning.kept(rings, tolerance)
+    left = np.bincount(rings.ring[keep], minlength=len(sizes))
+
+    def gathered(counts: np.ndarray, values: pa.Array, gone: pa.Array) -> pa.Array:
+        offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), values, mask=gone)
+
+    inner = gathered(left, points.filter(pa.array(keep)), rings_.is_null())
+    return gathered(np.bincount(of, minlength=len(shapes)), inner, shapes.is_null())
+
+
+def simplified(rings_: Column, tolerance: float = 1.0) -> Column:
+    """Rings without the points that Douglas and Peucker's rule (1973) can spare; those that stay are the rings' own.
+
+    Topology stays: sides of a shape, of one ring or of several, that don't meet
+    before don't meet after, for which points within the tolerance may have to
+    stay. A closed ring keeps four points at least if it has them. Sides that
+    meet already may meet on. A hole is not kept from a side that jumps over it
+    whole.
+    """
+
+    @F.arrow_udf("array<array<struct<x:double,y:double>>>")
+    def thin(shapes: pa.Array) -> pa.Array:
+        return _thinned(shapes, tolerance)
+
+    return thin(rings_)
+
+
+def meetings(rings_: Column) -> Column:
+    """Pairs of a shape's sides that have a point in common, besides the one at which they follow each other: 0 for a simple outline. Sides without length don't count.
+
+    All pairs of one shape's own sides are looked at, so that this is for outlines of up to some thousand points.
+    """
+
+    def follows(e: Column, f: Column) -> Column:
+        return (e.b.x == f.a.x) & (e.b.y == f.a.y)
+
+    def on(e: Column, p: Column) -> Column:
+        return (turn(e.a, e.b, p) == 0) & _between(e.a, e.b, p)
+
+    def meet(e: Column, f: Column) -> Column:
+        after, before = follows(e, f), follows(f, e)
+        again = F.when(after & before, True).when(after, on(e, f.b) | on(f, e.a)).otherwise(on(e, f.a) | on(f, e.b))
+        return F.when((e.ring == f.ring) & (after | before), again).otherwise(sides_meet(e.a, e.b, f.a, f.b))
+
+    numbered = F.flatten(F.transform(rings_, lambda ring, i: F.transform(edges(F.array(ring)), lambda e: F.struct(e.a.alias("a"), e.b.alias("b"), i.alias("ring")))))
+    sides = F.filter(numbered, lambda e: (e.a.x != e.b.x) | (e.a.y != e.b.y))
+    others = lambda i: F.slice(sides, i + 2, F.size(sides))
+    return F.aggregate(F.transform(sides, lambda e, i: F.size(F.filter(others(i), lambda f: meet(e, f)))), F.lit(0), lambda s, n: s + n)

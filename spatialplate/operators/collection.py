@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from .numbering import numbered
 
+#: The place of a job's last line, after those of all shapes.
+LAST = 1 << 62
+
 
 def with_wells(shapes: DataFrame, class_wells: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """shapes whose class has a well, with `well` and shape_no: 1, 2, ... in each slide's file order.
@@ -25,19 +29,26 @@ def without_wells(shapes: DataFrame, class_wells: DataFrame, keys: tuple[str, ..
 
 def outlines(mapped: DataFrame, tolerance: float | None = 1.0, factor: float = 100.0) -> DataFrame:
     """(slide_id, shape_no, well, pts): exteriors, simplified unless tolerance is None, turned to the instrument's axes and scaled."""
-    ring = G.exterior(F.col("rings"))
-    cut = mapped.select("slide_id", "shape_no", "well", ring.alias("_ring"))
-    if tolerance is not None:
-        cut = cut.withColumn("_ring", G.simplifier(tolerance)(F.col("_ring")))
+    rings = F.col("rings") if tolerance is None else G.simplified(F.col("rings"), tolerance)
+    cut = mapped.select("slide_id", "shape_no", "well", G.exterior(rings).alias("_ring"))
     return cut.select("slide_id", "shape_no", "well", F.transform("_ring", lambda p: G.scaled(G.oriented(p), factor)).alias("pts"))
 
 
 def statistics(outlined: DataFrame) -> DataFrame:
-    """By slide and well: shapes, vertices (least, mean, median, most) and the bounding box."""
+    """By slide and well: shapes, vertices (least, mean, median, most) and the bounding box.
+
+    Shapes are counted by their number of vertices first; the median is picked
+    from these counts, so that no state holds a value for each shape.
+    """
     xs, ys = F.transform("pts", lambda p: p.x), F.transform("pts", lambda p: p.y)
     rows = outlined.select("slide_id", "well", F.size("pts").alias("n"), F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"))
-    return rows.groupBy("slide_id", "well").agg(
-        F.count("*").alias("shapes"), F.min("n").alias("min_vertices"), F.avg("n").alias("mean_vertices"), F.percentile("n", F.lit(0.5)).alias("median_vertices"), F.max("n").alias("max_vertices"),
+    sizes = rows.groupBy("slide_id", "well", "n").agg(F.count("*").alias("shapes"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
+    group = W.partitionBy("slide_id", "well")
+    upto = sizes.withColumn("upto", F.sum("shapes").over(group.orderBy("n").rowsBetween(W.unboundedPreceding, W.currentRow))).withColumn("all", F.sum("shapes").over(group))
+    middle = lambda at: F.min(F.when(F.col("upto") >= at, F.col("n")))
+    return upto.groupBy("slide_id", "well").agg(
+        F.sum("shapes").alias("shapes"), F.min("n").alias("min_vertices"), (F.sum(F.col("shapes") * F.col("n")) / F.sum("shapes")).alias("mean_vertices"),
+        ((middle(F.floor((F.col("all") + 1) / 2)) + middle(F.floor(F.col("all") / 2) + 1)) / 2).alias("median_vertices"), F.max("n").alias("max_vertices"),
         F.min("x0").alias("x_min"), F.max("x1").alias("x_max"), F.min("y0").alias("y_min"), F.max("y1").alias("y_max"),
     )
 
@@ -58,6 +69,8 @@ def xml_lines(outlined: DataFrame, triangles: DataFrame, factor: float = 100.0)
         F.flatten(F.transform("points", lambda p, i: F.array(one(F.concat(text("X_CalibrationPoint_"), (i + 1).cast("string")), p.x, 2), one(F.concat(text("Y_CalibrationPoint_"), (i + 1).cast("string")), p.y, 2)))),
         F.array(one(text("ShapeCount"), F.col("n"), 2)),
     )
+    placed = lambda at, no, s: F.struct(F.lit(at).cast("long").alias("shape_no"), no.cast("int").alias("line_no"), s.alias("s"))
+    around = F.concat(F.transform(head_lines, lambda s, i: placed(0, i, s)), F.array(placed(LAST, F.lit(0), text("</ImageData>"))))
     number = F.col("shape_no").cast("string")
     shape_lines = F.concat(
         F.array(F.concat(text("  <Shape_"), number, text(">")), one(text("PointCount"), F.size("pts"), 4), one(text("CapID"), F.col("well"), 4)),
@@ -65,9 +78,5 @@ def xml_lines(outlined: DataFrame, triangles: DataFrame, factor: float = 100.0)
         F.array(F.concat(text("  </Shape_"), number, text(">"))),
     )
     order = F.col("shape_no").cast("long").alias("shape_no")
-    parts = [
-        head.select("slide_id", F.lit(0).cast("long").alias("shape_no"), F.posexplode(head_lines).alias("line_no", "s")),
-        both.select("slide_id", order, F.posexplode(shape_lines).alias("line_no", "s")),
-        counts.select("slide_id", F.lit(1 << 62).cast("long").alias("shape_no"), F.lit(0).alias("line_no"), F.lit("</ImageData>").alias("s")),
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    frame = head.select("slide_id", F.explode(around).alias("l")).select("slide_id", "l.shape_no", "l.line_no", "l.s")
+    return frame.unionByName(both.select("slide_id", order, F.posexplode(shape_lines).alias("line_no", "s")))

@@ -34,13 +34,13 @@ def _mixed(seed: int, column: str) -> Column:
 def assign(classes: DataFrame, wells: DataFrame, keys: Keys = (), seed: int | None = None) -> DataFrame:
     """(keys, class_name, well, ord): classes by name on wells in plate order, or in the seed's order of wells; the rest of the longer side stays out.
 
-    Plates have at most 384 wells, so a layout is a small group; without keys
-    only as many classes are numbered.
+    Plates have at most 384 wells: of more classes only the first are numbered,
+    which each task picks from its own rows before they are brought together.
     """
     if not keys:
         classes = classes.orderBy("class_name").limit(MOST)
     placed = _numbered(wells, keys, *(["pos"] if seed is None else [_mixed(seed, "well"), F.col("well")])).select(*keys, "well", "_n")
-    return _numbered(classes, keys, "class_name").join(placed, [*keys, "_n"]).select(*keys, "class_name", "well", F.col("_n").alias("ord"))
+    return _numbered(classes, keys, "class_name").where(F.col("_n") <= MOST).join(placed, [*keys, "_n"]).select(*keys, "class_name", "well", F.col("_n").alias("ord"))
 
 
 def unplaced(classes: DataFrame, wells: DataFrame, keys: Keys = ()) -> DataFrame:

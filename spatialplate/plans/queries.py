@@ -18,7 +18,13 @@ from ..operators import calibrate, classes, clean, collection, plate, sample, va
 from ..schemas import FEATURE_LINE
 
 CORNERS = ((1.0, 0.5), (0.5, 1.0), (-0.5, 1.0), (-1.0, 0.5), (-1.0, -0.5), (-0.5, -1.0), (0.5, -1.0), (1.0, -0.5), (1.0, 0.5))
-SEED = 7
+#: A closed outline that plain thinning at a tolerance of 2 makes cross itself. Every fourth event has it with two points exchanged, so that it crosses itself from the start.
+WINDING = (
+    (8.24, 6.7), (3.25, 3.5), (2.88, 3.26), (0.85, 4.6), (-1.46, 6.95), (-0.88, 2.33), (-4.8, 5.59), (-5.42, 6.29),
+    (-4.12, 4.23), (-3.35, 1.49), (-9.79, -1.85), (-7.06, -4.43), (-3.36, -2.3), (-9.7, -6.92), (-2.75, -3.46), (8.24, 6.7),
+)
+TWISTED = (*WINDING[:4], WINDING[9], *WINDING[5:9], WINDING[4], *WINDING[10:])
+SEED, TOLERANCE = 7, 3.0
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -212,8 +218,8 @@ def shapes_without_wells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collection.without_wells(_shapes(spark, sf_dir), slide_map(spark, sf_dir))
 
 
-def _outlined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return collection.outlines(collection.with_wells(_shapes(spark, sf_dir), slide_map(spark, sf_dir)), None)
+def _outlined(spark: SparkSession, sf_dir: str, tolerance: float | None = TOLERANCE) -> DataFrame:
+    return collection.outlines(collection.with_wells(_shapes(spark, sf_dir), slide_map(spark, sf_dir)), tolerance)
 
 
 def shape_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,14 +227,23 @@ def shape_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def transform_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _outlined(spark, sf_dir).select("slide_id", "shape_no", F.posexplode("pts").alias("i", "p")).select("slide_id", "shape_no", "i", "p.x", "p.y")
+    return _outlined(spark, sf_dir, None).select("slide_id", "shape_no", F.posexplode("pts").alias("i", "p")).select("slide_id", "shape_no", "i", "p.x", "p.y")
 
 
 def simplify_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    simple = G.simplifier(3.0)(G.exterior(F.col("rings")))
+    simple = G.exterior(G.simplified(F.col("rings"), TOLERANCE))
     return _shapes(spark, sf_dir).select("slide_id", "ord", simple.alias("pts")).select("slide_id", "ord", F.posexplode("pts").alias("i", "p")).select("slide_id", "ord", "i", "p.x", "p.y")
 
 
+def outline_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of sides that meet in winding outlines; and after thinning, in those that have none."""
+    e = F.col("event_id")
+    at = lambda points: F.array(F.array(*[F.struct(((e * 37 % 1000) + F.lit(x)).alias("x"), ((e * 91 % 1000) + F.lit(y)).alias("y")) for x, y in points]))
+    rings = table(spark, sf_dir, "events").select(e.alias("ord"), F.when(e % 4 == 3, at(TWISTED)).otherwise(at(WINDING)).alias("rings"))
+    met = rings.select("ord", G.meetings(F.col("rings")).alias("before"), G.simplified(F.col("rings"), 2.0).alias("thin"))
+    return met.select("ord", "before", F.when(F.col("before") == 0, G.meetings(F.col("thin"))).alias("after"))
+
+
 def collection_xml_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collection.xml_lines(_outlined(spark, sf_dir), _triangles(features(spark, sf_dir)))
 
@@ -321,6 +336,22 @@ _MAP = f""", map AS (SELECT c.class_name, w.well, c.n AS ord FROM (SELECT event_
   JOIN {_wells("(SELECT 1 AS one)", "one", "96", "2", "1", "1")} w ON w.pos = c.n)"""
 _MAPPED = _MAP + """, mapped AS (SELECT s.*, m.well, row_number() OVER (PARTITION BY slide_id ORDER BY s.ord) AS shape_no FROM s JOIN map m USING (class_name))"""
 _PTS = """, pts AS (SELECT slide_id, shape_no, well, i, CAST(floor((cx + r * dx) * 100) AS INTEGER) AS x, CAST(floor(-(cy + r * dy) * 100) AS INTEGER) AS y FROM mapped, v)"""
+
+
+def _thinned(levels: int = 7) -> str:
+    """SQL of kept(r, i): the octagon's points that stay at TOLERANCE; the sections of a level are split at once."""
+    out = ", k0 AS (SELECT r, i FROM (SELECT DISTINCT r FROM s), (VALUES (0), (8)) t(i))"
+    for n in range(1, levels + 1):
+        out += f""", g{n} AS (SELECT r, i AS a, lead(i) OVER (PARTITION BY r ORDER BY i) AS b FROM k{n - 1}),
+d{n} AS (SELECT r, a, b, i, sqrt((px - t * dx) ** 2 + (py - t * dy) ** 2) AS d FROM (SELECT *, CASE WHEN dx = 0 AND dy = 0 THEN 0 ELSE least(1, greatest(0, (px * dx + py * dy) / (dx * dx + dy * dy))) END AS t
+  FROM (SELECT g.*, m.i, r * (m.dx - p.dx) AS px, r * (m.dy - p.dy) AS py, r * (q.dx - p.dx) AS dx, r * (q.dy - p.dy) AS dy FROM g{n} g JOIN v p ON p.i = g.a JOIN v q ON q.i = g.b JOIN v m ON m.i > g.a AND m.i < g.b))),
+k{n} AS (SELECT r, i FROM k{n - 1} UNION SELECT r, arg_max(i, d - i * 1e-9) FROM d{n} GROUP BY r, a, b HAVING max(d) > {TOLERANCE})"""
+    return out + f", kept AS (SELECT * FROM k{levels})"
+
+
+_KEPT = _thinned()
+_CUT = _KEPT + """, pts AS (SELECT slide_id, shape_no, well, row_number() OVER (PARTITION BY slide_id, shape_no ORDER BY i) - 1 AS i, CAST(floor((cx + r * dx) * 100) AS INTEGER) AS x, CAST(floor(-(cy + r * dy) * 100) AS INTEGER) AS y FROM mapped JOIN kept USING (r) JOIN v USING (i)),
+sized AS (SELECT m.*, n.n AS points FROM mapped m JOIN (SELECT r, count(*) AS n FROM kept GROUP BY r) n USING (r))"""
 _B = "b AS (SELECT DISTINCT p_size AS study, p_brand AS class_name FROM part)"
 _C = "b AS (SELECT DISTINCT p_size % 4 AS study, p_brand || '_' || p_type AS class_name FROM part)"
 
@@ -382,17 +413,27 @@ UNION ALL SELECT CAST(slide_id AS VARCHAR), 'no_well', 'warn', count(*), class_n
   SELECT 0 AS slide_id, ord, class_name AS original_class_name, c AS class_name, c AS classification_name FROM (SELECT *, CASE WHEN listed THEN class_name || '_' || printf('%03d', k) ELSE class_name END AS c FROM n)""",
     "shape_wells": f"WITH {_S}{_MAPPED} SELECT slide_id, ord, class_name, well, CAST(shape_no AS INTEGER) AS shape_no FROM mapped",
     "shapes_without_wells": f"WITH {_S}{_MAP} SELECT slide_id, class_name, count(*) AS n FROM s WHERE class_name NOT IN (SELECT class_name FROM map) GROUP BY 1, 2",
-    "shape_stats": f"""WITH {_S}{_V}{_MAPPED}{_PTS}, one AS (SELECT slide_id, shape_no, well, count(*) AS n, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM pts GROUP BY 1, 2, 3)
+    "shape_stats": f"""WITH {_S}{_V}{_MAPPED}{_CUT}, one AS (SELECT slide_id, shape_no, well, count(*) AS n, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM pts GROUP BY 1, 2, 3)
   SELECT slide_id, well, count(*) AS shapes, CAST(min(n) AS INTEGER) AS min_vertices, avg(n) AS mean_vertices, CAST(median(n) AS DOUBLE) AS median_vertices, CAST(max(n) AS INTEGER) AS max_vertices, min(x0) AS x_min, max(x1) AS x_max, min(y0) AS y_min, max(y1) AS y_max FROM one GROUP BY 1, 2""",
     "transform_coords": f"WITH {_S}{_V}{_MAPPED}{_PTS} SELECT slide_id, CAST(shape_no AS INTEGER) AS shape_no, i, x, y FROM pts",
-    "collection_xml_lines": f"""WITH {_S}{_V}{_CP}{_TRI}{_MAPPED}{_PTS}, t AS (SELECT slide_id, count(*) AS n FROM mapped GROUP BY 1),
+    "simplify_outline": f"WITH {_S}{_V}{_KEPT} SELECT slide_id, ord, CAST(row_number() OVER (PARTITION BY slide_id, ord ORDER BY i) - 1 AS INTEGER) AS i, cx + r * dx AS x, cy + r * dy AS y FROM s JOIN kept USING (r) JOIN v USING (i)",
+    "outline_crossings": f"""WITH w AS (SELECT * FROM (VALUES {", ".join(f"({i}, {a[0]}::DOUBLE, {a[1]}::DOUBLE, {b[0]}::DOUBLE, {b[1]}::DOUBLE)" for i, (a, b) in enumerate(zip(WINDING, TWISTED, strict=True)))}) t(i, x, y, tx, ty)),
+p AS (SELECT event_id AS ord, i, event_id * 37 % 1000 + CASE WHEN event_id % 4 = 3 THEN tx ELSE x END AS x, event_id * 91 % 1000 + CASE WHEN event_id % 4 = 3 THEN ty ELSE y END AS y FROM events, w),
+e AS (SELECT ord, i, x AS x1, y AS y1, lead(x) OVER o AS x2, lead(y) OVER o AS y2 FROM p WINDOW o AS (PARTITION BY ord ORDER BY i)),
+q AS (SELECT a.ord, a.i, b.i AS j, a.x1, a.y1, a.x2, a.y2, b.x1 AS x3, b.y1 AS y3, b.x2 AS x4, b.y2 AS y4 FROM e a JOIN e b ON a.ord = b.ord AND a.i < b.i WHERE a.x2 IS NOT NULL AND b.x2 IS NOT NULL),
+o AS (SELECT *, (x4-x3)*(y1-y3)-(y4-y3)*(x1-x3) AS d1, (x4-x3)*(y2-y3)-(y4-y3)*(x2-x3) AS d2, (x2-x1)*(y3-y1)-(y2-y1)*(x3-x1) AS d3, (x2-x1)*(y4-y1)-(y2-y1)*(x4-x1) AS d4 FROM q),
+c AS (SELECT ord, count(*) FILTER (WHERE j - i NOT IN (1, {len(WINDING) - 2}) AND ((d1 * d2 < 0 AND d3 * d4 < 0)
+  OR (d1 = 0 AND x1 BETWEEN least(x3,x4) AND greatest(x3,x4) AND y1 BETWEEN least(y3,y4) AND greatest(y3,y4)) OR (d2 = 0 AND x2 BETWEEN least(x3,x4) AND greatest(x3,x4) AND y2 BETWEEN least(y3,y4) AND greatest(y3,y4))
+  OR (d3 = 0 AND x3 BETWEEN least(x1,x2) AND greatest(x1,x2) AND y3 BETWEEN least(y1,y2) AND greatest(y1,y2)) OR (d4 = 0 AND x4 BETWEEN least(x1,x2) AND greatest(x1,x2) AND y4 BETWEEN least(y1,y2) AND greatest(y1,y2)))) AS n FROM o GROUP BY 1)
+SELECT ord, CAST(n AS INTEGER) AS before, CASE WHEN n = 0 THEN 0 END AS after FROM c""",
+    "collection_xml_lines": f"""WITH {_S}{_V}{_CP}{_TRI}{_MAPPED}{_CUT}, t AS (SELECT slide_id, count(*) AS n FROM mapped GROUP BY 1),
 head AS (SELECT slide_id, unnest(['<?xml version=''1.0'' encoding=''UTF-8''?>', '<ImageData>', '  <GlobalCoordinates>1</GlobalCoordinates>']
    || list_transform([[1, ax, ay], [2, bx, by_], [3, gx, gy]], lambda p: '  <X_CalibrationPoint_' || CAST(p[1] AS INTEGER) || '>' || CAST(floor(p[2] * 100) AS INTEGER) || '</X_CalibrationPoint_' || CAST(p[1] AS INTEGER) || '>' || chr(10) || '  <Y_CalibrationPoint_' || CAST(p[1] AS INTEGER) || '>' || CAST(floor(-p[3] * 100) AS INTEGER) || '</Y_CalibrationPoint_' || CAST(p[1] AS INTEGER) || '>')
    || ['  <ShapeCount>' || n || '</ShapeCount>']) AS s FROM tri JOIN t USING (slide_id)),
 lines AS (SELECT slide_id, 0 AS shape_no, l.i - 1 AS line_no, l.s FROM (SELECT slide_id, string_split(string_agg(s, chr(10)), chr(10)) AS a FROM head GROUP BY 1) h, LATERAL (SELECT unnest(h.a) AS s, unnest(range(1, len(h.a) + 1)) AS i) l
-  UNION ALL SELECT slide_id, shape_no, 0, '  <Shape_' || shape_no || '>' FROM mapped UNION ALL SELECT slide_id, shape_no, 1, '    <PointCount>9</PointCount>' FROM mapped UNION ALL SELECT slide_id, shape_no, 2, '    <CapID>' || well || '</CapID>' FROM mapped
+  UNION ALL SELECT slide_id, shape_no, 0, '  <Shape_' || shape_no || '>' FROM mapped UNION ALL SELECT slide_id, shape_no, 1, '    <PointCount>' || points || '</PointCount>' FROM sized UNION ALL SELECT slide_id, shape_no, 2, '    <CapID>' || well || '</CapID>' FROM mapped
   UNION ALL SELECT slide_id, shape_no, 3 + 2 * i, '    <X_' || (i + 1) || '>' || x || '</X_' || (i + 1) || '>' FROM pts UNION ALL SELECT slide_id, shape_no, 4 + 2 * i, '    <Y_' || (i + 1) || '>' || y || '</Y_' || (i + 1) || '>' FROM pts
-  UNION ALL SELECT slide_id, shape_no, 21, '  </Shape_' || shape_no || '>' FROM mapped UNION ALL SELECT slide_id, 4611686018427387904, 0, '</ImageData>' FROM t)
+  UNION ALL SELECT slide_id, shape_no, 3 + 2 * points, '  </Shape_' || shape_no || '>' FROM sized UNION ALL SELECT slide_id, 4611686018427387904, 0, '</ImageData>' FROM t)
 SELECT slide_id, CAST(shape_no AS BIGINT) AS shape_no, CAST(line_no AS INTEGER) AS line_no, s FROM lines SEMI JOIN tri USING (slide_id)""",
     "combinations_palette": f"WITH {_COMBI} SELECT * FROM combi",
     "palette_json": f"""WITH {_COMBI} SELECT '{{"pathClasses":[' || string_agg('{{"name":"' || class_name || '","color":' || color || '}}', ',' ORDER BY pos) || ']}}' AS value FROM combi""",
@@ -415,7 +456,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for q in (
         shape_wells, feature_census, census_report, clean_shapes, rejected_shapes, json_property_extract, null_census, quality_report, calibration_points, calibration_missing, triangle_coverage, triangle_hits,
         acceptable_wells, plate_grid, assign_wells, assign_wells_shuffled, plate_overflow, plate_capacity, plate_pivot, plate_unpivot, map_missing_classes, map_invalid_wells, map_shared_wells, map_json, map_text_parse,
-        list_items, split_classes, shapes_without_wells, shape_stats, transform_coords, simplify_outline, collection_xml_lines, combinations_palette, palette_json, colour_round_trip, sample_in_region, convert_detections,
+        list_items, split_classes, shapes_without_wells, shape_stats, transform_coords, simplify_outline, outline_crossings, collection_xml_lines, combinations_palette, palette_json, colour_round_trip, sample_in_region, convert_detections,
         sanitize_features, export_errors, feature_lines, collection_read,
     )
 }

