@@ -29,7 +29,8 @@ from .common import by_few, written
 OTHER = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 #: Bytes of text in a shard, postings in a block, queries in a tile, and how many heaps are merged into one.
 SHARD, BLOCK, TILE, FAN = 8 << 20, 128, 512, 16
-INDEX = "shard long, ids array<long>, lens array<int>, terms array<string>, df array<int>, last array<int>, most_tf array<int>, least_len array<int>, cells binary"
+INDEX = "shard long, ids array<long>, lens array<int>, terms array<string>, df array<int>, gap_width binary, tf_width binary, last array<int>, most_tf array<int>, least_len array<int>, gap1 binary, gap2 binary, gap4 binary, tf1 binary, tf2 binary, tf4 binary"
+WIDTHS = (1, 2, 4)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -41,13 +42,16 @@ def terms_of(text: Column) -> Column:
 # The index of a shard.
 
 
-def _narrow(values: np.ndarray) -> np.ndarray:
-    top = int(values.max(initial=0))
-    return values.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32)
+def _narrow(values: np.ndarray, begins: np.ndarray, df: np.ndarray) -> tuple[np.ndarray, dict[int, bytes]]:
+    """Each list's bytes a value, as few as its greatest one needs, and the values of the lists of each width, one list after another."""
+    most = np.maximum.reduceat(values, begins) if len(begins) else begins
+    width = np.where(most < 1 << 8, 1, np.where(most < 1 << 16, 2, 4)).astype(np.uint8)
+    each = np.repeat(width, df)
+    return width, {w: values[each == w].astype(f"<u{w}").tobytes() for w in WIDTHS}
 
 
 def _shard(number: int, ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
-    """One row of INDEX. A list's cell is the width of its gaps and of its counts, then the gaps between its documents' numbers, then the counts."""
+    """One row of INDEX. A list holds the gaps between its documents' numbers, and their counts."""
     pieces = pc.split_pattern_regex(pc.ascii_lower(texts), OTHER)
     parent, flat = pc.list_parent_indices(pieces), pc.list_flatten(pieces)
     there = pc.not_equal(flat, "")
@@ -58,25 +62,24 @@ def _shard(number: int, ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
     place[order] = np.arange(len(ids))
     # Terms by name, so that an index does not depend on the order in which rows came.
     names = flat.dictionary
-    by_name = pc.sort_indices(names).to_numpy()
+    by_name = pc.sort_indices(names)
     rank = np.empty(len(names), np.int64)
-    rank[by_name] = np.arange(len(names))
+    rank[by_name.to_numpy()] = np.arange(len(names))
     keys, tf = np.unique(rank[flat.indices.to_numpy()] * len(ids) + place[parent], return_counts=True)
-    of, doc = np.divmod(keys, max(len(ids), 1))
+    of, docs = np.divmod(keys, max(len(ids), 1))
     df = np.bincount(of, minlength=len(names))
-    lens = lens[order]
-    cells, last, most_tf, least_len, at = [], [], [], [], 0
-    for n in df.tolist():
-        docs, counts = doc[at : at + n], tf[at : at + n]
-        at += n
-        gaps, counts = _narrow(np.diff(docs, prepend=0)), _narrow(counts)
-        cells += [bytes((gaps.itemsize, counts.itemsize)), gaps.tobytes(), counts.tobytes()]
-        begins = np.arange(0, n, BLOCK)
-        last.append(docs[np.minimum(begins + BLOCK, n) - 1])
-        most_tf.append(np.maximum.reduceat(counts, begins))
-        least_len.append(lens[docs[begins]])  # by length, so the first is the shortest
-    joined = lambda parts: pa.array([np.concatenate(parts).astype(np.int32) if parts else np.empty(0, np.int32)], pa.list_(pa.int32()))
-    columns = [pa.array([number]), pa.array([ids.to_numpy()[order]], pa.list_(pa.int64())), joined([lens]), pa.array([pc.take(names, pa.array(by_name)).to_pylist()], pa.list_(pa.string())), joined([df]), joined(last), joined(most_tf), joined(least_len), pa.array([b"".join(cells)], pa.binary())]
+    begins, lens = np.cumsum(df) - df, lens[order]
+    gaps = np.diff(docs, prepend=0)
+    gaps[begins] = docs[begins]
+    blocks = np.flatnonzero((np.arange(len(docs)) - begins[of]) % BLOCK == 0)
+    last = docs[np.append(blocks[1:], len(docs)) - 1] if len(docs) else docs
+    most_tf = np.maximum.reduceat(tf, blocks) if len(docs) else tf
+    least_len = lens[docs[blocks]]  # numbered by length, so the first is the shortest
+    (gap_width, gap), (tf_width, counts) = _narrow(gaps, begins, df), _narrow(tf, begins, df)
+    one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+    ints = lambda values: one(pa.array(values.astype(np.int32)))
+    columns = [pa.array([number]), one(pa.array(ids.to_numpy()[order])), ints(lens), one(pc.take(names, by_name)), ints(df), pa.array([gap_width.tobytes()]), pa.array([tf_width.tobytes()]), ints(last), ints(most_tf), ints(least_len)]
+    columns += [pa.array([x[w]], pa.binary()) for x in (gap, counts) for w in WIDTHS]
     return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in INDEX.split(", ")])
 
 
@@ -147,26 +150,24 @@ class _Lists:
         as_numpy = lambda name: row[name].values.to_numpy()
         self.ids, self.terms, self.df = as_numpy("ids"), row["terms"].values, as_numpy("df").astype(np.int64)
         m = lambda lens: 50 + (50 * lens.astype(np.int64) * documents) // max(length, 1)
-        self.m, self.last, self.cells = m(as_numpy("lens")), as_numpy("last"), row["cells"].as_py()
+        self.m, self.last = m(as_numpy("lens")), as_numpy("last")
         self.bounds = impact(as_numpy("most_tf").astype(np.int64), m(as_numpy("least_len")))
-        blocks = -(-self.df // BLOCK)
-        self.first_block = np.concatenate([[0], np.cumsum(blocks)])
-        # A list's bytes follow from its df and two widths; those are met on the way.
-        self.begins = np.empty(len(self.df), np.int64)
-        at = 0
-        for i, n in enumerate(self.df.tolist()):
-            self.begins[i] = at
-            at += 2 + n * (self.cells[at] + self.cells[at + 1])
+        self.first_block = np.concatenate([[0], np.cumsum(-(-self.df // BLOCK))])
+        self.packed = []
+        for name in ("gap", "tf"):
+            width, begins = np.frombuffer(row[f"{name}_width"].as_py(), np.uint8), np.empty(len(self.df), np.int64)
+            for w in WIDTHS:
+                n = self.df[width == w]
+                begins[width == w] = np.cumsum(n) - n
+            self.packed.append((width, begins, {w: np.frombuffer(row[f"{name}{w}"].as_py(), f"<u{w}") for w in WIDTHS}))
         self.read = 0
 
     def blocks(self, term: int, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Documents' numbers and impacts of some blocks, given in order from 0: only these are unpacked."""
-        n, at, first = int(self.df[term]), int(self.begins[term]), int(self.first_block[term])
-        gap, count = (np.dtype(f"u{self.cells[at + i]}") for i in range(2))
-        gaps = np.frombuffer(self.cells, gap, n, at + 2)
-        counts = np.frombuffer(self.cells, count, n, at + 2 + n * gap.itemsize)
+        n, first = int(self.df[term]), int(self.first_block[term])
+        gaps, counts = (values[width[term]][begins[term] : begins[term] + n] for width, begins, values in self.packed)
         self.read += len(which)
-        if len(which) == len(self.last[first : int(self.first_block[term + 1])]):
+        if len(which) == int(self.first_block[term + 1]) - first:
             docs, tf = np.cumsum(gaps, dtype=np.int64), counts.astype(np.int64)
         else:
             at = which[:, None] * BLOCK + np.arange(BLOCK)
