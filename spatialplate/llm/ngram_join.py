@@ -348,10 +348,19 @@ def cluster(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc
     reps = best.select(F.col("r.id").alias("node"), F.col("r.n").alias("n"), F.col("r.prefix").alias("prefix"))
     links = links_between(docs, reps, boundary(sets, percent), width, percent)
     classes = own.groupBy("signature").agg(F.min("id").alias("node"), F.count("*").alias("members"))
+    repeated = written(sets.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("signature").alias("a"), F.max("signature").alias("b")).where(F.col("a") != F.col("b")).select("id"), "repeated")
+    again = not repeated.isEmpty()
+    if again:  # the sets of one document link the classes that they are in
+        both = written(_joined(_joined(own.select("id", "signature"), repeated, "id"), classes.select("signature", "node"), "signature").select("id", "node"), "both")
+        same = _joined(both, both.groupBy("id").agg(F.min("node").alias("a")), "id").where(F.col("a") != F.col("node")).select("a", F.col("node").alias("b")).distinct()
+        links = same if links is None else links.unionByName(same)
     if links is None:
         named = classes.where(F.col("members") > 1).select("signature", F.col("node").alias("component"))
     else:
         named = _joined(classes, components(links), "node", "left").where((F.col("members") > 1) | F.col("component").isNotNull()).select("signature", F.coalesce("component", "node").alias("component"))
     # A class may hold a third of all rows: its members are dealt out to as many copies of its one row.
-    out = _joined(_spread(sets.select("id", "n", "signature"), "id"), _copied(named), ["signature", "_salt"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    out = _joined(_spread(sets.select("id", "n", "signature"), "id"), _copied(named), ["signature", "_salt"], "left").select("id", "n", F.coalesce("component", "id").alias("component"))
+    if again:  # also a row without words belongs to its document
+        least = _joined(out, repeated, "id").groupBy("id").agg(F.min("component").alias("_least"))
+        out = _joined(_spread(out, "n"), _copied(least), ["id", "_salt"], "left").select("id", "n", F.coalesce("_least", "component").alias("component"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))

@@ -109,3 +109,12 @@ def test_query(spark, sf):
 
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in QUERIES["op7_heavy_light_join"](spark, sf).collect()} == plain(rows)
+
+
+def test_rows_that_repeat_an_id_are_one_document(spark):
+    words = lambda x, n=12: " ".join(f"{x}{i}" for i in range(n))
+    a, b, c, d = (words(x) for x in "abcd")
+    near = words("c", 40)
+    rows = [(10, a), (10, b), (5, a), (7, b), (20, c), (21, c), (22, d), (23, near), (24, near + " more"), (24, d), (30, ""), (30, None), (31, words("e")), (31, ""), (31, words("f")), (9, words("f")), (40, words("g"))]
+    got = sorted((r.doc_id, r.component_id) for r in J.cluster(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([(10, 5), (10, 5), (5, 5), (7, 5), (20, 20), (21, 20), (22, 22), (23, 22), (24, 22), (24, 22), (30, 30), (30, 30), (31, 9), (31, 9), (31, 9), (9, 9), (40, 40)])
