@@ -16,6 +16,8 @@ configurations' places.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -39,12 +41,42 @@ STEPS, RATE, SLACK = 200, 0.05, 0.05
 _kept: dict = {}
 
 
-def _coder(content: bytes) -> Coder:
+class _Marked:
+    """A coder that takes a tokenizer file's added tokens out of the texts first, as its library does."""
+
+    def __init__(self, code: Coder, added: dict[str, int]) -> None:
+        self.code, self.added = code, added
+        self.find = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
+
+    def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
+        cut = {i: self.find.split(t) for i, t in enumerate(texts) if self.find and self.find.search(t)}
+        parts = iter(self.code([p for i, t in enumerate(texts) for p in cut.get(i, [t])]))
+        for i, t in enumerate(texts):
+            ids = next(parts)
+            if i in cut:
+                for mark, more in zip(self.find.findall(t), islice(parts, len(cut[i]) - 1), strict=True):
+                    ids = np.concatenate([ids, np.array([self.added[mark]], ids.dtype), more])
+            yield ids
+
+
+def checked(file: dict) -> dict[str, int]:
+    """The added tokens of a tokenizer file's content; a file that words are not cut and mapped by as here is refused."""
+    before = file.get("pre_tokenizer") or {}
+    if file.get("normalizer") or file["model"]["type"] != "BPE" or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        raise ValueError("only byte-level BPE files without a normalizer, a space put in front or a pattern of their own are read here")
+    added = file.get("added_tokens") or []
+    if any(t.get(k) for t in added for k in ("lstrip", "rstrip", "single_word")):
+        raise ValueError("added tokens that take blanks or stand alone are not read here")
+    return {t["content"]: t["id"] for t in added}
+
+
+def _coder(content: bytes) -> _Marked:
     """Encodes new words by the library's own model."""
     key = zlib.crc32(content), len(content)
     if key not in _kept:
         from tokenizers import Tokenizer
 
+        added = checked(json.loads(content))
         model = Tokenizer.from_str(content.decode()).model
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the bytes that the byte-level alphabet shows as they are
         table = {b: b for b in plain} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - {*plain}))}
@@ -53,14 +85,15 @@ def _coder(content: bytes) -> Coder:
             ids = [[t.id for t in model.tokenize(w.encode().decode("latin-1").translate(table))] for w in words]
             return np.array([i for x in ids for i in x], np.int32), np.array([len(x) for x in ids], np.int64)
 
-        _kept[key] = Coder(encode)
+        _kept[key] = _Marked(Coder(encode), added)
     return _kept[key]
 
 
 def pieces(df: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """The pieces of each document: (id, piece, start, length, ids_crc32), with `ids` if keep_ids.
 
-    A document is its text's ids by the tokenizer file at `path`, then end_id;
+    A document is its text's ids by the tokenizer file at `path`, then end_id,
+    with the file's added tokens wherever their text stands, as its library has it;
     one longer than `capacity` is cut into pieces of that length, of which the
     first may be shorter. A null text counts as empty and is one piece of one
     id. Repeated rows and null ids give pieces like any other row.

@@ -1,3 +1,4 @@
+import json
 import zlib
 
 import numpy as np
@@ -13,7 +14,6 @@ from spatialplate.llm import packing  # noqa: E402
 
 PATH = P.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
-LIBRARY.encode_special_tokens = True
 
 
 def ids_of(text):
@@ -53,7 +53,7 @@ def test_query_packs_close_to_the_bound(spark, sf):
 
 
 def test_odd_rows(spark):
-    texts = {1: None, 2: "", 3: "a b c", 4: "word " * 2047, 5: "word " * 2048, 6: "word " * 9000, 7: "x" * 3000, 8: "<|endoftext|> here"}
+    texts = {1: None, 2: "", 3: "a b c", 4: "word " * 2047, 5: "word " * 2048, 6: "word " * 9000, 7: "x" * 3000, 8: "<|endoftext|> here", 9: "a<|endoftext|><|endoftext|> b <|endoftext", 10: "<|endoftext|>"}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").selectExpr("*", "1 AS length", "2 AS sequence_id")
     check(packing.pack_documents(df, PATH).collect(), texts)
     twice = packing.pack_documents(df.where("doc_id = 3").unionByName(df.where("doc_id = 3")), PATH).collect()
@@ -163,3 +163,11 @@ def test_never_worse_than_plain_best_fit():
         histogram = {int(length): int(n) for length, n in zip(rng.integers(1, 65, 6), rng.integers(1, 500, 6), strict=True)}
         plain = packing.best_fit(np.array([histogram.get(i, 0) for i in range(1, 65)]))
         assert sum(t for t, _ in packing.configurations(histogram, 64)) <= sum(t for t, _ in plain)
+
+
+def test_files_of_another_kind_are_refused():
+    file = json.loads(open(PATH).read())
+    assert packing.checked(file)["<|endoftext|>"] == LIBRARY.token_to_id("<|endoftext|>")
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"added_tokens": [{"content": "x", "id": 1, "lstrip": True}]}):
+        with pytest.raises(ValueError):
+            packing.checked(file | change)
