@@ -28,11 +28,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: A run of 16 or more is the same as a run that is at least 16 long.
 HEX = re.compile(r"[0-9a-f]{16,}")
 #: Wider contexts whose values are judged by their cost; they begin a word, or a part of one as in dbPassword.
-CONTEXT = re.compile(
+HEAD = (
     r"""(?:(?<![A-Za-z])|(?-i:(?<=[a-z])(?=[A-Z])))(?:pwd|pass|pass_?phrase|pass_?code|password|passwd|secret|token|api_?key|auth|credentials?|(?:access|private|client|secret)_?(?:key|secret))"""
-    r"""["']?(?:\x20*[:=]\x20*|\x20is\x20)["']?([^\s"'<>,;]{6,})""",
-    re.I | re.A,
+    r"""["']?(?:\x20*[:=]\x20*|\x20is\x20)["']?"""
 )
+CONTEXT, END = re.compile(HEAD, re.I | re.A), re.compile(r"""[\s"'<>,;]""", re.A)
 #: Values that cost at least this power of ten are taken for secrets.
 COST = 9.0
 
@@ -47,8 +47,8 @@ white orange purple silver gold apple banana cherry coffee chocolate cookie pepp
 the and for you your this that with from have here there please enter value none null true false unknown
 """.split()
 RANK = {w: i + 1 for i, w in enumerate(WORDS)}
-#: Of the corpus's words so many are ranked, from so many mentions on, of so many letters: what is broadcast is bounded by these.
-RANKED, MENTIONS, LETTERS = 30_000, 3, (3, 24)
+#: Of the corpus's words so many are ranked, from so many documents on, of so many letters: what is broadcast is bounded by these.
+RANKED, DOCUMENTS, LETTERS = 30_000, 3, (3, 24)
 #: Costs are remembered of values up to this length.
 SHORT = 64
 LEET = str.maketrans("013457@$!", "oleastasi")
@@ -141,23 +141,31 @@ def find(text: str, words: Dictionary = USUAL) -> list[tuple[int, int, int, floa
     spans += [(m.start(), 2, m.end(), 0.0) for m in HEX.finditer(text)]
     held = sorted((a, b) for a, _, b, _ in spans)
     ends = list(accumulate((b for _, b in held), max))  # how far those up to here reach
-    at = 0
+    at = stop = 0
     while m := CONTEXT.search(text, at):
-        value = m[1].rstrip(".!?)]}")
-        start, end = m.start(1), m.start(1) + len(value)
+        start = m.end()
+        if start >= stop:  # values inside one run of characters all end where it does
+            stop = d.start() if (d := END.search(text, start)) else len(text)
+        value = text[start:stop].rstrip(".!?)]}")
+        end = start + len(value)
         before = bisect.bisect_left(held, (end, 0))
+        # A run that is cheap as a whole holds few contexts, for each costs guesses: the program runs a few times over it at most.
         if len(value) >= 6 and (before == 0 or ends[before - 1] <= start) and (cost := words.cost(value)) >= COST:
             spans.append((start, 3, end, cost))
-            at = m.end()
-        else:  # a short value may be another context's name
-            at = m.start(1) if len(m[1]) <= SHORT else m.end()
+            at = stop
+        else:  # the value may be another context's name, or hold one
+            at = max(start, at + 1)
     return sorted(spans)
 
 
 def ranked(df: DataFrame, text_col: str = "text") -> list[str]:
-    """The corpus's RANKED commonest words of LETTERS letters with MENTIONS mentions at least, ties by name: all that reaches the driver."""
-    word = F.explode(F.regexp_extract_all(F.lower(text_col), F.lit(rf"(?<!\p{{L}})\p{{L}}{{{LETTERS[0]},{LETTERS[1]}}}(?!\p{{L}})"), F.lit(0)))
-    counts = df.select(word.alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= MENTIONS)
+    """The RANKED words of LETTERS letters that most texts hold outside the values of credential contexts, DOCUMENTS texts at least, ties by name: all that reaches the driver.
+
+    A value that leaks again and again does not become a word by that.
+    """
+    plain = F.regexp_replace(F.lower(F.regexp_replace(F.col(text_col), rf"(?i){HEAD}[^\s\"'<>,;]*", " ")), r"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[a-z0-9+/_.=-]+", " ")
+    words = F.array_distinct(F.regexp_extract_all(plain, F.lit(rf"(?<!\p{{L}})\p{{L}}{{{LETTERS[0]},{LETTERS[1]}}}(?!\p{{L}})"), F.lit(0)))
+    counts = df.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= DOCUMENTS)
     return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(RANKED).collect()]
 
 

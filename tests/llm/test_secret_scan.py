@@ -1,6 +1,8 @@
 import itertools
 import math
+import re
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -94,7 +96,7 @@ def test_query(spark, sf):
 
 
 def test_the_corpus_ranks_words(spark):
-    prose = ["it is required here that forgotten things stay", "das kennwort ist required, forgotten oder kennwort", "required forgotten kennwort"]
+    prose = ["it is required here that forgotten things stay (kennwort)", "das kennwort ist required, forgotten oder kennwort", "required forgotten kennwort"]
     rows = [(i, t) for i, t in enumerate(prose)] + [(7, "password is required here, secret: forgotten, pass: kennwort"), (8, "dbPassword=Xk9$mQ2!vL7z and credentials: password: Xk9$mQ2!vL"), (9, 'bypass: qW8$kZ2!pL; {"userPassword": "Zr4$nT8!wK"}')]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert S.ranked(df)[:3] == ["forgotten", "kennwort", "required"]
@@ -122,3 +124,36 @@ def test_spans_of_the_method_against_a_list(spark, sf):
         want[i] = spans
     got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in S.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("copies", [1, 3, 100])
+def test_a_value_that_leaks_often_stays_a_secret(spark, copies):
+    rows = [(i, f"note {i}: pwd: kqzxvbnwpr, and password is kqzxvbnwpr") for i in range(copies)] + [(1_000 + i, "password is required here") for i in range(copies)]
+    rows += [(2_000 + i, "patience is required") for i in range(3)]
+    got = S.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(len([s for s in r.spans if s.kind == "guess"]) for r in got) == 2 * copies
+    assert all(not r.spans for r in got if r.doc_id >= 1_000) and "kqzxvbnwpr" not in S.ranked(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+@pytest.mark.parametrize("z", [10, 70, 5_000])
+def test_contexts_inside_values_of_any_length(z):
+    text = f"auth: {'z' * z}&token=abcdefghijklm&pwd=Xk9$mQ2!vL7p end"
+    assert [(S.KINDS[k], text[a:b]) for a, k, b, _ in S.find(text)] == [("assign", "token=abcdefghijklm"), ("guess", "Xk9$mQ2!vL7p")]
+
+
+def test_many_contexts_in_one_run_end_in_time():
+    assert S.find("token=abcdefghijklmnop&" * 20_000 + "end")[0][1] == 0
+    assert len(S.find("pwd=" * 100_000)) == 1 and S.find("pwd=a, " * 50_000) == []
+
+
+def rule_spans(text):
+    """Base spans by patterns written out here."""
+    found = [(m.start(), 0, m.end()) for m in re.finditer(r"(?i:password|passwd|secret|token|api_?key)[\"']? *[:=] *[\"']?([A-Za-z0-9+/_.=\-]+)", text) if len(m[1]) >= 12]
+    found += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if m.end() - m.start() >= 18]
+    found += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if m.end() - m.start() >= 16]
+    return sorted(found)
+
+
+def test_base_spans_by_patterns_of_the_test(spark, sf):
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        assert [x[:3] for x in S.find(r.text or "") if x[1] != 3] == rule_spans(r.text or "")
