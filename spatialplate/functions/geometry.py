@@ -5,6 +5,8 @@ Only simplification runs Python, on Arrow batches.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -102,25 +104,33 @@ def closed_triangle(points: Column) -> Column:
     return F.concat(points, F.slice(points, 1, 1))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once however often it comes up."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def centroid(rings_: Column) -> Column:
     """Shoelace centroid of the exterior; the mean of its points where it has no area."""
-    ring = exterior(rings_)
     start = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
 
     def add(s: Column, e: Column) -> Column:
         w = e.a.x * e.b.y - e.b.x * e.a.y
         return F.struct((s.w + w).alias("w"), (s.x + (e.a.x + e.b.x) * w).alias("x"), (s.y + (e.a.y + e.b.y) * w).alias("y"))
 
-    s = F.aggregate(edges(F.array(ring)), start, add)
-    mean = lambda c: F.aggregate(ring, F.lit(0.0), lambda t, p: t + p[c]) / F.size(ring)
-    return F.when(s.w != 0, F.struct((s.x / (s.w * 3)).alias("x"), (s.y / (s.w * 3)).alias("y"))).otherwise(F.struct(mean("x").alias("x"), mean("y").alias("y")))
+    def of(ring: Column) -> Column:
+        mean = lambda c: F.aggregate(ring, F.lit(0.0), lambda t, p: t + p[c]) / F.size(ring)
+        return once(F.aggregate(edges(F.array(ring)), start, add), lambda s: F.when(s.w != 0, F.struct((s.x / (s.w * 3)).alias("x"), (s.y / (s.w * 3)).alias("y"))).otherwise(F.struct(mean("x").alias("x"), mean("y").alias("y"))))
+
+    return once(exterior(rings_), of)
 
 
 def box(rings_: Column) -> Column:
     """Least and greatest x and y."""
-    flat = F.flatten(rings_)
-    xs, ys = F.transform(flat, lambda p: p.x), F.transform(flat, lambda p: p.y)
-    return F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
+
+    def of(flat: Column) -> Column:
+        return once(F.struct(F.transform(flat, lambda p: p.x).alias("x"), F.transform(flat, lambda p: p.y).alias("y")), lambda v: F.struct(F.array_min(v.x).alias("x0"), F.array_min(v.y).alias("y0"), F.array_max(v.x).alias("x1"), F.array_max(v.y).alias("y1")))
+
+    return once(F.flatten(rings_), of)
 
 
 #: Axes of the instrument against those of the image.

@@ -7,39 +7,105 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..staging import settled
 
+#: Pixels of a finest cell, the levels of cells (each has sides of 2^level finest ones), and what a cell may hold before it is split.
+CELL, LEVELS, LOAD = 32.0, (0, 2, 4, 6, 8, 10, 12), 128
+STEP, TOP = LEVELS[1], LEVELS[-1]
 
-def _cells(low: Column, high: Column, size: Column) -> Column:
-    return F.sequence(F.floor(low / size), F.floor(high / size))
 
+def _fine(v: Column | str) -> Column:
+    return F.floor(F.col(v) / CELL if isinstance(v, str) else v / CELL)
 
-def inside(detections: DataFrame, annotations: DataFrame, cell: float = 32.0) -> DataFrame:
+
+def _above(c: str, levels: str) -> Column:
+    """A cell's place among cells so many levels up."""
+    return F.expr(f"shiftright({c}, {levels})")
+
+
+def leaves(points: DataFrame, load: int = LOAD) -> DataFrame:
+    """(slide_id, cx, cy, leaf): for each finest cell that holds some of points(slide_id, cx, cy), the level of the cell that it belongs to.
+
+    Cells are split while they hold more than `load` points, so that a crowded
+    place has small cells and an empty one large ones. Points are counted by
+    finest cell first; only these counts go up through the levels.
+    """
+    counts = settled(points.groupBy("slide_id", "cx", "cy").agg(F.count("*").alias("n")), "counts")
+    ladder = counts.withColumn("level", F.explode(F.array(*map(F.lit, LEVELS[1:])))).withColumns({"px": _above("cx", "level"), "py": _above("cy", "level")})
+    crowded = ladder.groupBy("slide_id", "level", "px", "py").agg(F.sum("n").alias("held")).where(F.col("held") > load).drop("held")
+    lowest = ladder.join(crowded, ["slide_id", "level", "px", "py"], "left_semi").groupBy("slide_id", "cx", "cy").agg(F.min("level").alias("low"))
+    return counts.join(lowest, ["slide_id", "cx", "cy"], "left").select("slide_id", "cx", "cy", F.coalesce(F.col("low") - STEP, F.lit(TOP)).alias("leaf"))
+
+
+def _pieces(areas: DataFrame, cells: DataFrame) -> DataFrame:
+    """(slide_id, leaf, lx, ly, annotation_id, whole, edges, box): annotations by the leaves that they cover in part or whole.
+
+    An annotation is laid on the cells of its own size and on larger ones, four
+    a level at most up to the top; a leaf on itself and all above. The two meet
+    on the annotation's own level where the leaf is smaller, else on the leaf's.
+    A leaf that no side reaches lies inside or outside as its centre does; of
+    the others go the sides that a ray to the right from the leaf may meet.
+    """
+    size = lambda level: F.pow(F.lit(2.0), level) * F.lit(CELL)
+    span = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(CELL))
+    own = F.least(F.ceil(F.log2(span / CELL) / STEP).cast("int") * STEP, F.lit(TOP)).alias("own")
+    graded = areas.select("slide_id", "annotation_id", "x0", "y0", "x1", "y1", own).withColumn("level", F.explode(F.filter(F.array(*map(F.lit, LEVELS)), lambda v: v >= F.col("own"))))
+    cells_of = lambda low, high: F.sequence(F.floor(F.col(low) / size(F.col("level"))), F.floor(F.col(high) / size(F.col("level"))))
+    laid = graded.withColumn("px", F.explode(cells_of("x0", "x1"))).withColumn("py", F.explode(cells_of("y0", "y1")))
+    found = cells.select("slide_id", "leaf", _above("cx", "leaf").alias("lx"), _above("cy", "leaf").alias("ly")).distinct()
+    raised = found.withColumn("level", F.explode(F.filter(F.array(*map(F.lit, LEVELS)), lambda v: v >= F.col("leaf"))))
+    raised = raised.withColumns({"px": _above("lx", "level - leaf"), "py": _above("ly", "level - leaf")})
+    at_own = laid.where(F.col("level") == F.col("own")).join(raised, ["slide_id", "level", "px", "py"])
+    above = laid.where(F.col("level") > F.col("own")).join(found.select("slide_id", "leaf", "lx", "ly", F.col("leaf").alias("level"), F.col("lx").alias("px"), F.col("ly").alias("py")), ["slide_id", "level", "px", "py"])
+    met = at_own.unionByName(above)
+    side = size(F.col("leaf"))
+    corner = {"bx0": F.col("lx") * side, "by0": F.col("ly") * side, "bx1": (F.col("lx") + 1) * side, "by1": (F.col("ly") + 1) * side}
+    near = met.withColumns(corner).where((F.col("bx1") >= F.col("x0")) & (F.col("bx0") <= F.col("x1")) & (F.col("by1") >= F.col("y0")) & (F.col("by0") <= F.col("y1")))
+    near = near.select("slide_id", "leaf", "lx", "ly", "annotation_id", *corner)
+    # A large annotation has many leaves, each of which takes some of its sides.
+    shaped = near.join(areas.select("slide_id", "annotation_id", "edges", "x0", "y0", "x1", "y1"), ["slide_id", "annotation_id"])
+    ray = F.filter("edges", lambda e: (F.greatest(e.a.y, e.b.y) >= F.col("by0")) & (F.least(e.a.y, e.b.y) <= F.col("by1")) & (F.greatest(e.a.x, e.b.x) >= F.col("bx0")))
+    judged = shaped.select("slide_id", "leaf", "lx", "ly", "annotation_id", *corner, "x0", "y0", "x1", "y1", F.inline(F.transform(F.array(ray), lambda r: F.struct(r.alias("edges"), (~F.exists(r, lambda e: F.least(e.a.x, e.b.x) <= F.col("bx1"))).alias("whole")))))
+    centre = F.struct(((F.col("bx0") + F.col("bx1")) / 2).alias("x"), ((F.col("by0") + F.col("by1")) / 2).alias("y"))
+    kept = judged.where(~F.col("whole") | G.within(centre, F.col("edges")))
+    return kept.select("slide_id", "leaf", "lx", "ly", "annotation_id", "whole", F.when(~F.col("whole"), F.col("edges")).alias("edges"), "x0", "y0", "x1", "y1")
+
+
+def inside(detections: DataFrame, annotations: DataFrame, load: int = LOAD) -> DataFrame:
     """(slide_id, annotation_id, id): detections whose centroid lies in an annotation.
 
-    Annotations are laid on grids of `cell` pixels and its doubles, each on the
-    one whose cells are as large as it, so that it takes four cells at most;
-    detections meet those of their centroid's cell on each grid there is, by an
-    equi-join.
+    Both are dealt out by the leaves of a quadtree a slide, split by what they
+    hold, so that a place with all of a slide's detections, or an annotation of
+    the slide's size, is many keys of like weight. In a leaf that lies inside an
+    annotation no point is tested. Rows without a slide, an id or points take no
+    part; an annotation's id is its own within its slide.
     """
-    size = lambda level: F.pow(F.lit(2.0), level) * F.lit(cell)
-    box, level = F.col("_box"), F.col("_level")
-    span = F.greatest(box.x1 - box.x0, box.y1 - box.y0, F.lit(cell))
-    boxed = annotations.select("slide_id", F.col("id").alias("annotation_id"), G.edges(F.col("rings")).alias("_edges"), G.box(F.col("rings")).alias("_box"))
-    graded = boxed.withColumn("_level", F.ceil(F.log2(span / cell)).cast("int"))
-    laid = graded.withColumn("_cx", F.explode(_cells(box.x0, box.x1, size(level)))).withColumn("_cy", F.explode(_cells(box.y0, box.y1, size(level))))
-    # One row: a slide has as many grids as its largest annotation has doublings.
-    levels = annotations.select(G.box(F.col("rings")).alias("_box")).select(F.ceil(F.log2(span / cell)).cast("int").alias("_level")).agg(F.collect_set("_level").alias("_levels"))
-    spots = detections.select("slide_id", "id", G.centroid(F.col("rings")).alias("_p")).crossJoin(F.broadcast(levels)).withColumn("_level", F.explode("_levels"))
-    p = F.col("_p")
-    spots = spots.select("slide_id", "id", "_p", "_level", F.floor(p.x / size(level)).alias("_cx"), F.floor(p.y / size(level)).alias("_cy"))
-    near = spots.join(laid, ["slide_id", "_level", "_cx", "_cy"]).where((p.x >= box.x0) & (p.x <= box.x1) & (p.y >= box.y0) & (p.y <= box.y1))
-    return near.where(G.within(p, F.col("_edges"))).select("slide_id", "annotation_id", "id")
+    # Rows come out of generators, so that geometry is worked out once a row and filters come after it.
+    point = lambda p: F.struct(p.x.alias("x"), p.y.alias("y"), _fine(p.x).alias("cx"), _fine(p.y).alias("cy"))
+    spots = detections.where(F.col("slide_id").isNotNull() & F.col("id").isNotNull()).select("slide_id", "id", F.inline(F.transform(F.array(G.centroid(F.col("rings"))), point)))
+    spots = settled(spots.where(F.col("x").isNotNull() & F.col("y").isNotNull()), "spots")
+    whole = lambda b: F.struct(G.edges(F.col("rings")).alias("edges"), b.x0.alias("x0"), b.y0.alias("y0"), b.x1.alias("x1"), b.y1.alias("y1"))
+    areas = annotations.where(F.col("slide_id").isNotNull() & F.col("id").isNotNull()).select("slide_id", F.col("id").alias("annotation_id"), F.inline(F.transform(F.array(G.box(F.col("rings"))), whole)))
+    areas = settled(areas.where(F.col("x0").isNotNull()), "areas")
+    centres = areas.select("slide_id", _fine((F.col("x0") + F.col("x1")) / 2).alias("cx"), _fine((F.col("y0") + F.col("y1")) / 2).alias("cy"))
+    cells = settled(leaves(spots.select("slide_id", "cx", "cy").unionByName(centres), load), "leaves")
+    placed = spots.join(cells, ["slide_id", "cx", "cy"]).select("slide_id", "leaf", _above("cx", "leaf").alias("lx"), _above("cy", "leaf").alias("ly"), "id", "x", "y")
+    near = placed.join(_pieces(areas, cells), ["slide_id", "leaf", "lx", "ly"])
+    boxed = (F.col("x") >= F.col("x0")) & (F.col("x") <= F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") <= F.col("y1"))
+    return near.where(F.col("whole") | (boxed & G.within(F.struct("x", "y"), F.col("edges")))).select("slide_id", "annotation_id", "id")
 
 
 def sampled(found: DataFrame, n: int, seed: int) -> DataFrame:
-    """found with `selected`: n of each annotation's detections, or all if it has fewer, by the seed's order."""
-    order = W.partitionBy("slide_id", "annotation_id").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), "id")
-    return found.withColumn("selected", F.row_number().over(order) <= n)
+    """found with `selected`: n of each annotation's detections, or all if it has fewer, by the seed's order.
+
+    Each task picks its own n first, so that no more than these of an annotation
+    come together; the last of all that are picked is the bound for the rest.
+    """
+    mixed = settled(found.withColumn("_mix", F.struct(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))).alias("h"), "id")), "found")
+    keys = ["slide_id", "annotation_id"]
+    least = mixed.select(*keys, "_mix").withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy("_mix"))).where(F.col("_n") <= n)
+    bound = least.groupBy(*keys).agg(F.max("_mix").alias("_bound"))
+    return mixed.join(bound, keys, "left").select(*found.columns, F.coalesce(F.col("_mix") <= F.col("_bound"), F.lit(False)).alias("selected"))
 
 
 def converted(features: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Files in and out, and the rules for odd input."""
 
 import json
+import math
 
 import pytest
 from hypothesis import given, settings
@@ -8,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from spatialplate import sinks, sources
+from spatialplate.functions import geometry as G
 from spatialplate.operators import calibrate, classes, clean, collection, plate, sample, validate
 from spatialplate.plans import jobs
 
@@ -244,3 +246,52 @@ def test_sampling_on_grids_of_several_sizes(spark):
     got = {(r.annotation_id, r.id) for r in sample.inside(table(spots), table(regions)).collect()}
     assert got == {(a, d) for a, ax, ay, r in regions for d, x, y, _ in spots if abs(x - ax) < r and abs(y - ay) < r}
     assert sample.inside(table(spots), table(regions).where("false")).count() == 0
+
+
+def circle(x, y, r, n=8):
+    points = [(x + r * math.cos(2 * math.pi * i / n), y + r * math.sin(2 * math.pi * i / n)) for i in range(n)]
+    return [[{"x": a, "y": b} for a, b in (*points, points[0])]]
+
+
+def test_a_region_of_the_slides_size_is_many_keys(spark):
+    """All points of a slide in one corner, under an annotation of the slide's size with a hole and a small one."""
+    from spatialplate.operators.sample import LEVELS, _fine, _pieces, leaves
+
+    frame = [[{"x": float(x), "y": float(y)} for x, y in ring] for ring in ([(-10, -10), (90_000, -10), (90_000, 70_000), (-10, 70_000), (-10, -10)], [(200, 200), (300, 200), (300, 300), (200, 300), (200, 200)])]
+    schema = "slide_id string, id string, rings array<array<struct<x:double,y:double>>>"
+    regions = spark.createDataFrame([("s", "all", frame), ("s", "small", circle(500.0, 500.0, 40.0)), ("t", "far", circle(5e5, -4e5, 3e5)), (None, "x", frame), ("s", "none", None)], schema)
+    spots = spark.range(30_000).selectExpr("'s' AS slide_id", "concat('d', id) AS id", "(id * 37 % 997) * 1.0 AS x", "(id * 91 % 991) * 1.0 AS y").unionByName(spark.range(50).selectExpr("'t'", "concat('e', id)", "id * 20000.0", "-id * 15000.0").toDF("slide_id", "id", "x", "y"))
+    cells = spots.selectExpr("slide_id", "id", "array(array(struct(x - 1 AS x, y - 1 AS y), struct(x + 1 AS x, y - 1 AS y), struct(x AS x, y + 2 AS y), struct(x - 1 AS x, y - 1 AS y))) AS rings")
+    got = {(r.slide_id, r.annotation_id, r.id) for r in sample.inside(cells, regions).collect()}
+    near = lambda r, cx, cy, radius: math.dist((r.x, r.y), (cx, cy)) < radius * math.cos(math.pi / 8)
+    rows = spots.collect()
+    border = {r.id for r in rows if r.x in (200.0, 300.0) or r.y in (200.0, 300.0)}
+    assert {g[2] for g in got if g[1] == "all"} - border == {r.id for r in rows if r.slide_id == "s" and not (200 < r.x < 300 and 200 < r.y < 300)} - border
+    assert {r.id for r in rows if r.slide_id == "s" and near(r, 500, 500, 40)} <= {g[2] for g in got if g[1] == "small"} <= {r.id for r in rows if near(r, 500, 500, 44)}
+    assert {r.id for r in rows if r.slide_id == "t" and near(r, 5e5, -4e5, 3e5)} <= {g[2] for g in got if g[1] == "far"}
+    # Each leaf holds its share at most, and most of the large region needs no test of points.
+    points = spots.select("slide_id", _fine("x").alias("cx"), _fine("y").alias("cy"))
+    dealt = leaves(points, 128).cache()
+    per_leaf = points.join(dealt, ["slide_id", "cx", "cy"]).groupBy("slide_id", "leaf", F.expr("shiftright(cx, leaf)"), F.expr("shiftright(cy, leaf)")).count()
+    assert per_leaf.where("leaf > 0").agg(F.max("count")).first()[0] <= 128 and per_leaf.where("slide_id = 's'").count() > 200
+    assert {r.leaf for r in dealt.select("leaf").distinct().collect()} <= set(LEVELS)
+    areas = regions.where("id = 'all' AND slide_id = 's'").select("slide_id", F.col("id").alias("annotation_id"), G.edges(F.col("rings")).alias("edges"), *[F.lit(v).alias(c) for c, v in (("x0", -10.0), ("y0", -10.0), ("x1", 90_000.0), ("y1", 70_000.0))])
+    pieces = _pieces(areas, dealt)
+    assert pieces.where("whole").count() > 0.8 * pieces.count()
+
+
+def test_samples_are_the_least_by_the_seed(spark):
+    import hashlib
+
+    rows = [("s", a, i) for a in ("a", "b") for i in range(200 if a == "a" else 3)] + [("t", "a", 7)]
+    found = spark.createDataFrame(rows, "slide_id string, annotation_id string, id long")
+    for n in (0, 1, 5, 500):
+        got = sample.sampled(found, n, 9)
+        assert got.columns == ["slide_id", "annotation_id", "id", "selected"]
+        want = set()
+        for key in {r[:2] for r in rows}:
+            mine = sorted((hashlib.md5(f"9:{i}".encode()).hexdigest(), i) for s, a, i in rows if (s, a) == key)
+            want |= {(*key, i) for _, i in mine[:n]}
+        assert {(r.slide_id, r.annotation_id, r.id) for r in got.where("selected").collect()} == want and got.count() == len(rows)
+    plan = sample.sampled(found, 2, 9)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and plan.index("Final") < plan.index("Partial")
