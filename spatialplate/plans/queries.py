@@ -6,6 +6,7 @@ of plate queries come from `part`, a layout for each p_size.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from ..functions import geometry as G
 from ..functions import names as N
 from ..operators import calibrate, classes, clean, collection, plate, sample, validate
 from ..schemas import FEATURE_LINE
+from ..staging import folder
 
 CORNERS = ((1.0, 0.5), (0.5, 1.0), (-0.5, 1.0), (-1.0, 0.5), (-1.0, -0.5), (-0.5, -1.0), (0.5, -1.0), (1.0, -0.5), (1.0, 0.5))
 #: A closed outline that plain thinning at a tolerance of 2 makes cross itself. Every fourth event has it with two points exchanged, so that it crosses itself from the start.
@@ -300,6 +302,15 @@ def collection_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("slide_id", "ord", "id", "object_type", "class_name", "i", "p.x", "p.y")
 
 
+def collection_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collections written slide by slide, and read again by splits."""
+    path = f"{folder(spark)}/collections-{uuid.uuid4().hex}"
+    sinks.write_features(_shapes(spark, sf_dir).where(F.col("type") == "Polygon"), path, collection=True)
+    found = clean.shapes(sources.read_large_features(spark, path))
+    rank = F.col("ord").cast("long").alias("place")
+    return found.select(F.col("slide_id").cast("long").alias("slide_id"), rank, F.col("id").cast("long").alias("id"), "object_type", "class_name", F.posexplode(G.exterior(F.col("rings"))).alias("i", "p")).select("slide_id", "place", "id", "object_type", "class_name", "i", "p.x", "p.y")
+
+
 # SQL
 
 _F = """f AS (SELECT user_id % 8 AS slide_id, event_id AS ord, event_id AS id, CASE event_id % 10 WHEN 0 THEN 'Point' WHEN 1 THEN 'LineString' WHEN 2 THEN 'MultiPolygon' ELSE 'Polygon' END AS type,
@@ -447,6 +458,8 @@ SELECT slide_id, annotation_id, id, row_number() OVER (PARTITION BY slide_id, an
     "sanitize_features": f"""WITH {_S} SELECT slide_id, ord, id, object_type AS "objectType", class_name, type FROM s""",
     "export_errors": f"""WITH {_F} SELECT slide_id, 'classification' AS "column", count(*) AS n FROM f WHERE class_name IS NULL GROUP BY 1""",
     "collection_read": f"WITH {_S}{_V} SELECT slide_id, ord, CAST(id AS VARCHAR) AS id, object_type, class_name, i, cx + r * dx AS x, cy + r * dy AS y FROM s, v WHERE type = 'Polygon'",
+    "collection_files": f"""WITH {_S}{_V}, c AS (SELECT *, row_number() OVER (PARTITION BY slide_id ORDER BY ord) - 1 AS place FROM s WHERE type = 'Polygon')
+  SELECT slide_id, place, id, object_type, class_name, i, cx + r * dx AS x, cy + r * dy AS y FROM c, v""",
     "feature_lines": f"""WITH {_S}{_V} SELECT slide_id, ord, '{{"type":"Feature","id":' || id || ',"geometry":{{"type":"' || type || '","coordinates":[[' || string_agg('[' || (cx + r * dx) || ',' || (cy + r * dy) || ']', ',' ORDER BY i) || ']]}},"properties":{{"objectType":"' || object_type || '","classification":{{"name":"' || class_name || '","color":[3,128,17]}}}}}}' AS value
   FROM s, v GROUP BY slide_id, ord, id, type, object_type, class_name""",
 }
@@ -457,6 +470,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         shape_wells, feature_census, census_report, clean_shapes, rejected_shapes, json_property_extract, null_census, quality_report, calibration_points, calibration_missing, triangle_coverage, triangle_hits,
         acceptable_wells, plate_grid, assign_wells, assign_wells_shuffled, plate_overflow, plate_capacity, plate_pivot, plate_unpivot, map_missing_classes, map_invalid_wells, map_shared_wells, map_json, map_text_parse,
         list_items, split_classes, shapes_without_wells, shape_stats, transform_coords, simplify_outline, outline_crossings, collection_xml_lines, combinations_palette, palette_json, colour_round_trip, sample_in_region, convert_detections,
-        sanitize_features, export_errors, feature_lines, collection_read,
+        sanitize_features, export_errors, feature_lines, collection_read, collection_files,
     )
 }

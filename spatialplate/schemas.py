@@ -2,6 +2,7 @@
 
 XY = "struct<x:double,y:double>"
 CLASSIFICATION = "name string, color array<int>"
+FEATURE = "type string, id string, geometry struct<type:string,coordinates:string>, properties struct<objectType:string,name:string,classification:string>"
 COLLECTION = "type string, features array<struct<type:string,id:string,geometry:struct<type:string,coordinates:string>,properties:struct<objectType:string,name:string,classification:string>>>"
 #: One feature a line, with its place in the slide.
 FEATURE_LINE = "slide_id string, ord long, type string, id string, geometry struct<type:string,coordinates:string>, properties struct<objectType:string,name:string,classification:string>"

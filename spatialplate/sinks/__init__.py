@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,9 +14,36 @@ from ..operators.plate import pivoted
 from ..schemas import EXPORTED
 
 
-def write_xml(lines: DataFrame, path: str) -> None:
-    """lines of xml_lines() as text, one file in each slide_id= folder, in order."""
-    lines.repartition("slide_id").sortWithinPartitions("slide_id", "shape_no", "line_no").select("slide_id", "s").write.mode("overwrite").partitionBy("slide_id").text(path)
+def write_ordered(rows: DataFrame, path: str, *order: str, keep: bool = False) -> None:
+    """rows(slide_id, order, value) as text: a folder slide_id=... for each, whose parts hold its lines in order of their names.
+
+    Rows are dealt to tasks by ranges of slide and place, so that a slide of any
+    size is written by many tasks, and a small one lies in one part (or in two,
+    where a range ends in it). Parts are written to a folder aside first; only
+    when all are there, slide after slide moves into place. With `keep` other
+    slides that stand there stay.
+    """
+    spark = rows.sparkSession
+    aside = f"{path.rstrip('/')}/_aside-{uuid.uuid4().hex}"
+    places = ["slide_id", *order]
+    rows.repartitionByRange(*places).sortWithinPartitions(*places).select("slide_id", "value").write.partitionBy("slide_id").text(aside)
+    to_path = spark._jvm.org.apache.hadoop.fs.Path
+    files = to_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    of = lambda folder: {x.getPath().getName(): x.getPath() for x in files.listStatus(to_path(folder)) if x.getPath().getName().startswith("slide_id=")}
+    new, old = of(aside), of(path)
+    for name, where in old.items():
+        if name in new or not keep:
+            files.delete(where, True)
+        if name in new:
+            files.rename(new[name], where)
+    for name in new.keys() - old.keys():
+        files.rename(new[name], to_path(f"{path.rstrip('/')}/{name}"))
+    files.delete(to_path(aside), True)
+
+
+def write_xml(lines: DataFrame, path: str, keep: bool = False) -> None:
+    """lines of xml_lines(): a cutting job in each slide_id= folder; its parts one after the other are the document."""
+    write_ordered(lines.withColumnRenamed("s", "value"), path, "shape_no", "line_no", keep=keep)
 
 
 def write_plate(placed: DataFrame, path: str, plate: str = "384", keys: tuple[str, ...] = ()) -> None:
@@ -56,15 +85,19 @@ def feature_text(shapes: DataFrame) -> DataFrame:
     return sanitised(shapes).withColumn("_rest", rest).select("slide_id", "ord", value.alias("value"))
 
 
-def write_features(shapes: DataFrame, path: str, collection: bool = False) -> None:
-    """Clean features as GeoJSON: a feature a line, or for small slides one FeatureCollection each."""
+def collection_lines(shapes: DataFrame) -> DataFrame:
+    """(slide_id, ord, value): the lines of one FeatureCollection a slide, a feature each, after a line that opens it and before one that closes it."""
     rows = feature_text(shapes)
-    if collection:
-        listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "value"))), lambda e: e.value), ",")
-        rows = rows.groupBy("slide_id").agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), listed, F.lit("]}")).alias("value"))
-        rows.repartition("slide_id").write.mode("overwrite").partitionBy("slide_id").text(path)
-    else:
-        rows.repartition("slide_id").sortWithinPartitions("slide_id", "ord").select("slide_id", "value").write.mode("overwrite").partitionBy("slide_id").text(path)
+    ends = rows.groupBy("slide_id").agg(F.min("ord").alias("_first"), F.max("ord").alias("_last"))
+    listed = rows.join(ends, "slide_id").select("slide_id", "ord", F.concat(F.when(F.col("ord") == F.col("_first"), "").otherwise(","), "value").alias("value"))
+    line = lambda ord_, value: F.struct(ord_.alias("ord"), F.lit(value).alias("value"))
+    frame = ends.select("slide_id", F.inline(F.array(line(F.col("_first") - 1, '{"type":"FeatureCollection","features":['), line(F.col("_last") + 1, "]}"))))
+    return listed.unionByName(frame)
+
+
+def write_features(shapes: DataFrame, path: str, collection: bool = False, keep: bool = False) -> None:
+    """Clean features as GeoJSON: a feature a line, or one FeatureCollection a slide, whose parts one after the other are the document."""
+    write_ordered(collection_lines(shapes) if collection else feature_text(shapes), path, "ord", keep=keep)
 
 
 def palette_text(classes: DataFrame) -> DataFrame:

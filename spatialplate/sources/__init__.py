@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import names as N
-from ..schemas import CLASSIFICATION, COLLECTION, FEATURE_LINE, PLATES
+from ..schemas import CLASSIFICATION, COLLECTION, FEATURE, FEATURE_LINE, PLATES
 
 
 def parsed_features(raw: DataFrame) -> DataFrame:
@@ -30,11 +30,19 @@ def parsed_features(raw: DataFrame) -> DataFrame:
 
 
 def read_features(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Features of FeatureCollection files, one file a slide, in file order. A file is read by one task; see read_feature_lines."""
+    """Features of FeatureCollection files, one file a slide, in file order. A file is read by one task; see read_large_features."""
     raw = spark.read.schema(COLLECTION).json(paths, multiLine=True)
     return parsed_features(raw.select(N.file_stem(F.col("_metadata.file_name")).alias("slide_id"), F.posexplode("features").alias("ord", "f")))
 
 
+def read_large_features(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """What read_features() gives, with each file read by as many tasks as it has splits; a file that is no feature collection gives no rows."""
+    from .split import feature_texts
+
+    read = feature_texts(spark, paths).select("slide_id", "ord", F.from_json("text", FEATURE).alias("f"))
+    return parsed_features(read.where(F.col("f").isNotNull() & F.col("f.type").isNotNull()))
+
+
 def read_feature_lines(spark: SparkSession, paths: str | list[str], ordered: bool = False) -> DataFrame:
     """Features one a line, for very large slides: splittable. Each line carries its slide_id and ord; without ord, order is that of id.
 
