@@ -295,3 +295,20 @@ def test_samples_are_the_least_by_the_seed(spark):
         assert {(r.slide_id, r.annotation_id, r.id) for r in got.where("selected").collect()} == want and got.count() == len(rows)
     plan = sample.sampled(found, 2, 9)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and plan.index("Final") < plan.index("Partial")
+
+
+def test_the_report_reads_features_twice(spark, features, tmp_path, monkeypatch):
+    features.write.parquet(str(tmp_path / "kept"))
+    kept = spark.read.parquet(str(tmp_path / "kept"))
+    mapping = table(spark, class_1="C3", class_2="Z9", other="C3")
+    plans = []
+    held = validate.settled
+    monkeypatch.setattr(validate, "settled", lambda df, name: plans.append(df) or held(df, name))
+    before = spark.conf.get("spark.sql.maxMetadataStringLength")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "4000")
+    try:
+        report = validate.quality_report(kept, features.select("slide_id").distinct(), mapping)
+        scans = sum(df._jdf.queryExecution().executedPlan().toString().count(f"{tmp_path}/kept") for df in [*plans, report])
+    finally:
+        spark.conf.set("spark.sql.maxMetadataStringLength", before)
+    assert scans == 2 and rows(report, "check", "n", "detail") == rows(validate.quality_report(features, features.select("slide_id").distinct(), mapping), "check", "n", "detail")
