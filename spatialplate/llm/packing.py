@@ -70,13 +70,12 @@ def checked(file: dict) -> dict[str, int]:
     return {t["content"]: t["id"] for t in added}
 
 
-def _coder(content: bytes) -> _Marked:
+def _coder(content: bytes, added: dict[str, int]) -> _Marked:
     """Encodes new words by the library's own model."""
     key = zlib.crc32(content), len(content)
     if key not in _kept:
         from tokenizers import Tokenizer
 
-        added = checked(json.loads(content))
         model = Tokenizer.from_str(content.decode()).model
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the bytes that the byte-level alphabet shows as they are
         table = {b: b for b in plain} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - {*plain}))}
@@ -99,11 +98,13 @@ def pieces(df: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_c
     id. Repeated rows and null ids give pieces like any other row.
     """
     with open(path, "rb") as f:
-        content = df.sparkSession.sparkContext.broadcast(f.read())
+        content = f.read()
+    added = checked(json.loads(content))
+    content = df.sparkSession.sparkContext.broadcast(content)
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = _coder(content.value)
+        code = _coder(content.value, added)
         for batch in batches:
             for part in slices(batch, 1, BLOCK):
                 row, number, start, length, crc, ids = [], [], [], [], [], []
