@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from spatialplate import sinks, sources
 from spatialplate.operators import clean, collection as jobs
+from spatialplate.plans import jobs as plans
 from spatialplate.sources.split import _masked
 
 
@@ -84,3 +85,34 @@ def test_a_slide_is_written_by_many_tasks(spark, tmp_path):
         assert not (tmp_path / "xml/slide_id=one").exists() and clean.shapes(again).count() == 400
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
+
+
+def test_only_changed_slides_are_worked_on(spark, tmp_path, monkeypatch):
+    top, out = tmp_path / "in", str(tmp_path / "out")
+    top.mkdir()
+    square = lambda x: [[[x, 0], [x + 9, 0], [x + 9, 9], [x, 9], [x, 0]]]
+
+    def put(stem, *xs):
+        shapes = [{"type": "Feature", "id": f"{x}", "geometry": {"type": "Polygon", "coordinates": square(x)}, "properties": {"objectType": "annotation", "classification": {"name": "k"}}} for x in xs]
+        points = [{"type": "Feature", "id": f"p{i}", "geometry": {"type": "Point", "coordinates": [i, i * i]}, "properties": {"objectType": "annotation", "name": f"c{i}"}} for i in range(3)]
+        (top / f"{stem}.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": shapes + points}))
+
+    for stem in "abc":
+        put(stem, 1, 20)
+    wells = lambda well: spark.createDataFrame([("k", well, 1)], "class_name string, well string, ord int")
+    run = lambda well="C3": plans.collect_changed(spark, str(top), wells(well), out)
+    text = lambda stem: "".join(p.read_text() for p in sorted((tmp_path / f"out/xml/slide_id={stem}").glob("part-*")))
+    assert {r.slide_id for r in run().collect()} >= set("abc") and all(text(s).count("<Shape_") == 2 for s in "abc")
+    read = []
+    held = sources.read_large_features
+    monkeypatch.setattr(sources, "read_large_features", lambda spark, paths: read.append(sorted(p[-9:-8] for p in paths)) or held(spark, paths))
+    assert run() is None and read == []
+    put("b", 1, 20, 40)
+    put("d", 5)
+    (top / "c.geojson").touch()
+    assert run() is not None and read == [["b", "d"]]
+    assert [text(s).count("<Shape_") for s in "abcd"] == [2, 3, 2, 1]
+    assert run() is None and len(read) == 1
+    (top / "a.geojson").unlink()
+    assert run() is None and len(read) == 1
+    assert run("D4") is not None and read[1] == ["b", "c", "d"] and "<CapID>D4</CapID>" in text("c") and "C3" in text("a")
