@@ -13,12 +13,17 @@ from .numbering import numbered
 LAST = 1 << 62
 
 
-def with_wells(shapes: DataFrame, class_wells: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+def with_wells(shapes: DataFrame, class_wells: DataFrame, keys: tuple[str, ...] = (), stored: bool = False) -> DataFrame:
     """shapes whose class has a well, with `well` and shape_no: 1, 2, ... in each slide's file order.
 
-    Maps are joined as their size suggests; a slide may have any number of shapes.
+    Maps are joined as their size suggests; a slide may have any number of
+    shapes. With `stored` the shapes come from a table of sinks.store_features(),
+    and each slide is numbered where it lies.
     """
-    return numbered(shapes.join(class_wells.select(*keys, "class_name", "well"), [*keys, "class_name"]), "shape_no", ("slide_id",))
+    mapped = shapes.join(class_wells.select(*keys, "class_name", "well"), [*keys, "class_name"])
+    if stored:
+        return mapped.withColumn("shape_no", F.row_number().over(W.partitionBy("slide_id").orderBy("ord")))
+    return numbered(mapped, "shape_no", ("slide_id",))
 
 
 def without_wells(shapes: DataFrame, class_wells: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:

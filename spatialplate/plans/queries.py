@@ -132,6 +132,17 @@ def triangle_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calibrate.hits(clean.shapes(f), _triangles(f)).select("slide_id", "ord", "hit")
 
 
+def closed_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corners = _triangles(features(spark, sf_dir)).select("slide_id", F.posexplode(G.closed_triangle(F.col("points"))).alias("i", "p"))
+    return corners.select("slide_id", "i", "p.x", "p.y")
+
+
+def file_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    name = F.concat(F.lit("slide."), e.cast("string"), F.when(e % 3 > 0, F.concat(F.lit("."), "event_type")).otherwise(""), F.lit(".geojson"))
+    return table(spark, sf_dir, "events").select("event_id", N.file_stem(name).alias("stem"))
+
+
 def acceptable_wells(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("slide_id")
     return sources.wells(slides(spark, sf_dir), "384", s % 3, s % 2 + 1, s % 3 + 1, ("slide_id",)).select("slide_id", "well", "row_idx", "col_idx", "pos")
@@ -406,6 +417,8 @@ UNION ALL SELECT CAST(slide_id AS VARCHAR), 'no_well', 'warn', count(*), class_n
     "calibration_missing": f"WITH {_F}{_CP} SELECT x.slide_id, x.pos, x.name FROM (SELECT slide_id, pos, name FROM (SELECT DISTINCT slide_id FROM f), (VALUES (0, 'calib1'), (1, 'calib7'), (2, 'calib3')) t(pos, name)) x ANTI JOIN cp USING (slide_id, name)",
     "triangle_coverage": f"WITH {_S}{_V}{_CP}{_TRI}{_HIT}{_COV} SELECT slide_id, shapes, hits, round(hits / nullif(shapes, 0), 9) AS share, CASE WHEN shapes = 0 THEN 'no shapes' WHEN hits < 0.25 * shapes THEN 'low' ELSE 'ok' END AS status FROM cov",
     "triangle_hits": f"WITH {_S}{_V}{_CP}{_TRI}{_HIT} SELECT slide_id, ord, hit FROM hits",
+    "closed_triangles": f"WITH {_F}{_CP}{_TRI} SELECT slide_id, CAST(i AS INTEGER) AS i, x, y FROM (SELECT slide_id, 0 AS i, ax AS x, ay AS y FROM tri UNION ALL SELECT slide_id, 1, bx, by_ FROM tri UNION ALL SELECT slide_id, 2, gx, gy FROM tri UNION ALL SELECT slide_id, 3, ax, ay FROM tri)",
+    "file_stems": "SELECT event_id, 'slide.' || event_id || CASE WHEN event_id % 3 > 0 THEN '.' || event_type ELSE '' END AS stem FROM events",
     "acceptable_wells": f"WITH {_F} SELECT slide_id, well, row_idx, col_idx, CAST(pos AS INTEGER) AS pos FROM {_wells('f', 'slide_id', '384', 'slide_id % 3', 'slide_id % 2 + 1', 'slide_id % 3 + 1')}",
     "plate_grid": f"WITH {_F} SELECT slide_id, w.well, w.well AS cell, u.well IS NOT NULL AS available FROM {_wells('f', 'slide_id', '96', '0', '1', '1')} w LEFT JOIN {_wells('f', 'slide_id', '96', 'slide_id % 3', '1', '1')} u USING (slide_id, well)",
     "assign_wells": f"WITH {_B}, {_assigned(_STUDY)} SELECT * FROM a",
@@ -467,7 +480,7 @@ SELECT slide_id, annotation_id, id, row_number() OVER (PARTITION BY slide_id, an
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
     for q in (
-        shape_wells, feature_census, census_report, clean_shapes, rejected_shapes, json_property_extract, null_census, quality_report, calibration_points, calibration_missing, triangle_coverage, triangle_hits,
+        shape_wells, feature_census, census_report, clean_shapes, rejected_shapes, json_property_extract, null_census, quality_report, calibration_points, calibration_missing, triangle_coverage, triangle_hits, closed_triangles, file_stems,
         acceptable_wells, plate_grid, assign_wells, assign_wells_shuffled, plate_overflow, plate_capacity, plate_pivot, plate_unpivot, map_missing_classes, map_invalid_wells, map_shared_wells, map_json, map_text_parse,
         list_items, split_classes, shapes_without_wells, shape_stats, transform_coords, simplify_outline, outline_crossings, collection_xml_lines, combinations_palette, palette_json, colour_round_trip, sample_in_region, convert_detections,
         sanitize_features, export_errors, feature_lines, collection_read, collection_files,

@@ -114,3 +114,16 @@ def with_palette(classes: DataFrame) -> DataFrame:
     """classes(class_name) numbered by name, with the palette's colours in rotation."""
     pos = F.row_number().over(W.orderBy("class_name")) - 1
     return classes.select("class_name").distinct().withColumn("pos", pos).withColumn("color", N.palette_colour(F.col("pos")))
+
+
+def store_features(features: DataFrame, table: str, buckets: int = 64, path: str | None = None) -> DataFrame:
+    """features as the table `table`, bucketed by slide and sorted by place in each; and that table.
+
+    A slide lies in one bucket, so that what is worked out by slide needs no
+    exchange (see with_wells(stored=True)). That suits many slides of up to some
+    million features; one that holds a large share of all is better left to the
+    ranges of numbering.numbered().
+    """
+    writer = features.repartition(buckets, "slide_id").write.mode("overwrite").bucketBy(buckets, "slide_id").sortBy("slide_id", "ord")
+    (writer if path is None else writer.option("path", path)).saveAsTable(table)
+    return features.sparkSession.table(table)

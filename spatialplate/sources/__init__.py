@@ -43,10 +43,11 @@ def read_large_features(spark: SparkSession, paths: str | list[str]) -> DataFram
     return parsed_features(read.where(F.col("f").isNotNull() & F.col("f.type").isNotNull()))
 
 
-def read_feature_lines(spark: SparkSession, paths: str | list[str], ordered: bool = False) -> DataFrame:
-    """Features one a line, for very large slides: splittable. Each line carries its slide_id and ord; without ord, order is that of id.
+def read_feature_lines(spark: SparkSession, paths: str | list[str], ordered: bool = True) -> DataFrame:
+    """Features one a line, for very large slides: splittable. Each line carries its slide_id and ord.
 
-    With `ordered` every line is taken to have its ord, and no slide is sorted.
+    Where lines lack their ord, ordered=False gives them the order of their ids,
+    for which each slide is sorted as a whole.
     """
     raw = spark.read.schema(FEATURE_LINE).json(paths)
     if ordered:

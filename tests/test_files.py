@@ -116,3 +116,17 @@ def test_only_changed_slides_are_worked_on(spark, tmp_path, monkeypatch):
     (top / "a.geojson").unlink()
     assert run() is None and len(read) == 1
     assert run("D4") is not None and read[1] == ["b", "c", "d"] and "<CapID>D4</CapID>" in text("c") and "C3" in text("a")
+
+
+def test_stored_features_are_numbered_without_an_exchange(spark, sf, tmp_path):
+    from spatialplate.plans import queries
+
+    kept = sinks.store_features(queries.features(spark, sf), "kept_features", 4, str(tmp_path / "kept"))
+    shapes = clean.shapes(kept)
+    some = spark.createDataFrame([(r.class_name, "A1") for r in shapes.select("class_name").distinct().orderBy("class_name").limit(3).collect()], "class_name string, well string")
+    got = jobs.with_wells(shapes, F.broadcast(some), stored=True).select("slide_id", "ord", "shape_no")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Exchange rangepartitioning" not in plan
+    want = jobs.with_wells(clean.shapes(queries.features(spark, sf)), some).select("slide_id", "ord", "shape_no")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 100
+    spark.sql("DROP TABLE kept_features")
