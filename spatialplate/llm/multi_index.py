@@ -3,7 +3,9 @@
 Each half of a vector is quantised by its own centroids, so that the pairs of
 centroids make a fine grid of cells from two small tables. A query walks the
 pairs by summed distance, with a heap, until the cells it has met hold enough
-entries; these are then ranked by their true distance.
+entries; these are then ranked by their true distance. Rows lie in blocks and
+queries in tiles, both in the order of their cells, so that queries of a tile
+walk through much the same blocks; a block is sent only to tiles that visit it.
 """
 
 from __future__ import annotations
@@ -15,9 +17,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from .common import written
 from .topk import finite
@@ -91,6 +94,15 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return values.reshape(len(flat), -1)
 
 
+def _laid(counts: dict[int, int], size: int) -> tuple[dict[int, int], dict[int, int], int]:
+    """Cells side by side in portions of `size` rows, large ones over several: their counts, their first places, the size."""
+    begun, at = {}, 0
+    for cell in sorted(counts):
+        begun[cell] = at
+        at += counts[cell]
+    return counts, begun, size
+
+
 def nearest(queries: DataFrame, candidates: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", cells: int | None = None, recall: float = 0.96) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found candidates other than the query, by Euclidean distance.
 
@@ -108,8 +120,11 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 10, id_col: str
     """
     spark = candidates.sparkSession
 
+    def kind(df: DataFrame) -> str:  # floats go as they are, in half the bytes; distances are worked out in doubles
+        return "float" if isinstance(df.schema[vector_col].dataType.elementType, FloatType) else "double"
+
     def ready(df: DataFrame) -> DataFrame:
-        vector = F.transform(vector_col, lambda x: x.cast("double"))
+        vector = F.transform(vector_col, lambda x: x.cast(kind(df)))
         good = F.col(id_col).isNotNull() & finite(F.col(vector_col)) & F.exists(vector_col, lambda x: x != 0)
         return df.where(good).select(F.col(id_col).cast("long").alias("id"), vector.alias("v")).groupBy("id").agg(F.min("v").alias("v"))
 
@@ -136,27 +151,23 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 10, id_col: str
                 cell = _squares(v[:, :half], first).argmin(axis=1) * len(second) + _squares(v[:, half:], second).argmin(axis=1)
                 yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(cell.astype(np.int32))], ["id", "v", "cell"])
 
-    placed = written(rows.where(F.col("dim") == dim).select("id", "v").mapInArrow(place, "id long, v array<double>, cell int"), "cells")
-    # As many counts as there are pairs of centroids; cells are laid side by side in blocks, large ones over several.
-    table = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}
-    begun, at = {}, 0
-    for cell in sorted(table):
-        begun[cell] = at
-        at += table[cell]
-    layout = spark.sparkContext.broadcast((table, begun))
+    placed = written(rows.where(F.col("dim") == dim).select("id", "v").mapInArrow(place, f"id long, v array<{kind(candidates)}>, cell int"), "cells")
+    asking = written(ready(queries).where(F.size("v") == dim).mapInArrow(place, f"id long, v array<{kind(queries)}>, cell int"), "queries")
+    # As many counts as there are pairs of centroids, of rows and of queries.
+    counted = lambda df: {r["cell"]: r["count"] for r in df.groupBy("cell").count().collect()}
+    layout = spark.sparkContext.broadcast((_laid(counted(placed), BLOCK), _laid(counted(asking), TILE)))
 
-    def blocks_of(cell: int) -> range:
-        table, begun = layout.value
-        return range(begun[cell] // BLOCK, (begun[cell] + table[cell] - 1) // BLOCK + 1)
+    def portion(which: int) -> Column:
+        @F.pandas_udf("int")
+        def number(cell: pd.Series, mix: pd.Series) -> pd.Series:
+            table, begun, size = layout.value[which]
+            return pd.Series([(begun[c] + m % table[c]) // size for c, m in zip(cell.tolist(), mix.tolist(), strict=True)], dtype="int32")
 
-    @F.pandas_udf("int")
-    def block(cell: pd.Series, mix: pd.Series) -> pd.Series:
-        table, begun = layout.value
-        return pd.Series([(begun[c] + m % table[c]) // BLOCK for c, m in zip(cell.tolist(), mix.tolist(), strict=True)], dtype="int32")
+        return number("cell", F.pmod(F.xxhash64("id"), F.lit(1 << 40)))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, second = books.value
-        table, _ = layout.value
+        table, begun, size = layout.value[0]
         counts = np.zeros((len(first), len(second)), np.int64)
         for cell, n in table.items():
             counts[divmod(cell, len(second))] = n
@@ -170,20 +181,19 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 10, id_col: str
                 found = [x * len(second) + y for x, y in walk(one[i], two[i], counts, reach)]
                 where: dict[int, list[int]] = {}
                 for c in found:
-                    for b in blocks_of(c):
+                    for b in range(begun[c] // size, (begun[c] + table[c] - 1) // size + 1):
                         where.setdefault(b, []).append(c)
                 for b, cs in where.items():
                     ids.append(i)
                     near.append(b)
                     met.append(cs)
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(ids, pa.int64())), batch.column("v").take(pa.array(ids, pa.int64())), pa.array(near, pa.int32()), pa.array(met, pa.list_(pa.int32()))], ["query_id", "q", "block", "cells"])
+            at = pa.array(ids, pa.int64())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in ("id", "v", "tile")], pa.array(near, pa.int32()), pa.array(met, pa.list_(pa.int32()))], ["query_id", "q", "tile", "block", "cells"])
 
-    # A block may be visited by all queries: these come in tiles, each with a copy of the block.
-    asking_rows = ready(queries).where(F.size("v") == dim)
-    tiles = max(1, -(-asking_rows.count() // TILE))
-    tile = F.pmod(F.xxhash64("query_id"), F.lit(tiles)).cast("int")
-    entries = placed.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).withColumn("block", block("cell", F.pmod(F.xxhash64("id"), F.lit(1 << 40))))
-    asked = asking_rows.mapInArrow(visit, "query_id long, q array<double>, block int, cells array<int>").withColumn("tile", tile)
+    visits = asking.select("id", "v", portion(1).alias("tile")).mapInArrow(visit, f"query_id long, q array<{kind(queries)}>, tile int, block int, cells array<int>")
+    asked = written(visits, "visits")
+    pairs = asked.select(F.col("block").alias("visited"), F.col("tile").alias("by")).distinct()
+    entries = placed.withColumn("block", portion(0)).join(pairs, F.col("block") == F.col("visited")).select("id", "v", "cell", "block", F.col("by").alias("tile"))
 
     def rank(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple[int, int, float]] = []
@@ -192,12 +202,12 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 10, id_col: str
             order = np.argsort(cell, kind="stable")
             v, ids, cell = v[order], ids[order], cell[order]
             starts = {int(c): (int(np.searchsorted(cell, c)), int(np.searchsorted(cell, c, "right"))) for c in np.unique(cell)}
-            asking = _matrix(right.column("q"))
+            wanted = _matrix(right.column("q"))
             lengths, most = (v * v).sum(axis=1), (v * v).sum(axis=1).max()
-            for begin in range(0, len(asking), 256):
+            for begin in range(0, len(wanted), 256):
                 part = slice(begin, begin + 256)
-                rough = lengths[None, :] - 2 * asking[part] @ v.T
-                for q, near, own, cells_met in zip(asking[part], rough, right.column("query_id")[part].to_pylist(), right.column("cells")[part].to_pylist(), strict=True):
+                rough = lengths[None, :] - 2 * wanted[part] @ v.T
+                for q, near, own, cells_met in zip(wanted[part], rough, right.column("query_id")[part].to_pylist(), right.column("cells")[part].to_pylist(), strict=True):
                     spans = [starts[c] for c in cells_met if c in starts]
                     if not spans:
                         continue

@@ -83,8 +83,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, id_col: str = "
     blocks, width = _blocks(ready(candidates), SHARD, "shard")
     shards = written(blocks, "shards")
     tiles = _blocks(ready(queries), TILE, "tile")[0].select("dim", "tile", F.col("ids").alias("query_ids"), F.col("kind").alias("query_kind"), F.col("cells").alias("query_cells"))
-    # A query set against all rows, in blocks: tiles, the smaller side, go to each shard of their dimension.
-    sent = tiles.join(shards.select("dim", "shard"), "dim")
+    # A query set against all rows, in blocks: tiles, the smaller side, go to each shard; one without rows of their dimension meets none.
+    sent = tiles.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
     pairs = sent.hint("merge").join(shards, ["dim", "shard"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -135,3 +135,28 @@ def test_many_levels_and_tiles(spark, monkeypatch):
     assert found(topk.top_k(some, df, 4)) == plain_top(range(0, 60, 5), vectors, 4)
     got = {(r.query_id, r.vec_id) for r in multi_index.nearest(some, df, 4, cells=4, recall=1.0).collect()}
     assert len(got & {(q, i) for q in range(0, 60, 5) for _, i in plain_near(q, vectors, 4)}) >= 0.9 * 48
+
+
+def test_blocks_go_only_to_tiles_that_visit_them(spark, monkeypatch):
+    monkeypatch.setattr(multi_index, "BLOCK", 64)
+    monkeypatch.setattr(multi_index, "TILE", 8)
+    rng = np.random.default_rng(5)
+    points = rng.normal(size=(16, 6))[np.arange(1600) % 16] * 9 + rng.normal(size=(1600, 6)) * 0.05
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(points)], SCHEMA)
+    tables, held = {}, multi_index.written
+
+    def kept(table, name):
+        tables[name] = held(table, name)
+        return tables[name]
+
+    monkeypatch.setattr(multi_index, "written", kept)
+    some = df.where("vec_id % 10 < 1")
+    got = multi_index.nearest(some, df, 5, cells=16).collect()
+    pairs = {(r.block, r.tile) for r in tables["visits"].select("block", "tile").distinct().collect()}
+    assert len({t for _, t in pairs}) == 20 and len(pairs) < 0.5 * 25 * 20
+    vectors = {r.vec_id: r.embedding for r in df.collect()}
+    near = {(q, i) for q in range(0, 1600, 10) for _, i in plain_near(q, vectors, 5)}
+    assert len(near & {(r.query_id, r.vec_id) for r in got}) >= 0.9 * len(near)
+    assert dict(tables["cells"].dtypes)["v"] == "array<float>"
+    doubles = df.withColumn("embedding", df.embedding.cast("array<double>"))
+    assert found(multi_index.nearest(some, doubles, 5, cells=16)) == {(r.query_id, r["rank"], r.vec_id, r.score) for r in got}
