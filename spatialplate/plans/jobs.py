@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import sinks, sources
 from ..operators import calibrate, clean, collection, plate, validate
+from ..sources.split import source
 from ..staging import settled
 
 #: Bytes of a file whose content is hashed.
@@ -62,9 +63,10 @@ def collect_changed(spark: SparkSession, paths: str | list[str], class_wells: Da
     A manifest under `out` holds each file's time, length and hash, and that of
     the map. A file of the same time and length is not read; one of the same hash
     is not worked on (a file beyond HASHED bytes counts as changed). Another map
-    makes all files new. Files of slides that are gone leave the manifest; what
-    was written for them stays. The names of files go through the driver, their
-    content does not.
+    makes all files new. The parts in a folder slide_id=... are one slide: if one
+    is new, changed or gone, all that are there are read. Files of slides that are
+    gone leave the manifest; what was written for them stays. The names of files
+    go through the driver, their content does not.
     """
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).select("path", F.col("modificationTime").alias("modified"), "length")
     known = settled(_manifest(spark, out), "manifest")
@@ -76,7 +78,9 @@ def collect_changed(spark: SparkSession, paths: str | list[str], class_wells: Da
     schema = "path string, digest string"
     hashes = spark.read.format("binaryFile").load(names).select("path", F.sha2("content", 256).alias("digest")) if names else spark.createDataFrame([], schema)
     hashed = settled(fresh.join(hashes, "path", "left"), "hashed")
-    work = [r["path"] for r in hashed.join(same.select("path", "digest"), ["path", "digest"], "left_anti").select("path").collect()]
+    changed = hashed.join(same.select("path", "digest"), ["path", "digest"], "left_anti").select("path").unionByName(known.join(listed, "path", "left_anti").select("path"))
+    changed = changed.select(source(F.col("path")).alias("source")).distinct()
+    work = [r["path"] for r in listed.withColumn("source", source(F.col("path"))).join(changed, "source", "left_semi").select("path").collect()]
     report = None
     if work:
         features = settled(sources.read_large_features(spark, work), "features")

@@ -17,7 +17,8 @@ from ..functions import geometry as G
 from ..functions import names as N
 from ..operators import calibrate, classes, clean, collection, plate, sample, validate
 from ..schemas import FEATURE_LINE
-from ..staging import folder
+from ..staging import folder, settled
+from . import jobs
 
 CORNERS = ((1.0, 0.5), (0.5, 1.0), (-0.5, 1.0), (-1.0, 0.5), (-1.0, -0.5), (-0.5, -1.0), (0.5, -1.0), (1.0, -0.5), (1.0, 0.5))
 #: A closed outline that plain thinning at a tolerance of 2 makes cross itself. Every fourth event has it with two points exchanged, so that it crosses itself from the start.
@@ -321,6 +322,20 @@ def collection_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank = F.col("ord").cast("long").alias("place")
     return found.select(F.col("slide_id").cast("long").alias("slide_id"), rank, F.col("id").cast("long").alias("id"), "object_type", "class_name", F.posexplode(G.exterior(F.col("rings"))).alias("i", "p")).select("slide_id", "place", "id", "object_type", "class_name", "i", "p.x", "p.y")
 
+def changed_slides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exported features after two runs over files of slides, of which every other one has lost features between; and the run that wrote each."""
+    top = f"{folder(spark)}/changes-{uuid.uuid4().hex}"
+    shapes = settled(_shapes(spark, sf_dir).where(F.col("type") == "Polygon"), "shapes")
+    wells = settled(slide_map(spark, sf_dir), "map")
+    sinks.write_features(shapes, f"{top}/in", collection=True)
+    jobs.collect_changed(spark, f"{top}/in", wells, f"{top}/out")
+    sinks.write_features(shapes.where("slide_id % 2 = 0 AND ord % 3 <> 0"), f"{top}/in", collection=True, keep=True)
+    report = jobs.collect_changed(spark, f"{top}/in", wells, f"{top}/out")
+    found = spark.read.text(f"{top}/out/features").select(F.col("slide_id").cast("string").alias("slide_id"), F.get_json_object("value", "$.id").cast("long").alias("id"))
+    again = found.select("slide_id").limit(0) if report is None else report.where(F.col("slide_id").isNotNull()).select("slide_id").distinct()
+    run = F.coalesce("_run", F.lit(1)).alias("run")
+    return found.join(again.withColumn("_run", F.lit(2)), "slide_id", "left").select(F.col("slide_id").cast("long").alias("slide_id"), "id", run)
+
 
 # SQL
 
@@ -473,6 +488,7 @@ SELECT slide_id, annotation_id, id, row_number() OVER (PARTITION BY slide_id, an
     "collection_read": f"WITH {_S}{_V} SELECT slide_id, ord, CAST(id AS VARCHAR) AS id, object_type, class_name, i, cx + r * dx AS x, cy + r * dy AS y FROM s, v WHERE type = 'Polygon'",
     "collection_files": f"""WITH {_S}{_V}, c AS (SELECT *, row_number() OVER (PARTITION BY slide_id ORDER BY ord) - 1 AS place FROM s WHERE type = 'Polygon')
   SELECT slide_id, place, id, object_type, class_name, i, cx + r * dx AS x, cy + r * dy AS y FROM c, v""",
+    "changed_slides": f"WITH {_S} SELECT slide_id, id, CAST(CASE WHEN slide_id % 2 = 0 THEN 2 ELSE 1 END AS INTEGER) AS run FROM s WHERE type = 'Polygon' AND (slide_id % 2 = 1 OR ord % 3 <> 0)",
     "feature_lines": f"""WITH {_S}{_V} SELECT slide_id, ord, '{{"type":"Feature","id":' || id || ',"geometry":{{"type":"' || type || '","coordinates":[[' || string_agg('[' || (cx + r * dx) || ',' || (cy + r * dy) || ']', ',' ORDER BY i) || ']]}},"properties":{{"objectType":"' || object_type || '","classification":{{"name":"' || class_name || '","color":[3,128,17]}}}}}}' AS value
   FROM s, v GROUP BY slide_id, ord, id, type, object_type, class_name""",
 }
@@ -483,6 +499,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         shape_wells, feature_census, census_report, clean_shapes, rejected_shapes, json_property_extract, null_census, quality_report, calibration_points, calibration_missing, triangle_coverage, triangle_hits, closed_triangles, file_stems,
         acceptable_wells, plate_grid, assign_wells, assign_wells_shuffled, plate_overflow, plate_capacity, plate_pivot, plate_unpivot, map_missing_classes, map_invalid_wells, map_shared_wells, map_json, map_text_parse,
         list_items, split_classes, shapes_without_wells, shape_stats, transform_coords, simplify_outline, outline_crossings, collection_xml_lines, combinations_palette, palette_json, colour_round_trip, sample_in_region, convert_detections,
-        sanitize_features, export_errors, feature_lines, collection_read, collection_files,
+        sanitize_features, export_errors, feature_lines, collection_read, collection_files, changed_slides,
     )
 }

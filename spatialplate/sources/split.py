@@ -17,7 +17,7 @@ from itertools import groupby
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names as N
@@ -142,6 +142,11 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flushed()
 
 
+def source(path: Column) -> Column:
+    """What a file belongs to: the folder slide_id=... that it is a part in, or itself."""
+    return F.regexp_replace(path, "(/slide_id=[^/]*)/[^/]*$", "$1")
+
+
 def feature_texts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(slide_id, ord, text): the features of FeatureCollection files as JSON, numbered from 0 in each file's order.
 
@@ -151,7 +156,7 @@ def feature_texts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     that breaks off gives what stands whole before, and a last text that is not.
     """
     meta = lambda c: F.col(f"_metadata.{c}")
-    path = F.regexp_replace(meta("file_path"), "(/slide_id=[^/]*)/[^/]*$", "$1").alias("path")
+    path = source(meta("file_path")).alias("path")
     last = (meta("file_block_start") + meta("file_block_length") >= meta("file_size")).alias("last")
     raw = spark.read.option("recursiveFileLookup", True).text(paths, lineSep="}").select(path, meta("file_name").alias("file"), meta("file_block_start").alias("block"), last, "value")
     told = settled(raw.mapInArrow(_summed, "path string, file string, block long, told string"), "splits")

@@ -118,6 +118,33 @@ def test_only_changed_slides_are_worked_on(spark, tmp_path, monkeypatch):
     assert run("D4") is not None and read[1] == ["b", "c", "d"] and "<CapID>D4</CapID>" in text("c") and "C3" in text("a")
 
 
+def test_the_parts_of_a_slide_change_together(spark, tmp_path):
+    ring = [{"x": float(x), "y": float(y)} for x, y in ((0, 0), (9, 0), (9, 9), (0, 9), (0, 0))]
+    rows = [(s, i, f"id{i}", [ring]) for s in ("one", "two") for i in range(200)]
+    shapes = spark.createDataFrame(rows, "slide_id string, ord long, id string, rings array<array<struct<x:double,y:double>>>")
+    shapes = shapes.selectExpr("*", "'Polygon' AS type", "'annotation' AS object_type", "named_struct('name', 'k', 'color', array(1, 2, 3)) AS classification").withColumn("geometry", F.struct("type", F.to_json(F.transform("rings", lambda r: F.transform(r, lambda p: F.array(p.x, p.y)))).alias("coordinates")))
+    wells = spark.createDataFrame([("k", "A1", 1)], "class_name string, well string, ord int")
+    run = lambda: plans.collect_changed(spark, str(tmp_path / "in"), wells, str(tmp_path / "out"))
+    ids = lambda slide: [json.loads(x)["id"] for p in sorted((tmp_path / f"out/features/slide_id={slide}").glob("part-*")) for x in p.read_text().splitlines()]
+    slides = lambda report: {r.slide_id for r in report.collect() if r.slide_id}
+    adaptive = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.write_features(shapes, str(tmp_path / "in"), collection=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
+    assert slides(run()) == {"one", "two"} and ids("one") == ids("two") == [f"id{i}" for i in range(200)]
+    parts = sorted((tmp_path / "in/slide_id=one").glob("part-*"))
+    assert len(parts) > 2
+    middle = parts[1].read_text()
+    held = middle.count('"id":"id')
+    (tmp_path / f"in/slide_id=one/.{parts[1].name}.crc").unlink(missing_ok=True)
+    parts[1].write_text(middle.replace('"id":"id', '"id":"new'))
+    assert slides(run()) == {"one"} and len(ids("one")) == 200 and sum(i.startswith("new") for i in ids("one")) == held > 0
+    parts[1].unlink()
+    assert slides(run()) == {"one"} and len(ids("one")) == 200 - held and run() is None
+
+
 def test_stored_features_are_numbered_without_an_exchange(spark, sf, tmp_path):
     from spatialplate.plans import queries
 
