@@ -241,28 +241,28 @@ class Model:
         return names, scores, rates
 
 
-def sampled(df: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> dict[str, list[str]]:
-    """ROWS whole texts of each language by a hash, of LONGEST characters at most: all that reaches the driver.
+def sampled(df: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", rows: int = ROWS, longest: int = LONGEST) -> dict[str, list[str]]:
+    """`rows` whole texts of each language by a hash, of `longest` characters at most: all that reaches the driver.
 
     A language's count sets the share of its rows whose hash is looked at, so
-    that a few times ROWS of them are sorted; where too few come back, a wider
+    that a few times `rows` of them are sorted; where too few come back, a wider
     share is. A language of which all rows with a letter are longer gives the
     shortest one.
     """
     lettered = df.where(F.col(lang_col).isNotNull() & F.rlike(F.coalesce(text_col, F.lit("")), F.lit(r"\p{L}"))).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.length(text_col).alias("size"), F.xxhash64(F.col(id_col).cast("string"), text_col).alias("mix"))
-    short = F.col("size") <= LONGEST
+    short = F.col("size") <= longest
     counts = {r["lang"]: r["short"] for r in lettered.groupBy("lang").agg(F.count_if(short).alias("short")).collect()}
     out: dict[str, list[str]] = {}
-    wanted, wide = {k: n for k, n in counts.items() if n}, 4 * ROWS
+    wanted, wide = {k: n for k, n in counts.items() if n}, 4 * rows
     while wanted:
         share = F.create_map(*[F.lit(x) for k, n in wanted.items() for x in (k, math.ceil(min(1.0, wide / n) * (1 << 30)))])
         few = lettered.where(short & (F.pmod("mix", F.lit(1 << 30)) < F.try_element_at(share, F.col("lang"))))
-        best = few.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("mix", "text"))).where(F.col("n") <= ROWS)
+        best = few.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("mix", "text"))).where(F.col("n") <= rows)
         drawn: dict[str, list[str]] = {}
         for r in best.orderBy("lang", "n").collect():
             drawn.setdefault(r["lang"], []).append(r["text"])
         out |= {k: v for k, v in drawn.items() if k in wanted}
-        wanted = {k: n for k, n in wanted.items() if len(out.get(k, ())) < min(ROWS, n)}
+        wanted = {k: n for k, n in wanted.items() if len(out.get(k, ())) < min(rows, n)}
         wide *= 8
     long = [k for k, n in counts.items() if not n]
     if long:
@@ -276,9 +276,14 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(df: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """A model from the labelled rows of df that are not held out. Without any, every text is `und`."""
-    return Model.fit(sampled(df.where(~held_out(F.col(id_col))), lang_col, id_col, text_col))
+def fit(df: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", rows: int = ROWS, longest: int = LONGEST) -> Model:
+    """A model from labelled rows of df that are not held out. Without any, every text is `und`.
+
+    The fit's bounds: `rows` texts a language, taken whole, each of `longest`
+    characters at most, so that the model has a size that the driver can hold
+    and broadcast. All other rows are only counted.
+    """
+    return Model.fit(sampled(df.where(~held_out(F.col(id_col))), lang_col, id_col, text_col, rows, longest))
 
 
 def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

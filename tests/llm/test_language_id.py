@@ -56,6 +56,11 @@ def test_the_sample_takes_whole_rows_and_finds_rare_letters(spark):
     rows = [(i, "12 34", "aa") for i in range(400)] + [(1000 + i, "1 " * 1500 + f"word{i} the end", "aa") for i in range(30)] + [(2000, "long " * 3000, "bb"), (2001, "longer " * 3000, "bb"), (2002, None, "bb"), (2003, "5", "cc")]
     got = L.sampled(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert set(got) == {"aa", "bb"} and len(got["aa"]) == L.ROWS and all(t.endswith("the end") for t in got["aa"]) and got["bb"] == ["long " * 3000]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    few = L.sampled(docs, rows=3, longest=20_000)
+    assert len(few["aa"]) == 3 and set(few["aa"]) <= set(got["aa"]) and sorted(few["bb"]) == ["long " * 3000]
+    assert L.sampled(docs, longest=4)["bb"] == ["long " * 3000]
+    assert L.fit(docs, rows=2).languages == L.fit(docs).languages == ["aa", "bb"]
 
 
 def test_automaton_knows_exactly_the_substrings():
