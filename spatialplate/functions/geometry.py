@@ -1,6 +1,6 @@
 """Geometry as Column builders over rings: arrays of points with x and y.
 
-Only simplification runs Python, on Arrow batches.
+Only simplification and the count of meetings run Python, on Arrow batches.
 """
 
 from __future__ import annotations
@@ -155,15 +155,21 @@ def kept_points(x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarray:
     return np.flatnonzero(thinning.kept(thinning.Rings(x, y, np.array([0, len(x)]), np.zeros(1, np.int64)), tolerance))
 
 
-def _thinned(shapes: pa.Array, tolerance: float) -> pa.Array:
-    """An Arrow array of shapes, lists of rings, thinned all together."""
+def _read(shapes: pa.Array) -> tuple[pa.Array, pa.Array, thinning.Rings]:
+    """An Arrow array of shapes, lists of rings: the rings, their points, and both in numpy."""
     rings_, of = shapes.flatten(), pc.list_parent_indices(shapes).to_numpy()
     sizes = pc.fill_null(pc.list_value_length(rings_), 0).to_numpy()
     points = rings_.flatten()
     x, y = (pc.fill_null(pc.struct_field(points, c), float("nan")).to_numpy(zero_copy_only=False).astype(float) for c in "xy")
-    rings = thinning.Rings(x, y, np.concatenate([[0], np.cumsum(sizes)]), of)
+    return rings_, points, thinning.Rings(x, y, np.concatenate([[0], np.cumsum(sizes)]), of)
+
+
+def _thinned(shapes: pa.Array, tolerance: float) -> pa.Array:
+    """An Arrow array of shapes, thinned all together."""
+    rings_, points, rings = _read(shapes)
+    of = rings.shapes
     keep = thinning.kept(rings, tolerance)
-    left = np.bincount(rings.ring[keep], minlength=len(sizes))
+    left = np.bincount(rings.ring[keep], minlength=len(rings.sizes))
 
     def gathered(counts: np.ndarray, values: pa.Array, gone: pa.Array) -> pa.Array:
         offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
@@ -191,23 +197,17 @@ def simplified(rings_: Column, tolerance: float = 1.0) -> Column:
 
 
 def meetings(rings_: Column) -> Column:
-    """Pairs of a shape's sides that have a point in common, besides the one at which they follow each other: 0 for a simple outline. Sides without length don't count.
+    """Pairs of a shape's sides that have a point in common, besides the one at which they follow each other: 0 for a simple outline. Sides without length, or without a coordinate, don't count.
 
-    All pairs of one shape's own sides are looked at, so that this is for outlines of up to some thousand points.
+    Pairs are looked for on a grid of the shape's own, for all shapes of an
+    Arrow batch together. A shape that is null, or has a ring that is, has none.
     """
 
-    def follows(e: Column, f: Column) -> Column:
-        return (e.b.x == f.a.x) & (e.b.y == f.a.y)
-
-    def on(e: Column, p: Column) -> Column:
-        return (turn(e.a, e.b, p) == 0) & _between(e.a, e.b, p)
-
-    def meet(e: Column, f: Column) -> Column:
-        after, before = follows(e, f), follows(f, e)
-        again = F.when(after & before, True).when(after, on(e, f.b) | on(f, e.a)).otherwise(on(e, f.a) | on(f, e.b))
-        return F.when((e.ring == f.ring) & (after | before), again).otherwise(sides_meet(e.a, e.b, f.a, f.b))
+    @F.arrow_udf("int")
+    def count(shapes: pa.Array) -> pa.Array:
+        parts, _, read = _read(shapes)
+        gone = shapes.is_null().to_numpy(zero_copy_only=False)
+        gone[read.shapes[parts.is_null().to_numpy(zero_copy_only=False)]] = True
+        return pa.array(thinning.meetings(read, len(shapes)), pa.int32(), mask=gone)
 
-    numbered = F.flatten(F.transform(rings_, lambda ring, i: F.transform(edges(F.array(ring)), lambda e: F.struct(e.a.alias("a"), e.b.alias("b"), i.alias("ring")))))
-    sides = F.filter(numbered, lambda e: (e.a.x != e.b.x) | (e.a.y != e.b.y))
-    others = lambda i: F.slice(sides, i + 2, F.size(sides))
-    return F.aggregate(F.transform(sides, lambda e, i: F.size(F.filter(others(i), lambda f: meet(e, f)))), F.lit(0), lambda s, n: s + n)
+    return count(rings_)

@@ -143,6 +143,18 @@ def test_meetings_against_a_plain_count(spark, parts):
     assert [r.n for r in df.select(G.meetings(F.col("r")).alias("n")).collect()] == [plain_meetings(*closed), plain_meetings(*parts)]
 
 
+def test_meetings_of_many_and_of_large_outlines(spark):
+    import math
+
+    star = lambda n, step: [(round(100 * math.cos(6.283185 * i * step / n), 3), round(100 * math.sin(6.283185 * i * step / n), 3)) for i in range(n)]
+    shapes = [[[*star(101, 50), star(101, 50)[0]]], [[*star(4001, 1), star(4001, 1)[0]]], [[*WINDING]], [star(45, 2), star(40, 3)]]
+    df = spark.createDataFrame([(rings(*s),) for s in shapes] + [(None,), ([],), ([None, *rings(WINDING)],)], "r array<array<struct<x:double,y:double>>>").coalesce(1)
+    got = df.select(G.meetings(F.col("r")).alias("n"))
+    assert [r.n for r in got.collect()] == [plain_meetings(*shapes[0]), 0, 0, plain_meetings(*shapes[3]), None, 0, None]
+    # Outlines of a batch are looked at together, not pair by pair in expressions.
+    assert "ArrowEvalPython" in got._jdf.queryExecution().executedPlan().toString()
+
+
 def rings(*parts):
     return [[{"x": float(x), "y": float(y)} for x, y in p] for p in parts]
 
