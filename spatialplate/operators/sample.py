@@ -71,6 +71,31 @@ def _pieces(areas: DataFrame, cells: DataFrame) -> DataFrame:
     return kept.select("slide_id", "leaf", "lx", "ly", "annotation_id", "whole", F.when(~F.col("whole"), F.col("edges")).alias("edges"), "x0", "y0", "x1", "y1")
 
 
+def _laid(detections: DataFrame, annotations: DataFrame, load: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """spots(slide_id, id, x, y), areas(slide_id, annotation_id, shape) and met(slide_id, shape, x, y): places of detections in outlines of annotations.
+
+    Detections at one place, and annotations of one outline, go through the
+    tests once: met has a row for each outline and place, not for each pair.
+    """
+    # Rows come out of generators, so that geometry is worked out once a row and filters come after it.
+    point = lambda p: F.struct(p.x.alias("x"), p.y.alias("y"))
+    spots = detections.where(F.col("slide_id").isNotNull() & F.col("id").isNotNull()).select("slide_id", "id", F.inline(F.transform(F.array(G.centroid(F.col("rings"))), point)))
+    spots = settled(spots.where(F.col("x").isNotNull() & F.col("y").isNotNull()), "spots")
+    whole = lambda b: F.struct(G.edges(F.col("rings")).alias("edges"), b.x0.alias("x0"), b.y0.alias("y0"), b.x1.alias("x1"), b.y1.alias("y1"))
+    areas = annotations.where(F.col("slide_id").isNotNull() & F.col("id").isNotNull()).select("slide_id", F.col("id").alias("annotation_id"), F.inline(F.transform(F.array(G.box(F.col("rings"))), whole)))
+    areas = settled(areas.where(F.col("x0").isNotNull()).withColumn("shape", F.sha2(F.col("edges").cast("string"), 256)), "areas")
+    places = settled(spots.select("slide_id", "x", "y", _fine("x").alias("cx"), _fine("y").alias("cy")).distinct(), "places")
+    outlines = areas.groupBy("slide_id", F.col("shape").alias("annotation_id")).agg(*[F.any_value(c).alias(c) for c in ("edges", "x0", "y0", "x1", "y1")])
+    outlines = settled(outlines, "outlines")
+    centres = outlines.select("slide_id", _fine((F.col("x0") + F.col("x1")) / 2).alias("cx"), _fine((F.col("y0") + F.col("y1")) / 2).alias("cy"))
+    cells = settled(leaves(places.select("slide_id", "cx", "cy").unionByName(centres), load), "leaves")
+    placed = places.join(cells, ["slide_id", "cx", "cy"]).select("slide_id", "leaf", _above("cx", "leaf").alias("lx"), _above("cy", "leaf").alias("ly"), "x", "y")
+    near = placed.join(settled(_pieces(outlines, cells), "pieces"), ["slide_id", "leaf", "lx", "ly"])
+    boxed = (F.col("x") >= F.col("x0")) & (F.col("x") <= F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") <= F.col("y1"))
+    met = near.where(F.col("whole") | (boxed & G.within(F.struct("x", "y"), F.col("edges")))).select("slide_id", F.col("annotation_id").alias("shape"), "x", "y")
+    return spots, areas.select("slide_id", "annotation_id", "shape"), met
+
+
 def inside(detections: DataFrame, annotations: DataFrame, load: int = LOAD) -> DataFrame:
     """(slide_id, annotation_id, id): detections whose centroid lies in an annotation.
 
@@ -80,19 +105,33 @@ def inside(detections: DataFrame, annotations: DataFrame, load: int = LOAD) -> D
     annotation no point is tested. Rows without a slide, an id or points take no
     part; an annotation's id is its own within its slide.
     """
-    # Rows come out of generators, so that geometry is worked out once a row and filters come after it.
-    point = lambda p: F.struct(p.x.alias("x"), p.y.alias("y"), _fine(p.x).alias("cx"), _fine(p.y).alias("cy"))
-    spots = detections.where(F.col("slide_id").isNotNull() & F.col("id").isNotNull()).select("slide_id", "id", F.inline(F.transform(F.array(G.centroid(F.col("rings"))), point)))
-    spots = settled(spots.where(F.col("x").isNotNull() & F.col("y").isNotNull()), "spots")
-    whole = lambda b: F.struct(G.edges(F.col("rings")).alias("edges"), b.x0.alias("x0"), b.y0.alias("y0"), b.x1.alias("x1"), b.y1.alias("y1"))
-    areas = annotations.where(F.col("slide_id").isNotNull() & F.col("id").isNotNull()).select("slide_id", F.col("id").alias("annotation_id"), F.inline(F.transform(F.array(G.box(F.col("rings"))), whole)))
-    areas = settled(areas.where(F.col("x0").isNotNull()), "areas")
-    centres = areas.select("slide_id", _fine((F.col("x0") + F.col("x1")) / 2).alias("cx"), _fine((F.col("y0") + F.col("y1")) / 2).alias("cy"))
-    cells = settled(leaves(spots.select("slide_id", "cx", "cy").unionByName(centres), load), "leaves")
-    placed = spots.join(cells, ["slide_id", "cx", "cy"]).select("slide_id", "leaf", _above("cx", "leaf").alias("lx"), _above("cy", "leaf").alias("ly"), "id", "x", "y")
-    near = placed.join(_pieces(areas, cells), ["slide_id", "leaf", "lx", "ly"])
-    boxed = (F.col("x") >= F.col("x0")) & (F.col("x") <= F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") <= F.col("y1"))
-    return near.where(F.col("whole") | (boxed & G.within(F.struct("x", "y"), F.col("edges")))).select("slide_id", "annotation_id", "id")
+    spots, areas, met = _laid(detections, annotations, load)
+    return met.join(areas, ["slide_id", "shape"]).join(spots, ["slide_id", "x", "y"]).select("slide_id", "annotation_id", "id")
+
+
+def _mixed(id_: str, seed: int) -> Column:
+    """The seed's order of ids."""
+    return F.struct(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_).cast("string"))).alias("h"), id_)
+
+
+def _least(rows: DataFrame, n: int, *keys: str) -> DataFrame:
+    """The n rows of least _mix of each of the keys' values, picked by each task first."""
+    return rows.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy("_mix"))).where(F.col("_n") <= n).drop("_n")
+
+
+def sampled_inside(detections: DataFrame, annotations: DataFrame, n: int, seed: int, load: int = LOAD) -> DataFrame:
+    """sampled(inside(...)), for which no pair of an annotation and a detection is written or sent.
+
+    Annotations of one outline have the same bound, found from the n least
+    detections of each place in it; pairs come up in the last join only.
+    """
+    spots, areas, met = _laid(detections, annotations, load)
+    spots = spots.withColumn("_mix", _mixed("id", seed))
+    first = met.join(_least(spots.select("slide_id", "x", "y", "_mix"), n, "slide_id", "x", "y"), ["slide_id", "x", "y"]).select("slide_id", "shape", "_mix")
+    bound = _least(first, n, "slide_id", "shape").groupBy("slide_id", "shape").agg(F.max("_mix").alias("_bound"))
+    members = areas.join(bound, ["slide_id", "shape"], "left")
+    pairs = met.join(members, ["slide_id", "shape"]).join(spots, ["slide_id", "x", "y"])
+    return pairs.select("slide_id", "annotation_id", "id", F.coalesce(F.col("_mix") <= F.col("_bound"), F.lit(False)).alias("selected"))
 
 
 def sampled(found: DataFrame, n: int, seed: int) -> DataFrame:
@@ -100,11 +139,11 @@ def sampled(found: DataFrame, n: int, seed: int) -> DataFrame:
 
     Each task picks its own n first, so that no more than these of an annotation
     come together; the last of all that are picked is the bound for the rest.
+    found is written once; see sampled_inside() for pairs that are too many.
     """
-    mixed = settled(found.withColumn("_mix", F.struct(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))).alias("h"), "id")), "found")
+    mixed = settled(found.withColumn("_mix", _mixed("id", seed)), "found")
     keys = ["slide_id", "annotation_id"]
-    least = mixed.select(*keys, "_mix").withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy("_mix"))).where(F.col("_n") <= n)
-    bound = least.groupBy(*keys).agg(F.max("_mix").alias("_bound"))
+    bound = _least(mixed.select(*keys, "_mix"), n, *keys).groupBy(*keys).agg(F.max("_mix").alias("_bound"))
     return mixed.join(bound, keys, "left").select(*found.columns, F.coalesce(F.col("_mix") <= F.col("_bound"), F.lit(False)).alias("selected"))
 
 

@@ -286,7 +286,7 @@ def _regions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def sample_in_region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sample.sampled(sample.inside(*_regions(spark, sf_dir)), 1, SEED)
+    return sample.sampled_inside(*_regions(spark, sf_dir), 1, SEED)
 
 
 def convert_detections(spark: SparkSession, sf_dir: str) -> DataFrame:

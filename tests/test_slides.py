@@ -297,6 +297,28 @@ def test_samples_are_the_least_by_the_seed(spark):
     assert "WindowGroupLimit" in plan and plan.index("Final") < plan.index("Partial")
 
 
+def test_samples_in_regions_write_no_pairs(spark, monkeypatch):
+    """300 detections at one place in 100 annotations of one outline, and some elsewhere."""
+    table = lambda rows: spark.createDataFrame(rows, "slide_id string, id long, rings array<array<struct<x:double,y:double>>>")
+    spots = table([("s", i, circle(50.0, 60.0, 2.0)) for i in range(300)] + [("s", 1000 + i, circle(40.0 + i, 60.0, 2.0)) for i in range(40)] + [("t", 1, circle(50.0, 60.0, 2.0)), ("s", 5, circle(52.0, 60.0, 2.0))])
+    regions = table([("s", i, circle(50.0, 60.0, 6.0)) for i in range(100)] + [("s", 200, circle(70.0, 60.0, 30.0)), ("s", 201, circle(500.0, 60.0, 3.0)), ("t", 1, circle(50.0, 60.0, 6.0)), ("t", 2, None)])
+    written, settled = [], sample.settled
+
+    def counted(df, name):
+        out = settled(df, name)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(sample, "settled", counted)
+    for n in (0, 1, 4, 1000):
+        got = sample.sampled_inside(spots, regions, n, 9)
+        assert got.columns == ["slide_id", "annotation_id", "id", "selected"]
+        most = max(written)
+        want = sample.sampled(sample.inside(spots, regions), n, 9)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 30_000 > 400 > most
+        written.clear()
+
+
 def test_the_report_reads_features_twice(spark, features, tmp_path, monkeypatch):
     features.write.parquet(str(tmp_path / "kept"))
     kept = spark.read.parquet(str(tmp_path / "kept"))
