@@ -192,38 +192,59 @@ def _copied(df: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are similar enough; tokens(node, tokens)."""
+    """Those of the pairs (a, b, ...) whose sets are similar enough; tokens(node, tokens)."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node"))
     near = _likely(tokens, wanted, "node")
     left = near.select(F.col("node").alias("a"), F.col("tokens").alias("_a"))
     right = near.select(F.col("node").alias("b"), F.col("tokens").alias("_b"))
-    both = _joined(_joined(pairs.select("a", "b"), right, "b"), left, "a")
+    both = _joined(_joined(pairs, right, "b"), left, "a")
     common = F.size(F.array_intersect("_a", "_b"))
-    return both.where(common * 100 >= (F.size("_a") + F.size("_b") - common) * percent).select("a", "b")
+    return both.where(common * 100 >= (F.size("_a") + F.size("_b") - common) * percent).select(*pairs.columns)
+
+
+def _looked_up(rows: DataFrame, places: DataFrame, key: str, labels: DataFrame, how: str = "inner") -> DataFrame:
+    """rows(key, _salt, ...) with `_to`, the label of key; places(key, _salt) are the parts that hold the key, each of which gets one copy."""
+    found = _joined(places, labels.select(F.col("node").alias(key), F.col("component").alias("_to")), key)
+    return _joined(rows, found, [key, "_salt"], how)
+
+
+def _mapped(rows: DataFrame, key: str, by: str, labels: DataFrame) -> DataFrame:
+    """rows with key's label in its place, where it has one."""
+    spread = _spread(rows, by)
+    return _looked_up(spread, spread.select(key, "_salt").distinct(), key, labels, "left").withColumn(key, F.coalesce("_to", key)).select(*rows.columns)
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component): each linked node with the smallest node it reaches; least labels spread, and labels of labels are taken.
 
     A node may have as many links as there are rows: its links are dealt to
-    parts, each of which gets the node's label.
+    parts, and each part that holds some gets the node's label.
     """
     edges = written(_spread(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "a"), "edges")
+    places = written(edges.select("b", "_salt").distinct(), "places")
     labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("component")), "labels")
     while True:
-        near = _joined(edges, _copied(labels.withColumnRenamed("node", "b")), ["b", "_salt"]).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("_near"))
+        near = _looked_up(edges, places, "b", labels).groupBy(F.col("a").alias("node")).agg(F.min("_to").alias("_near"))
         new = _joined(labels, near, "node").select("node", F.least("component", "_near").alias("component"), F.col("component").alias("_old"))
         # Most nodes of a large component have one label: it is looked up once for each part.
-        above = _copied(labels.select(F.col("node").alias("component"), F.col("component").alias("_above")))
-        new = written(_joined(_spread(new, "node"), above, ["component", "_salt"]).select("node", F.least("component", "_above").alias("component"), "_old"), "labels")
+        new = written(_mapped(new, "component", "node", labels), "labels")
         removed(labels)
         if new.where(F.col("component") != F.col("_old")).isEmpty():
-            removed(edges)
+            removed(edges, places)
             return new.select("node", "component")
         labels, folder = new.select("node", "component"), new._folder
         labels._folder = folder
 
 
+def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """labels(node, component) after links(a, b) between components more: only these are gone through, not the links that made the components."""
+    new = components(links)
+    if labels is None:
+        return new
+    both = labels.unionByName(new.select("node", F.col("node").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
+    return written(_mapped(both, "component", "node", new), "labels")
+
+
 def _likely(rows: DataFrame, wanted: DataFrame, id_col: str = "id") -> DataFrame:
     """rows whose id may be among wanted's: all that are, and few others while BITS are many against the ids.
 
@@ -264,8 +285,8 @@ def short_list_pairs(short: DataFrame, long: DataFrame, light: int, percent: int
     return counts.where(enough).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
-def links_between(docs: DataFrame, reps: DataFrame, light: int, width: int, percent: int) -> DataFrame | None:
-    """Verified links (a, b) among representatives, enough to span every component; None if there are none.
+def linked(docs: DataFrame, reps: DataFrame, light: int, width: int, percent: int) -> DataFrame | None:
+    """(node, component) of the representatives that links join to others; None if there are no links.
 
     reps(node, n, prefix); docs(id, text) hold the representatives' texts.
     Lists of up to SHORT members give all their pairs. In a longer list, what
@@ -309,23 +330,23 @@ def links_between(docs: DataFrame, reps: DataFrame, light: int, width: int, perc
         if last:
             low_ones = _joined(now_open.where("low"), _copied(open_keys.select("key")), ["key", "_salt"]).drop("_salt")
             met = _copied(low_ones).alias("x").hint("merge").join(now_open.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x._salt") == F.col("y._salt"))).where((~F.col("y.low") | (F.col("x.node") < F.col("y.node"))) & may_link("x", "y"))
-            pairs = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+            ends = [f(f"x.{c}", f"y.{c}").alias(name) for c, names in (("node", "ab"), ("component", ("of_a", "of_b"))) for f, name in zip((F.least, F.greatest), names, strict=True)]
+            pairs = met.select(*ends).distinct()
         else:
             # First the member with the least before the token, for it is nearest to what the list has in common; then any.
             rank = F.when(F.lit(turn == 0), F.col("pos")).otherwise(0).alias("rank")
             middle = now.where("low").groupBy("key").agg(F.min(F.struct(rank, F.xxhash64("node", F.lit(turn)).alias("mix"), "node", "n", "pos", "component", "held")).alias("c"))
             middle = _copied(_joined(middle, open_keys.select("key"), "key"))
-            pairs = _joined(now_open.alias("x"), middle, ["key", "_salt"]).where(may_link("x", "c")).select(F.col("c.node").alias("a"), F.col("x.node").alias("b")).distinct()
+            pairs = _joined(now_open.alias("x"), middle, ["key", "_salt"]).where(may_link("x", "c")).select(F.col("c.node").alias("a"), F.col("x.node").alias("b"), F.col("c.component").alias("of_a"), F.col("x.component").alias("of_b")).distinct()
         pairs = written(pairs, "pairs")
         found = written(verified(pairs, tokens, percent), "links")
         removed(now, open_keys, pairs)
-        links = links.unionByName(found)
+        if not found.isEmpty():
+            labels = merged(labels, found.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")))
         if last:
             break
-        if not found.isEmpty():
-            labels = components(links)
     removed(shared, tokens)
-    return None if links.isEmpty() else links
+    return labels
 
 
 def cluster(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -346,18 +367,21 @@ def cluster(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc
     own = sets.where((F.col("n") > 0) & F.col("id").isNotNull())
     best = own.groupBy("signature").agg(F.min(F.struct("id", "n", "prefix")).alias("r"))
     reps = best.select(F.col("r.id").alias("node"), F.col("r.n").alias("n"), F.col("r.prefix").alias("prefix"))
-    links = links_between(docs, reps, boundary(sets, percent), width, percent)
+    labels = linked(docs, reps, boundary(sets, percent), width, percent)
     classes = own.groupBy("signature").agg(F.min("id").alias("node"), F.count("*").alias("members"))
     repeated = written(sets.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("signature").alias("a"), F.max("signature").alias("b")).where(F.col("a") != F.col("b")).select("id"), "repeated")
     again = not repeated.isEmpty()
     if again:  # the sets of one document link the classes that they are in
         both = written(_joined(_joined(own.select("id", "signature"), repeated, "id"), classes.select("signature", "node"), "signature").select("id", "node"), "both")
         same = _joined(both, both.groupBy("id").agg(F.min("node").alias("a")), "id").where(F.col("a") != F.col("node")).select("a", F.col("node").alias("b")).distinct()
-        links = same if links is None else links.unionByName(same)
-    if links is None:
+        if labels is not None:
+            same = _mapped(_mapped(same, "b", "a", labels).distinct(), "a", "b", labels).where(F.col("a") != F.col("b"))
+        if not same.isEmpty():
+            labels = merged(labels, same)
+    if labels is None:
         named = classes.where(F.col("members") > 1).select("signature", F.col("node").alias("component"))
     else:
-        named = _joined(classes, components(links), "node", "left").where((F.col("members") > 1) | F.col("component").isNotNull()).select("signature", F.coalesce("component", "node").alias("component"))
+        named = _joined(classes, labels, "node", "left").where((F.col("members") > 1) | F.col("component").isNotNull()).select("signature", F.coalesce("component", "node").alias("component"))
     # A class may hold a third of all rows: its members are dealt out to as many copies of its one row.
     out = _joined(_spread(sets.select("id", "n", "signature"), "id"), _copied(named), ["signature", "_salt"], "left").select("id", "n", F.coalesce("component", "id").alias("component"))
     if again:  # also a row without words belongs to its document

@@ -104,6 +104,23 @@ def test_components(spark):
     assert got == {i: 0 for i in range(41)} | {200: 0} | {100 + i: 100 for i in range(30)}
 
 
+def test_later_links_go_through_components_only(spark, monkeypatch):
+    edges = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    first = J.components(edges([(i, i + 1) for i in range(10, 40)] + [(100 + i, 100) for i in range(1, 30)]))
+    rows, components = [], J.components
+    monkeypatch.setattr(J, "components", lambda links: (rows.append(links.count()), components(links))[1])
+    got = {r.node: r.component for r in J.merged(first, edges([(10, 100), (5, 100), (300, 301)])).collect()}
+    assert got == {i: 5 for i in (5, *range(10, 41), *range(100, 130))} | {300: 300, 301: 300} and rows == [3]
+
+
+def test_labels_are_not_copied_to_every_part(spark, monkeypatch):
+    """A round makes a row for each link and each node, not SALTS of them."""
+    plans, written = [], J.written
+    monkeypatch.setattr(J, "written", lambda df, name: (plans.append(df._jdf.queryExecution().executedPlan().toString()), written(df, name))[1])
+    J.components(spark.createDataFrame([(i, i + 1) for i in range(10)], "a long, b long"))
+    assert plans and not any("Generate" in plan for plan in plans)
+
+
 def test_query(spark, sf):
     from spatialplate.llm.queries import QUERIES
 
