@@ -32,10 +32,14 @@ def triangles(selection: DataFrame, calibration: DataFrame) -> DataFrame:
 
 
 def hits(shapes: DataFrame, triangles_: DataFrame) -> DataFrame:
-    """shapes with `hit`: whether they meet the closed triangle of their slide. One row a slide on the right side."""
+    """shapes with `hit`: whether they meet the closed triangle of their slide.
+
+    One row of three points a slide on the right side, which is broadcast:
+    shapes stay where they were read, however few slides hold them.
+    """
     corner = [F.get("points", F.lit(i)) for i in range(3)]
     rings = F.col("rings")
-    ready = shapes.withColumn("_edges", G.edges(rings)).withColumn("_box", G.box(rings)).join(triangles_, "slide_id")
+    ready = shapes.withColumn("_edges", G.edges(rings)).withColumn("_box", G.box(rings)).join(F.broadcast(triangles_), "slide_id")
     return ready.withColumn("hit", G.meets_triangle(F.col("type"), rings, *corner, F.col("_edges"), F.col("_box"))).drop("points", "_edges", "_box")
 
 

@@ -319,6 +319,21 @@ def test_samples_in_regions_write_no_pairs(spark, monkeypatch):
         written.clear()
 
 
+def test_shapes_are_not_sent_to_their_triangles(spark, sf):
+    """A slide of any size is many tasks: only the small side of the join is sent."""
+    from spatialplate.plans import queries
+
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")  # as for tables too large to be broadcast by their size
+    try:
+        plan = queries.triangle_hits(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(threshold, before)
+    shapes = plan[: plan.index("BroadcastExchange")]
+    assert "BroadcastHashJoin" in shapes and "SortMergeJoin" not in shapes and "Exchange hashpartitioning" not in shapes
+
+
 def test_the_report_reads_features_twice(spark, features, tmp_path, monkeypatch):
     features.write.parquet(str(tmp_path / "kept"))
     kept = spark.read.parquet(str(tmp_path / "kept"))
