@@ -12,6 +12,7 @@ from ..functions import names as N
 from ..operators.clean import nulls
 from ..operators.plate import pivoted
 from ..schemas import EXPORTED
+from ..staging import settled
 
 
 def write_ordered(rows: DataFrame, path: str, *order: str, keep: bool = False) -> None:
@@ -19,14 +20,15 @@ def write_ordered(rows: DataFrame, path: str, *order: str, keep: bool = False) -
 
     Rows are dealt to tasks by ranges of slide and place, so that a slide of any
     size is written by many tasks, and a small one lies in one part (or in two,
-    where a range ends in it). Parts are written to a folder aside first; only
-    when all are there, slide after slide moves into place. With `keep` other
-    slides that stand there stay.
+    where a range ends in it). The ranges take a look at the rows of their own,
+    so these are worked out and written before. Parts are written to a folder
+    aside first; only when all are there, slide after slide moves into place.
+    With `keep` other slides that stand there stay.
     """
     spark = rows.sparkSession
     aside = f"{path.rstrip('/')}/_aside-{uuid.uuid4().hex}"
     places = ["slide_id", *order]
-    rows.repartitionByRange(*places).sortWithinPartitions(*places).select("slide_id", "value").write.partitionBy("slide_id").text(aside)
+    settled(rows.select(*places, "value"), "rows").repartitionByRange(*places).sortWithinPartitions(*places).select("slide_id", "value").write.partitionBy("slide_id").text(aside)
     to_path = spark._jvm.org.apache.hadoop.fs.Path
     files = to_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
     of = lambda folder: {x.getPath().getName(): x.getPath() for x in files.listStatus(to_path(folder)) if x.getPath().getName().startswith("slide_id=")}
@@ -86,10 +88,10 @@ def feature_text(shapes: DataFrame) -> DataFrame:
 
 
 def collection_lines(shapes: DataFrame) -> DataFrame:
-    """(slide_id, ord, value): the lines of one FeatureCollection a slide, a feature each, after a line that opens it and before one that closes it."""
+    """(slide_id, ord, value): the lines of one FeatureCollection a slide, a feature each, after a line that opens it and before one that closes it. First and last places, a row a slide, are broadcast."""
     rows = feature_text(shapes)
     ends = rows.groupBy("slide_id").agg(F.min("ord").alias("_first"), F.max("ord").alias("_last"))
-    listed = rows.join(ends, "slide_id").select("slide_id", "ord", F.concat(F.when(F.col("ord") == F.col("_first"), "").otherwise(","), "value").alias("value"))
+    listed = rows.join(F.broadcast(ends), "slide_id").select("slide_id", "ord", F.concat(F.when(F.col("ord") == F.col("_first"), "").otherwise(","), "value").alias("value"))
     line = lambda ord_, value: F.struct(ord_.alias("ord"), F.lit(value).alias("value"))
     frame = ends.select("slide_id", F.inline(F.array(line(F.col("_first") - 1, '{"type":"FeatureCollection","features":['), line(F.col("_last") + 1, "]}"))))
     return listed.unionByName(frame)

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import names as N
 from ..schemas import CLASSIFICATION, COLLECTION, FEATURE, FEATURE_LINE, PLATES
+from ..staging import settled
 
 
-def parsed_features(raw: DataFrame) -> DataFrame:
-    """raw(slide_id, ord, f) with parsed geometry and classification."""
+def parsed_features(raw: DataFrame, *more: Column | str) -> DataFrame:
+    """raw(slide_id, ord, f) with parsed geometry and classification; and `more` of its columns."""
     kind, coordinates = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
     parsed = F.from_json("f.properties.classification", CLASSIFICATION)
     return raw.select(
@@ -26,6 +27,7 @@ def parsed_features(raw: DataFrame) -> DataFrame:
         F.struct(kind.alias("type"), coordinates.alias("coordinates")).alias("geometry"),
         G.rings(kind, coordinates).alias("rings"),
         G.point(kind, coordinates).alias("point"),
+        *more,
     )
 
 
@@ -36,11 +38,22 @@ def read_features(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def read_large_features(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """What read_features() gives, with each file read by as many tasks as it has splits; a file that is no feature collection gives no rows."""
-    from .split import feature_texts
+    """What read_features() gives, with each file read by as many tasks as it has splits; a file that is no feature collection gives no rows.
 
-    read = feature_texts(spark, paths).select("slide_id", "ord", F.from_json("text", FEATURE).alias("f"))
-    return parsed_features(read.where(F.col("f").isNotNull() & F.col("f.type").isNotNull()))
+    Features are parsed where they are found and written between: who filters the result, or reads it again, parses nothing.
+    """
+    from .split import feature_texts, joined_parts, slide_of
+
+    def parsed(texts: DataFrame, text: Column, *more: str) -> DataFrame:
+        f = F.from_json(text, FEATURE).alias("f")
+        return parsed_features(texts.select(slide_of(F.col("source")).alias("slide_id"), "ord", f, *more), F.col("f.type").alias("_is"), *more)
+
+    part, text = F.col("part"), F.col("text")
+    texts = feature_texts(spark, paths).select("source", "ord", "place", F.when(part, text).alias("_text"), F.when(~part, text).alias("text"))
+    found = settled(parsed(texts, text, "source", "place", "_text"), "features")
+    cut = F.col("_text").isNotNull()
+    whole, parts = found.where(~cut).drop("source", "place", "_text"), found.where(cut).select("source", "ord", "place", F.col("_text").alias("text"))
+    return whole.unionByName(parsed(joined_parts(parts), text)).where(F.col("_is").isNotNull()).drop("_is")
 
 
 def read_feature_lines(spark: SparkSession, paths: str | list[str], ordered: bool = True) -> DataFrame:

@@ -2,13 +2,18 @@
 
 import json
 import random
+import sys
+from collections import Counter
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from spatialplate import sinks, sources
 from spatialplate.operators import clean, collection as jobs
 from spatialplate.plans import jobs as plans
+from spatialplate.sources import split
 from spatialplate.sources.split import _masked
 
 
@@ -157,3 +162,63 @@ def test_stored_features_are_numbered_without_an_exchange(spark, sf, tmp_path):
     want = jobs.with_wells(clean.shapes(queries.features(spark, sf)), some).select("slide_id", "ord", "shape_no")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 100
     spark.sql("DROP TABLE kept_features")
+
+
+def split_batches(text, ends, rows):
+    """The batches of one file that is cut at the braces behind `ends`, with a row for each fragment."""
+    cuts = [0, *(text.index("}", e) + 1 for e in ends), len(text)]
+    for place, (begin, end) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        fragments = text[begin:end].split("}")
+        if end < len(text):
+            fragments.pop()
+        for i in range(0, len(fragments), rows):
+            some = fragments[i : i + rows]
+            same = {"path": "p", "file": "f", "block": begin, "source": "p", "place": place, "last": end == len(text)}
+            yield begin, same, pa.RecordBatch.from_pylist([same | {"value": x} for x in some])
+
+
+def with_beginnings(batches):
+    batches = list(batches)
+    told = pd.DataFrame([r for b in split._summed(b for _, _, b in batches) for r in b.to_pylist()]).assign(source="p")
+    begins = {r["block"]: {k: r[k] for k in ("inside", "braces", "brackets", "number")} for r in split._chained(told).to_dict("records")}
+    return [pa.RecordBatch.from_pylist([r | begins[block] for r in b.to_pylist()]) for block, _, b in batches]
+
+
+@pytest.mark.parametrize(("chunk", "rows"), [(1, 7), (5, 1), (64, 1000), (2_000_000, 50)])
+def test_texts_are_read_alike_in_pieces_of_any_size(monkeypatch, chunk, rows):
+    monkeypatch.setattr(split, "CHUNK", chunk)
+    want = collection(random.Random(chunk), 40)
+    text = json.dumps({"type": "FeatureCollection", "features": want, "after": {"a": ["}\\\""]}}, ensure_ascii=False)
+    found = [r for b in split._features(iter(with_beginnings(split_batches(text, [len(text) // 3, len(text) // 2, len(text) - 2], rows)))) for r in b.to_pylist()]
+    texts = {}
+    for r in sorted(found, key=lambda r: (r["ord"], r["place"])):
+        texts[r["ord"]] = texts.get(r["ord"], "") + r["text"]
+    assert [json.loads(texts[i]) for i in range(len(texts))] == want and any(r["part"] for r in found)
+
+
+def test_readers_take_no_step_for_each_fragment():
+    rows = [{"type": "Feature", "geometry": {"type": "Point", "coordinates": [i, 1]}, "properties": {"classification": {"name": "k"}}} for i in range(2000)]
+    text = json.dumps({"features": rows})
+    first = {"path": "p", "file": "f", "block": 0, "source": "p", "place": 0, "inside": False, "braces": 0, "brackets": 0, "number": 0, "last": True}
+    batch = pa.RecordBatch.from_pylist([first | {"value": x} for x in text.split("}")])
+    steps = Counter()
+    sys.setprofile(lambda frame, event, arg: steps.update([event]))
+    try:
+        told, found = list(split._summed(iter([batch]))), list(split._features(iter([batch])))
+    finally:
+        sys.setprofile(None)
+    assert len(told) == 1 and sum(b.num_rows for b in found) == 2000
+    assert sum(steps.values()) < batch.num_rows / 2
+
+
+def test_rows_are_worked_out_once_however_they_are_written(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.range(3000).selectExpr("id % 3 AS slide_id", "id AS ord", "CAST(id AS STRING) AS value").mapInArrow(counted, "slide_id long, ord long, value string")
+    sinks.write_ordered(rows, str(tmp_path / "rows"), "ord")
+    assert seen.value == 3000 and spark.read.text(str(tmp_path / "rows")).count() == 3000
