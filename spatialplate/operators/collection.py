@@ -65,7 +65,7 @@ def xml_lines(outlined: DataFrame, triangles: DataFrame, factor: float = 100.0)
     """
     one = lambda name, value, indent: F.concat(F.lit(" " * indent + "<"), name, F.lit(">"), value.cast("string"), F.lit("</"), name, F.lit(">"))
     text = F.lit
-    both = outlined.join(triangles.select("slide_id"), "slide_id", "left_semi")
+    both = outlined.join(F.broadcast(triangles.select("slide_id")), "slide_id", "left_semi")
     counts = both.groupBy("slide_id").agg(F.count("*").alias("n"))
     points = F.transform("points", lambda p: G.scaled(G.oriented(p), factor))
     head = counts.join(triangles, "slide_id").withColumn("points", points)

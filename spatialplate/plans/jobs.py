@@ -22,7 +22,8 @@ def collect_slides(spark: SparkSession, features: DataFrame, class_wells: DataFr
     A slide whose features lack what an export needs (see export_errors()) gets
     no feature file; the report says so. usable(well) are the wells that may be
     used, if not all. With `keep`, other slides' files that stand under `out`
-    stay. features is best a table that was written once: it is read several times.
+    stay. features is best a table that was written once, as read_large_features()
+    gives it: it is read several times.
     """
     shapes, points = clean.shapes(features), clean.calibration_points(features)
     chosen = calibrate.default_selection(points) if selection is None else selection
@@ -32,7 +33,7 @@ def collect_slides(spark: SparkSession, features: DataFrame, class_wells: DataFr
     grid = sources.plate_grid(spark.range(1), plate_type)
     sinks.write_plate(plate.placed_on_grid(class_wells, grid), f"{out}/plate_{plate_type}", plate_type)
     sinks.write_map(class_wells, f"{out}/map")
-    sinks.write_features(shapes.join(sinks.export_errors(shapes).select("slide_id").distinct(), "slide_id", "left_anti"), f"{out}/features", keep=keep)
+    sinks.write_features(shapes.join(F.broadcast(sinks.export_errors(shapes).select("slide_id").distinct()), "slide_id", "left_anti"), f"{out}/features", keep=keep)
     return validate.quality_report(features, features.select("slide_id").distinct(), class_wells, chosen, plate_type, usable)
 
 
@@ -83,8 +84,7 @@ def collect_changed(spark: SparkSession, paths: str | list[str], class_wells: Da
     work = [r["path"] for r in listed.withColumn("source", source(F.col("path"))).join(changed, "source", "left_semi").select("path").collect()]
     report = None
     if work:
-        features = settled(sources.read_large_features(spark, work), "features")
-        report = settled(collect_slides(spark, features, class_wells, out, keep=True, **options), "report")
+        report = settled(collect_slides(spark, sources.read_large_features(spark, work), class_wells, out, keep=True, **options), "report")
     if not fresh.isEmpty() or known.count() != listed.count():
         stay = listed.join(same, ["path", "modified", "length"]).select("path", "modified", "length", "digest", "map")
         _committed(stay.unionByName(hashed.withColumn("map", F.lit(now))), out)

@@ -222,3 +222,19 @@ def test_rows_are_worked_out_once_however_they_are_written(spark, tmp_path):
     rows = spark.range(3000).selectExpr("id % 3 AS slide_id", "id AS ord", "CAST(id AS STRING) AS value").mapInArrow(counted, "slide_id long, ord long, value string")
     sinks.write_ordered(rows, str(tmp_path / "rows"), "ord")
     assert seen.value == 3000 and spark.read.text(str(tmp_path / "rows")).count() == 3000
+
+
+def test_shapes_stay_where_they_are_for_rows_of_their_slides(spark):
+    """With no join broadcast by size: cutting jobs and features are written without a join that sorts shapes by slide."""
+    ring = [{"x": float(x), "y": float(y)} for x, y in ((0, 0), (9, 0), (9, 9), (0, 0))]
+    outlined = spark.createDataFrame([("one", 1, "A1", ring)], "slide_id string, shape_no int, well string, pts array<struct<x:double,y:double>>")
+    triangles = spark.createDataFrame([("one", ring[:3])], "slide_id string, points array<struct<x:double,y:double>>")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = jobs.xml_lines(outlined, triangles)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "LeftSemi, BuildRight" in plan
+        shapes = spark.createDataFrame([("one", 1, "id", "annotation", ("k", [1]), ("Point", "[1]"))], "slide_id string, ord long, id string, object_type string, classification struct<name:string,color:array<int>>, geometry struct<type:string,coordinates:string>")
+        assert "SortMergeJoin" not in sinks.collection_lines(shapes)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
